@@ -7,22 +7,45 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import simhash
+from lakeloom.llm import decontaminate, line_dedup, packing, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document."""
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark words and items in every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.verdict(decontaminate.find_benchmark(docs, _table(spark, sf_dir, "benchmark")))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     out = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated lines, and where these stood."""
+    out = line_dedup.dedup_units(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    chars = F.aggregate("removed_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    at = F.array_join(F.transform("removed_spans", lambda s: s["start"].cast("string")), ",")
+    return out.select("doc_id", F.size("removed_spans").cast("long").alias("n_removed"), chars.alias("removed_chars"), at.alias("removed_at"), "text")
+
+
+_QUERIES = (op1_best_fit_packing, op3_benchmark_decontamination, op9_simhash_near_dedup, op10_line_dedup)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_simhash_near_dedup,)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_benchmark_decontamination": decontaminate.SQL, "op10_line_dedup": line_dedup.SQL}
