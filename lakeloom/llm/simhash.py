@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.llm.common import LOWER, slices, stage, utf8
@@ -122,10 +122,13 @@ def links(distinct: DataFrame) -> DataFrame:
     """
     masks = F.array(*[F.lit(1 << k) for k in range(32)])
     low, high = F.col("fp").bitwiseAND(F.lit(_LOW)), F.shiftrightunsigned("fp", 32)
-    ball = [F.filter(F.transform(masks, lambda m, h=h: h.bitwiseOR(m)), lambda x, h=h: x != h) for h in (low, high)]
     tag = F.lit(1 << 32)
+
+    def ball(segment: Column) -> Column:
+        return F.filter(F.transform(masks, lambda m: segment.bitwiseOR(m)), lambda x: x != segment)
+
     filed = distinct.select(F.explode(F.array(low, high.bitwiseOR(tag))).alias("key"), "fp")
-    probes = distinct.select(F.explode(F.concat(ball[0], F.transform(ball[1], lambda x: x.bitwiseOR(tag)))).alias("key"), "fp")
+    probes = distinct.select(F.explode(F.concat(ball(low), F.transform(ball(high), lambda x: x.bitwiseOR(tag)))).alias("key"), "fp")
     met = stage(probes.join(filed.select("key"), "key", "left_semi"), "met")
     entries = filed.unionByName(met)
     sizes = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")

@@ -1,0 +1,99 @@
+import random
+from collections import defaultdict
+
+import xxhash
+
+from lakeloom.llm import simhash
+from lakeloom.llm.components import components
+
+
+def brute_components(values, linked):
+    parent = list(range(len(values)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(values)):
+        for j in range(i):
+            if linked(values[i], values[j]):
+                parent[find(i)] = find(j)
+    return [find(i) for i in range(len(values))]
+
+
+def partition(labels):
+    groups = defaultdict(set)
+    for k, label in enumerate(labels):
+        groups[label].add(k)
+    return sorted(map(sorted, groups.values()))
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def test_links_find_every_split_of_three_bits(spark, monkeypatch):
+    rng = random.Random(1)
+    fps = []
+    for low_bits in range(4):
+        for _ in range(40):
+            a = rng.getrandbits(64)
+            b = a
+            for bit in [*rng.sample(range(32), low_bits), *rng.sample(range(32, 64), 3 - low_bits)]:
+                b ^= 1 << bit
+            fps += [a, b]
+    fps += [x ^ sum(1 << b for b in rng.sample(range(64), 4)) for x in fps[:40]]
+    fps = list(dict.fromkeys(fps))
+    frame = spark.createDataFrame([(signed(x),) for x in fps], "fp long")
+    roots = {r.node: r.root for r in components(simhash.links(frame)).collect()}
+    got = [roots.get(signed(x), signed(x)) for x in fps]
+    want = brute_components(fps, lambda a, b: (a ^ b).bit_count() <= 3)
+    assert partition(got) == partition(want)
+
+
+def test_a_hot_bucket_is_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    rng = random.Random(2)
+    centre = rng.getrandbits(64)
+    fps = list({centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))) for _ in range(150)})
+    frame = spark.createDataFrame([(signed(x),) for x in fps], "fp long")
+    roots = {r.node: r.root for r in components(simhash.links(frame)).collect()}
+    got = [roots.get(signed(x), signed(x)) for x in fps]
+    assert partition(got) == partition(brute_components(fps, lambda a, b: (a ^ b).bit_count() <= 3))
+
+
+def naive(text):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    for c in "\t\n\v\f\r":
+        words = words.replace(c, " ")
+    words = [w for w in words.split(" ") if w]
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    long = " ".join(f"word{i % 700}" for i in range(30_000))
+    texts = [None, "", " \n\t", "One", "one", "a b", "a b c", "A B c d", "x y z w É", long, long.upper(), "a b c", None, "\x1ca b\x85 c"]
+    rows = [(i, t, "clash", None) for i, t in enumerate(texts)] + [(6, "a b c", "clash", None), (None, "none other has this", "c", None), (None, "a b c", "c", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string, component_id string").repartition(3)
+    out = simhash.near_duplicates(docs)
+    assert out.columns == ["doc_id", "fp", "component_id"]
+    got = sorted(out.collect(), key=str)
+    fps = [naive(t) for _, t, _, _ in rows]
+    roots = brute_components(fps, lambda a, b: (a ^ b).bit_count() <= 3)
+    least = {r: min((rows[k][0] for k in range(len(rows)) if roots[k] == r and rows[k][0] is not None), default=None) for r in roots}
+    assert got == sorted(((rows[k][0], signed(fps[k]), least[roots[k]]) for k in range(len(rows))), key=lambda r: f"Row(doc_id={r[0]}, fp={r[1]}, component_id={r[2]})")
+
+
+def test_empty_table(spark):
+    assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_components_of_a_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(7, 7), (None, 3), (100, 99)], "u long, v long")
+    got = {r.node: r.root for r in components(edges).collect()}
+    assert got == {**dict.fromkeys(range(41), 0), 99: 99, 100: 99}
