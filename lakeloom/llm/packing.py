@@ -152,9 +152,13 @@ class Runs:
         self.sequence, self.offset = own[:, 1], own[:, 2]
         self.ends = np.cumsum(own[:, 3])
         self.starts = self.ends - own[:, 3]
+        lengths, first = np.unique(own[:, 0], return_index=True)
+        self.before = np.zeros(lengths.max(initial=0) + 1, np.int64)
+        self.before[lengths] = self.starts[first]
 
-    def place(self, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sequence and offset by rank over all pieces ordered by length."""
+    def place(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sequence and offset by length and the rank among its pieces."""
+        rank = self.before[length] + rank
         k = np.searchsorted(self.ends, rank, "right")
         return self.sequence[k] + rank - self.starts[k], self.offset[k]
 
@@ -249,16 +253,13 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
     counts = stage(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "lengths")
     by_length = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     runs = docs.sparkSession.sparkContext.broadcast(Runs(plan(by_length, capacity)))
-    lengths = sorted(by_length)
-    before = dict(zip(lengths, np.concatenate(([0], np.cumsum([by_length[n] for n in lengths])))[:-1].tolist(), strict=True)) if lengths else {}
-    start = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("length")) if before else F.lit(0)
     earlier = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    bases = counts.select("length", "part", (start + F.coalesce(earlier, F.lit(0))).cast("long").alias("base"))
+    bases = counts.select("length", "part", F.coalesce(earlier, F.lit(0)).cast("long").alias("base"))
     ranked = pieces.join(bases, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("rank")).alias("rank"))
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
-            sequence, offset = runs.value.place(x["rank"].to_numpy())
+            sequence, offset = runs.value.place(x["length"].to_numpy(), x["rank"].to_numpy())
             yield x.drop(columns="rank").assign(sequence_id=sequence, offset=offset)
 
     return ranked.mapInPandas(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

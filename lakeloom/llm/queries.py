@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import decontaminate, line_dedup, packing, simhash
+from lakeloom.llm import decontaminate, host_rules, line_dedup, packing, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,18 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules of every document and the verdict by its host."""
+    out = host_rules.host_verdicts(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op7_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, counts at most one apart."""
+    out = sharding.assign_shards(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     out = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -40,7 +52,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("removed_spans").cast("long").alias("n_removed"), chars.alias("removed_chars"), at.alias("removed_at"), "text")
 
 
-_QUERIES = (op1_best_fit_packing, op3_benchmark_decontamination, op9_simhash_near_dedup, op10_line_dedup)
+_QUERIES = (op1_best_fit_packing, op3_benchmark_decontamination, op6_host_rules, op7_ring_sharding, op9_simhash_near_dedup, op10_line_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -48,4 +60,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_benchmark_decontamination": decontaminate.SQL, "op10_line_dedup": line_dedup.SQL}
+    return {"op3_benchmark_decontamination": decontaminate.SQL, "op6_host_rules": host_rules.SQL, "op10_line_dedup": line_dedup.SQL}

@@ -1,0 +1,54 @@
+import random
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from lakeloom.llm import host_rules
+
+
+def naive(text):
+    plain = "".join(" " if c in " \t\v\f\r\n" else c for c in text or "")
+    words = [w for w in plain.split(" ") if w]
+    windows = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+    covered = {p for i in range(len(words) - 4) if windows[tuple(words[i : i + 5])] > 1 for p in range(i, i + 5)}
+    lines = [x for x in (text or "").split("\n") if x.strip(" \t\v\f\r")]
+    failed = len(words) < 10 or 100 * len(covered) > 20 * len(words)
+    return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered), failed)
+
+
+def test_base_rules_match_a_plain_count(spark):
+    rng = random.Random(5)
+    texts = [None, "", "\n\n", "a b c d e", "x\x1cy\x85z", "a a a a a a a a a a a a", "é ü # * $% &|<>\n\n é\né\n é\n", "w " * 20_000]
+    texts += [" ".join(rng.choice("abc") for _ in range(rng.randint(1, 40))) + rng.choice(["", "\n", "\t\v"]) for _ in range(60)]
+    docs = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "doc_id long, text string, n_words long")
+    out = host_rules.base_rules(docs)
+    for r in out.collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == naive(texts[r.doc_id])
+
+
+GOOD = " ".join(f"word{k}" for k in range(30))
+
+
+def test_a_failing_host_takes_its_good_documents_along(spark):
+    rows = [(k, f"host{k % 5}", GOOD if k % 20 else "bad") for k in range(400)]
+    rows += [(1000 + k, "spam", "bad" if k < 90 else GOOD) for k in range(100)] + [(2000, "tiny", "bad"), (2001, None, GOOD), (2002, None, "bad")]
+    out = host_rules.host_verdicts(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    kept = {r.doc_id for r in out if r.kept}
+    assert {k for k, host, text in rows if text == GOOD and host != "spam"} == kept
+    rate = {r.source: r.host_rate for r in out}
+    assert rate[None] is None and 0.8 < rate["spam"] < 0.9 and 0.3 < rate["tiny"] < rate["spam"]
+
+
+def test_one_host_all_failed_no_host_and_no_rows(spark):
+    schema = "doc_id long, source string, text string, kept string"
+    one = host_rules.host_verdicts(spark.createDataFrame([(1, "a", "bad", "x"), (2, "a", "bad", "x")], schema))
+    assert [r.kept for r in one.collect()] == [False, False] and one.columns.count("kept") == 1
+    assert [r.kept for r in host_rules.host_verdicts(spark.createDataFrame([(1, "a", GOOD, "x")], schema)).collect()] == [True]
+    assert [r.kept for r in host_rules.host_verdicts(spark.createDataFrame([(1, None, GOOD, "x")], schema)).collect()] == [True]
+    assert host_rules.host_verdicts(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_no_python_on_the_main_path(spark):
+    docs = spark.range(10).select(F.col("id").alias("doc_id"), F.lit("h").alias("source"), F.lit(GOOD).alias("text"))
+    plan = host_rules.host_verdicts(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

@@ -1,0 +1,80 @@
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
+from lakeloom.llm import packing
+
+
+def used(patterns):
+    out = Counter()
+    for lengths, copies in patterns:
+        assert copies > 0
+        for n in lengths:
+            out[n] += copies
+    return out
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_plan_uses_all_and_fits(seed):
+    rng = random.Random(seed)
+    for capacity in (12, 64, 500):
+        counts = {rng.randint(1, capacity): rng.randint(1, 40) for _ in range(rng.randint(1, 30))}
+        patterns = packing.plan(counts, capacity)
+        assert used(patterns) == Counter(counts)
+        assert all(sum(lengths) <= capacity for lengths, _ in patterns)
+
+
+def test_exact_complements_of_one_two_and_three_lengths():
+    assert sum(c for _, c in packing.plan({70: 3, 30: 3, 60: 2, 25: 2, 15: 2, 50: 1, 20: 1, 18: 1, 12: 1}, 100)) == 6
+    assert packing.plan({50: 7}, 100)[0] == ((50, 50), 3)
+    assert packing.plan({}, 100) == []
+
+
+def test_best_fit_never_needs_more_than_one_bin_a_piece_by_piece_packer_needs():
+    rng = random.Random(3)
+    counts = Counter(rng.randint(20, 60) for _ in range(400))
+    bins = []
+    for n in sorted(counts.elements(), reverse=True):
+        fit = min((k for k in range(len(bins)) if bins[k] >= n), key=bins.__getitem__, default=None)
+        if fit is None:
+            bins.append(100 - n)
+        else:
+            bins[fit] -= n
+    assert sum(c for _, c in packing._best_fit(dict(counts), 100)) == len(bins)
+    assert sum(c for _, c in packing.plan(dict(counts), 100)) <= len(bins)
+
+
+TEXTS = [None, "", " \n", "One. Two, three... don't it's a.b, c.", "Ünï cødé ２３ \x1c x y", "<|ENDOFTEXT|> Hi <|endoftext|>x.", "été É.", "word " * 9000, "ǅ İstanbul ß ẞ", "a" * 20_000]
+
+
+def test_ids_are_the_tokenizers():
+    plain = Tokenizer.from_file(packing.TOKENIZER)
+    got = packing.Encoder(packing.TOKENIZER)([None if t is None else t.encode() for t in TEXTS])
+    for text, ids in zip(TEXTS, got, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text or "", add_special_tokens=False).ids
+
+
+def test_pack_places_every_piece_without_gaps(spark):
+    rows = [(k, t, 0, 0) for k, t in enumerate(TEXTS * 3)] + [(None, "no id", 1, 1), (None, "no id", 1, 1), (3, "again", 1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, length long, sequence_id long").repartition(5)
+    out = packing.pack(docs).toPandas()
+    plain = Tokenizer.from_file(packing.TOKENIZER)
+    want = Counter()
+    for key, text, *_ in rows:
+        ids = np.array([*plain.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        for piece, start in enumerate(range(0, len(ids), 4096)):
+            own = ids[start : start + 4096]
+            want[(key, piece, start, len(own), zlib.crc32(own.tobytes()))] += 1
+    got = Counter((None if k != k else k, *map(int, r)) for k, *r in out[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False))
+    assert got == want
+    for _, own in out.sort_values("offset").groupby("sequence_id"):
+        assert own["offset"].tolist() == [0, *own["length"].cumsum()[:-1]] and own["length"].sum() <= 4096
+    assert out["sequence_id"].nunique() <= -(-out["length"].sum() // 4096) + 1
+
+
+def test_empty_table(spark):
+    assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
