@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import decontaminate, host_rules, line_dedup, packing, sharding, simhash
+from lakeloom.llm import decontaminate, host_rules, langid, line_dedup, packing, quality, sharding, simhash
+from lakeloom.llm.common import bucket_of
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,15 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op2_rank_order_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    held_out = bucket_of(F.col("doc_id"), 4) == 2
+    profiles = langid.learn(docs.where(~held_out))
+    out = langid.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), profiles)
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words and items in every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -26,6 +36,15 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels")
+    model = quality.learn(docs, labels.where(bucket_of(F.col("doc_id"), 3) != 1))
+    out = quality.score(docs.withColumn("held_out", bucket_of(F.col("doc_id"), 3) == 1), model)
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules of every document and the verdict by its host."""
     out = host_rules.host_verdicts(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
@@ -52,7 +71,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("removed_spans").cast("long").alias("n_removed"), chars.alias("removed_chars"), at.alias("removed_at"), "text")
 
 
-_QUERIES = (op1_best_fit_packing, op3_benchmark_decontamination, op6_host_rules, op7_ring_sharding, op9_simhash_near_dedup, op10_line_dedup)
+_QUERIES = (op1_best_fit_packing, op2_rank_order_langid, op3_benchmark_decontamination, op4_bradley_terry_quality, op6_host_rules, op7_ring_sharding, op9_simhash_near_dedup, op10_line_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
