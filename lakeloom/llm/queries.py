@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import decontaminate, host_rules, langid, line_dedup, packing, quality, sharding, simhash
+from lakeloom.llm import decontaminate, host_rules, langid, line_dedup, lm_scoring, packing, quality, sharding, simhash
 from lakeloom.llm.common import bucket_of
 
 
@@ -57,6 +57,14 @@ def op7_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by word counts and by PPM."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (bucket_of(F.col("doc_id"), 5) == 1).alias("held_out"))
+    model = lm_scoring.learn(docs.where("not held_out"))
+    out = lm_scoring.score(docs, model)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     out = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -71,7 +79,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("removed_spans").cast("long").alias("n_removed"), chars.alias("removed_chars"), at.alias("removed_at"), "text")
 
 
-_QUERIES = (op1_best_fit_packing, op2_rank_order_langid, op3_benchmark_decontamination, op4_bradley_terry_quality, op6_host_rules, op7_ring_sharding, op9_simhash_near_dedup, op10_line_dedup)
+_QUERIES = (op1_best_fit_packing, op2_rank_order_langid, op3_benchmark_decontamination, op4_bradley_terry_quality, op6_host_rules, op7_ring_sharding, op8_ppm_scoring, op9_simhash_near_dedup, op10_line_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
