@@ -7,7 +7,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -145,9 +144,9 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, *, id_col: str = "doc_i
     bases = counts.select("arc", "part", F.coalesce(earlier, F.lit(0)).cast("long").alias("base"))
     ranked = keyed.join(bases, ["arc", "part"]).select("doc_id", "size", "text_crc32", "arc", (F.col("base") + F.col("rank")).alias("rank"))
 
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in frames:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
             shard, slot = places.value.place(x["arc"].to_numpy(), x["rank"].to_numpy())
-            yield x.drop(columns=["arc", "rank"]).assign(shard=shard, slot=slot)
+            yield pa.RecordBatch.from_arrays([*x.columns[:-2], pa.array(shard), pa.array(slot)], [*x.schema.names[:-2], "shard", "slot"])
 
-    return ranked.mapInPandas(place, f"doc_id {kind}, size long, text_crc32 long, shard int, slot long")
+    return ranked.mapInArrow(place, f"doc_id {kind}, size long, text_crc32 long, shard int, slot long")

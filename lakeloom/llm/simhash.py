@@ -48,19 +48,26 @@ def _majority(hashes: list[int]) -> int:
     return int(np.packbits(2 * counts > len(values), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp)``, fp being the fingerprint's bits as a signed long.
+def with_fingerprints(docs: DataFrame, text_col: str = "text", name: str = "fp") -> DataFrame:
+    """``docs`` with each text's fingerprint as a signed long; a column of that name is replaced.
 
-    One row for each row of ``docs``; a null text has fingerprint 0.
+    A null text has fingerprint 0.
     """
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    own = docs.drop(name).withColumn(name, F.lit(0).cast("long"))
+    at = own.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            fps = np.array([fingerprint(t) for t in utf8(part.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps)], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t) for t in utf8(part.column(at))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(fps)], schema=part.schema)
+
+    return own.mapInArrow(run, own.schema)
 
-    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, fp long")
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, fp)``, a row for each row of ``docs``."""
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return with_fingerprints(own).select("doc_id", "fp")
 
 
 def _group_links(fps: np.ndarray) -> list[tuple[int, int]]:
@@ -160,3 +167,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_class = rooted.join(named, "root").select("fp", "component_id")
     return fps.join(by_class, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each component of ``docs`` the row whose id names it, all columns kept.
+
+    Of rows with that id, one stays. Rows without id go if a document with an
+    id is in their component, else one of each fingerprint stays.
+    """
+    groups = near_duplicates(docs, id_col, text_col)
+    named = groups.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    kept = docs.join(named, id_col, "left_semi").dropDuplicates([id_col])
+    unnamed = groups.where("component_id is null").select(F.col("fp").alias("__fp")).distinct()
+    others = with_fingerprints(docs.where(F.col(id_col).isNull()), text_col, "__fp").join(unnamed, "__fp", "left_semi").dropDuplicates(["__fp"])
+    return kept.unionByName(others.select(docs.columns))
