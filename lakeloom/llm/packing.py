@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
@@ -22,7 +20,8 @@ CAPACITY = 4096
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
 #: Distinct chunks whose ids a Python worker remembers.
-CACHE = 500_000
+CACHE = 400_000
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'").encode()
 Pattern = tuple[tuple[int, ...], int]
 
 
@@ -167,46 +166,63 @@ class Encoder:
     """Ids of whole texts, put together from those of their chunks.
 
     The tokenizer drops white space and no token crosses it, so a text's ids
-    are those of its chunks between ASCII white space. A full stop or comma
-    after a letter a-z is a word of its own. Chunks are looked up with A-Z
-    lower-cased, as the tokenizer does; new ones of letters only are encoded
-    in one call and told apart by the tokens that end a word.
+    are those of its chunks between ASCII white space. Chunks are looked up
+    with A-Z lower-cased, as the tokenizer does. Of new ones, ASCII
+    punctuation after letters is a word of its own (but for apostrophes,
+    which may begin an English ending); letters only are encoded in one call
+    and told apart by the tokens that end a word. When ``CACHE`` chunks are
+    known, those not met again before as many more are forgotten.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        self.split_off = re.compile(rb"(?<=[a-z])([.,])(?=[\x09-\x0d\x20]|$)")
+        self.tokenizer, self.known, self.old = Tokenizer.from_file(path), {}, {}
+        self.tokenizer.model._resize_cache(0)  # what it would remember is known here
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def __call__(self, texts: list[bytes | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        chunks = [self._chunks(t or b"") for t in texts]
+        # The tokenizer's special strings are matched as they are written.
+        chunks = [(t if b"<|" in t else t.translate(LOWER)).split() if t else [] for t in texts]
         if len(self.known) > CACHE:
-            self.known.clear()
+            self.known, self.old = {}, self.known
         if new := set().union(*chunks).difference(self.known):
-            self._learn([c.decode() for c in new])
-        return [b"".join(map(self.known.__getitem__, c)) for c in chunks]
-
-    def _chunks(self, text: bytes) -> list[bytes]:
-        if b"<|" in text:  # the tokenizer's special strings are matched as they are written
-            return text.split()
-        return self.split_off.sub(rb" \1", text.translate(LOWER)).split()
-
-    def _learn(self, new: list[str]) -> None:
-        words = [c for c in new if c.isalpha()]
-        rest = [c for c in new if not c.isalpha()]
+            if again := new.intersection(self.old):
+                self.known.update(zip(again, map(self.old.__getitem__, again), strict=True))
+                new -= again
+            if new:
+                self._learn(new)
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, c)) for c in chunks]
+
+    def _learn(self, new: set[bytes]) -> None:
+        known, words, rest, tailed = self.known, set(), set(), []
+        letters = lambda c: c.isalpha() or not c.isascii() and c.decode().isalpha()
+        for chunk in new:
+            if letters(chunk):
+                words.add(chunk)
+            elif len(stem := chunk.rstrip(_MARKS)) < len(chunk) and letters(stem):
+                tailed.append((chunk, stem, tail := chunk[len(stem) :]))
+                if stem not in known:
+                    words.add(stem)
+                if tail not in known:
+                    rest.add(tail)
+            else:
+                rest.add(chunk)
+        words, rest = list(words), list(rest)
         if words:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(words) and cuts[-1] == len(ids):
-                for word, a, b in zip(words, [0, *cuts.tolist()], cuts.tolist(), strict=False):
-                    self.known[word.encode()] = ids[a:b].tobytes()
+                raw, cuts = ids.tobytes(), (4 * cuts).tolist()
+                known.update(zip(words, map(raw.__getitem__, map(slice, [0, *cuts], cuts)), strict=True))
             else:  # a word that normalises to several
                 rest += words
-        for chunk, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.known[chunk.encode()] = np.array(found.ids, "<u4").tobytes()
+        for chunk, found in zip(rest, self.tokenizer.encode_batch_fast([c.decode() for c in rest], add_special_tokens=False), strict=True):
+            known[chunk] = np.array(found.ids, "<u4").tobytes()
+        for chunk, stem, tail in tailed:
+            known[chunk] = known[stem] + known[tail]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -257,9 +273,9 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
     bases = counts.select("length", "part", F.coalesce(earlier, F.lit(0)).cast("long").alias("base"))
     ranked = pieces.join(bases, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("rank")).alias("rank"))
 
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in frames:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
             sequence, offset = runs.value.place(x["length"].to_numpy(), x["rank"].to_numpy())
-            yield x.drop(columns="rank").assign(sequence_id=sequence, offset=offset)
+            yield pa.RecordBatch.from_arrays([*x.columns[:-1], pa.array(sequence), pa.array(offset)], [*x.schema.names[:-1], "sequence_id", "offset"])
 
-    return ranked.mapInPandas(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
