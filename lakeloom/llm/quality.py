@@ -128,9 +128,9 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(x, pa.list_(pa.float64()))], ["id", "y", "x"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    found = own.mapInArrow(run, f"id {kind}, y boolean, x array<double>").groupBy("id").agg(F.min(F.struct("y", "x")).alias("r")).select("id", "r.*").toPandas().sort_values("id")
-    x = np.array(found["x"].tolist(), np.float64).reshape(-1, N_FEATURES)
-    return BradleyTerry(x, found["y"].to_numpy(bool))
+    found = own.mapInArrow(run, f"id {kind}, y boolean, x array<double>").groupBy("id").agg(F.min(F.struct("y", "x")).alias("r")).select("id", "r.*").toArrow().sort_by("id")
+    x = np.array(found["x"].to_pylist(), np.float64).reshape(-1, N_FEATURES)
+    return BradleyTerry(x, np.array(found["y"].to_pylist(), bool))
 
 
 def score(docs: DataFrame, model: BradleyTerry, text_col: str = "text") -> DataFrame:
