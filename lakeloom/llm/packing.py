@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -19,9 +21,8 @@ from lakeloom.llm.common import LOWER, slices, stage, utf8
 CAPACITY = 4096
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
-#: Distinct chunks whose ids a Python worker remembers.
-CACHE = 400_000
-_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'").encode()
+#: Distinct units whose ids a Python worker remembers.
+CACHE = 700_000
 Pattern = tuple[tuple[int, ...], int]
 
 
@@ -163,66 +164,194 @@ class Runs:
 
 
 class Encoder:
-    """Ids of whole texts, put together from those of their chunks.
-
-    The tokenizer drops white space and no token crosses it, so a text's ids
-    are those of its chunks between ASCII white space. Chunks are looked up
-    with A-Z lower-cased, as the tokenizer does. Of new ones, ASCII
-    punctuation after letters is a word of its own (but for apostrophes,
-    which may begin an English ending); letters only are encoded in one call
-    and told apart by the tokens that end a word. When ``CACHE`` chunks are
-    known, those not met again before as many more are forgotten.
+    """Ids of whole texts, put together from those of their words.
+
+    The tokenizer drops white space, lower-cases, and never joins letters or
+    digits with other signs, so a text's ids are those of its units: runs of
+    letters and digits, and runs of ASCII signs. A chunk between white space
+    that holds an apostrophe (it may begin an English ending) or a character
+    whose class isn't plain from its bytes is one unit. Units are found and
+    looked up by array operations over a slice of texts: a unit of up to 23
+    bytes is its own key, three words of 64 bits with the length in the last
+    byte. New ones are encoded by the tokenizer, those of letters only in one
+    call, told apart by the tokens that end a word. After ``CACHE`` units the
+    table begins anew.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known, self.old = Tokenizer.from_file(path), {}, {}
+        self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.model._resize_cache(0)  # what it would remember is known here
         vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.word_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.word_end[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys = np.zeros((3, 2 * CACHE), np.uint64)
+        self.slots = np.full(2 * CACHE, -1, np.int32)
+        self.long: dict[bytes, int] = {}
+        self.ids, self.begin, self.count = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
+        self.units = self.used = 0
 
     def __call__(self, texts: list[bytes | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         # The tokenizer's special strings are matched as they are written.
-        chunks = [(t if b"<|" in t else t.translate(LOWER)).split() if t else [] for t in texts]
-        if len(self.known) > CACHE:
-            self.known, self.old = {}, self.known
-        if new := set().union(*chunks).difference(self.known):
-            if again := new.intersection(self.old):
-                self.known.update(zip(again, map(self.old.__getitem__, again), strict=True))
-                new -= again
-            if new:
-                self._learn(new)
-        ids = self.known.__getitem__
-        return [b"".join(map(ids, c)) for c in chunks]
-
-    def _learn(self, new: set[bytes]) -> None:
-        known, words, rest, tailed = self.known, set(), set(), []
-        letters = lambda c: c.isalpha() or not c.isascii() and c.decode().isalpha()
-        for chunk in new:
-            if letters(chunk):
-                words.add(chunk)
-            elif len(stem := chunk.rstrip(_MARKS)) < len(chunk) and letters(stem):
-                tailed.append((chunk, stem, tail := chunk[len(stem) :]))
-                if stem not in known:
-                    words.add(stem)
-                if tail not in known:
-                    rest.add(tail)
-            else:
-                rest.add(chunk)
-        words, rest = list(words), list(rest)
+        plain = [b"" if not t or b"<|" in t else t for t in texts]
+        out = self._plain(plain)
+        for k, t in enumerate(texts):
+            if t and b"<|" in t:
+                out[k] = np.array(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        return out
+
+    def _plain(self, texts: list[bytes]) -> list[bytes]:
+        if self.units > CACHE:
+            self._clear()
+        raw = b"\n".join(texts).translate(LOWER) + b"\n" + bytes(32)
+        flat = np.frombuffer(raw, np.uint8)[:-32]
+        starts, ends = _units(flat)
+        index = self._find(raw, starts, ends)
+        count = self.count[index]
+        upto = np.cumsum(count)
+        own = self.ids[np.repeat(self.begin[index] - (upto - count), count) + np.arange(upto[-1] if len(upto) else 0)]
+        after = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+        cuts = np.concatenate(([0], upto))[np.searchsorted(starts, after)] * 4
+        whole, cuts = own.astype("<u4").tobytes(), cuts.tolist()
+        return [whole[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+
+    def _find(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The index of each unit, after learning the new ones."""
+        size = ends - starts
+        words = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+        keys = [words[starts + 8 * k] & _MASK[np.clip(size - 8 * k, 0, 8)] for k in range(3)]
+        keys[2] |= size.astype(np.uint64) << np.uint64(56)
+        index, slot = self._look_up(*keys)
+        long = size > 23
+        index[long] = [self.long.get(raw[a:b], -1) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+        new = np.flatnonzero((index < 0) & ~long)
+        if len(new):
+            by = new[np.lexsort([k[new] for k in keys])]
+            first = np.concatenate(([True], np.any([k[by[1:]] != k[by[:-1]] for k in keys], axis=0)))
+            one = by[first]
+            known = self._learn([raw[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)])
+            self._insert([k[one] for k in keys], slot[one], known)
+            index[by] = known[np.cumsum(first) - 1]
+        if len(rest := np.flatnonzero((index < 0) & long)):
+            found = [raw[a:b] for a, b in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)]
+            fresh = list(dict.fromkeys(found))
+            self.long.update(zip(fresh, self._learn(fresh).tolist(), strict=True))
+            index[rest] = [self.long[u] for u in found]
+        return index
+
+    def _look_up(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Indices, -1 where unknown, and the slots where the search ended."""
+        slot = ((a * _MIX[0] ^ b * _MIX[1] ^ c * _MIX[2]) * _MIX[3] >> np.uint64(20)).astype(np.int64) % len(self.slots)
+        out, left = self.slots[slot], np.arange(len(slot))
+        while len(left):
+            at = slot[left]
+            left = left[(out[left] >= 0) & ((self.keys[0][at] != a[left]) | (self.keys[1][at] != b[left]) | (self.keys[2][at] != c[left]))]
+            slot[left] = (slot[left] + 1) % len(self.slots)
+            out[left] = self.slots[slot[left]]
+        return out, slot
+
+    def _insert(self, keys: list[np.ndarray], slot: np.ndarray, index: np.ndarray) -> None:
+        if 2 * self.units > len(self.slots):  # a slice of very many new units
+            has = np.flatnonzero(self.slots >= 0)
+            keys = [np.concatenate((own[has], k)) for own, k in zip(self.keys, keys, strict=True)]
+            index = np.concatenate((self.slots[has], index))
+            self.keys = np.zeros((3, 4 * self.units), np.uint64)
+            self.slots = np.full(4 * self.units, -1, np.int32)
+            slot = self._look_up(*keys)[1]
+        left = np.arange(len(slot))
+        while len(left):
+            free = left[self.slots[slot[left]] < 0]
+            self.slots[slot[free]] = index[free]  # of several for one slot, the last stays
+            for own, k in zip(self.keys, keys, strict=True):
+                own[slot[free]] = k[free]
+            lost = self.slots[slot[left]] != index[left]
+            if lost.any():  # the keys of a slot must be those of the unit that has it
+                held = left[~lost]
+                for own, k in zip(self.keys, keys, strict=True):
+                    own[slot[held]] = k[held]
+            left = left[lost]
+            slot[left] = (slot[left] + 1) % len(self.slots)
+
+    def _learn(self, units: list[bytes]) -> np.ndarray:
+        """Encodes new units and gives their indices."""
+        alpha = [u.isalpha() or not u.isascii() and u.decode().isalpha() for u in units]
+        words = [k for k, a in enumerate(alpha) if a]
+        rest = [k for k, a in enumerate(alpha) if not a]
+        counts, found = np.zeros(len(units), np.int32), []
+        order: list[int] = []
         if words:
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join([units[k] for k in words]).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = np.flatnonzero(self.word_end[ids]) + 1
             if len(cuts) == len(words) and cuts[-1] == len(ids):
-                raw, cuts = ids.tobytes(), (4 * cuts).tolist()
-                known.update(zip(words, map(raw.__getitem__, map(slice, [0, *cuts], cuts)), strict=True))
+                counts[words] = np.diff(cuts, prepend=0)
+                found.append(ids)
+                order += words
             else:  # a word that normalises to several
                 rest += words
-        for chunk, found in zip(rest, self.tokenizer.encode_batch_fast([c.decode() for c in rest], add_special_tokens=False), strict=True):
-            known[chunk] = np.array(found.ids, "<u4").tobytes()
-        for chunk, stem, tail in tailed:
-            known[chunk] = known[stem] + known[tail]
+        for k, e in zip(rest, self.tokenizer.encode_batch_fast([units[k].decode() for k in rest], add_special_tokens=False), strict=True):
+            found.append(np.array(e.ids, np.uint32))
+            counts[k] = len(e.ids)
+        order += rest
+        own = np.concatenate(found) if found else np.zeros(0, np.uint32)
+        begin = np.zeros(len(units), np.int64)
+        begin[order] = self.used + np.cumsum(counts[order]) - counts[order]
+        n, used = self.units + len(units), self.used + len(own)
+        while len(self.count) < n:
+            self.count, self.begin = np.concatenate((self.count, self.count * 0)), np.concatenate((self.begin, self.begin * 0))
+        while len(self.ids) < used:
+            self.ids = np.concatenate((self.ids, self.ids * 0))
+        index = np.arange(self.units, n, dtype=np.int32)
+        self.count[index], self.begin[index], self.ids[self.used : used] = counts, begin, own
+        self.units, self.used = n, used
+        return index
+
+
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Odd numbers that mix the bits of a key.
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+#: Of bytes: 0 ASCII white space, 1 letters, digits and all beyond ASCII, 2 other signs, 3 the apostrophe.
+_CLASS = np.array([0 if b in (9, 10, 11, 12, 13, 32) else 3 if b == 39 else 1 if b > 127 or chr(b).isalnum() else 2 for b in range(256)], np.uint8)
+
+
+@cache
+def _odd() -> np.ndarray:
+    """Of a first byte beyond ASCII and the next, as a 16-bit number: whether the character may be no letter or digit.
+
+    Of two bytes, it is one if it and what it normalises and lower-cases to
+    are. Of three, those of U+4000 to U+9FFF but for U+4DC0 to U+4DFF are.
+    """
+    out = np.zeros((256, 256), bool)
+    out[0xC2:] = True
+    for c in range(0x80, 0x800):
+        a, b = chr(c).encode()
+        out[a, b] = not (chr(c).isalnum() and unicodedata.normalize("NFC", chr(c)).lower().isalnum())
+    out[0xE4:0xEA] = False
+    out[0xE4, 0xB7] = True
+    return out.ravel()
+
+
+def _units(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the units of lower-cased UTF-8 that ends in white space begin and end."""
+    kind = _CLASS[flat]
+    inside = kind > 0
+    before = np.concatenate(([False], inside[:-1]))
+    chunk = inside & ~before
+    cut = np.concatenate(([False], kind[1:] != kind[:-1])) & inside
+    whole = np.flatnonzero(kind == 3)
+    lead = np.flatnonzero(flat >= 0xC2)
+    if len(lead):
+        lead = lead[_odd()[flat[lead].astype(np.int64) << 8 | flat[lead + 1]]]
+    if len(whole) or len(lead):
+        of = np.cumsum(chunk) - 1
+        held = np.zeros(of[-1] + 1, bool)
+        held[of[whole]] = held[of[lead]] = True
+        cut &= ~held[of]
+    begins = chunk | cut
+    after = np.concatenate((~inside[1:] | begins[1:], [True]))
+    return np.flatnonzero(begins), np.flatnonzero(inside & after) + 1
 
 
 _encoders: dict[str, Encoder] = {}

@@ -78,3 +78,16 @@ def test_pack_places_every_piece_without_gaps(spark):
 
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("cache", [1_000_000, 40])
+def test_ids_of_any_characters_are_the_tokenizers(monkeypatch, cache):
+    monkeypatch.setattr(packing, "CACHE", cache)
+    rng = random.Random(cache)
+    parts = [*"aZé.,!&'-_3 \n\t", "'s", "'RE", "’", "—", "İ", "́", "١", "²", "ª", "×", "K", "क़", "한", "하", "ﬁ", "你", "䷀", "Ω", "·", "\x1c", "\x85", "\xa0", "　", "\x00", "ͅ", "҂", "😀", "a" * 22, "b" * 24, "é" * 12, "<|endoftext|>", "word", "the"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(4000)]
+    plain, encode = Tokenizer.from_file(packing.TOKENIZER), packing.Encoder(packing.TOKENIZER)
+    for start in range(0, len(texts), 500):
+        own = texts[start : start + 500]
+        for text, ids in zip(own, encode([t.encode() for t in own]), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
