@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.functions.text import tokens
 
 
+def _frequency(toks: Column, term: str) -> Column:
+    return F.size(F.filter(toks, lambda x: x == F.lit(term))).cast("double")
+
+
 def bm25(docs: DataFrame, terms: list[str], *, k1: float = 1.5, b: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, score)`` of every document that holds a query term.
 
@@ -23,7 +27,7 @@ def bm25(docs: DataFrame, terms: list[str], *, k1: float = 1.5, b: float = 0.75,
     tf = toks.select(
         "__id",
         F.size("__t").cast("double").alias("__len"),
-        F.array(*[F.size(F.filter("__t", lambda x, t=t: x == t)).cast("double") for t in terms]).alias("__f"),
+        F.array(*[_frequency(F.col("__t"), t) for t in terms]).alias("__f"),
     )
     stats = tf.agg(
         F.count("*").cast("double").alias("__n"),

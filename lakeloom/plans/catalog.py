@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.plans import retrieval
+from lakeloom.plans import relational, retrieval, streams
 
-_MODULES = [retrieval]
+_MODULES = [retrieval, relational, streams]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,10 +1,13 @@
-"""Retrieval queries: tokens, chunks, BM25, vectors, fusion."""
+"""Retrieval queries: tokens, chunks, BM25, vectors, fusion, summaries."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lakeloom.functions.text import tokens
+from lakeloom.operators import chunking, fusion, structured, summaries, vectors
 from lakeloom.operators.bm25 import bm25
+from lakeloom.operators.tokens import bpe_count
 from lakeloom.plans.query import Query
 from lakeloom.sources.tables import table
 
@@ -20,6 +23,13 @@ SELECT doc_id, round(sum(ln(1+(n-d+0.5e0)/(d+0.5e0)) * f*2.5e0 / (f+1.5e0*(0.25e
 FROM tf JOIN df USING (tok) JOIN len USING (doc_id), st GROUP BY doc_id
 """
 
+KNN_SQL = """
+WITH s AS (SELECT q.vec_id AS query, e.vec_id AS id, list_cosine_similarity(q.embedding::double[], e.embedding::double[]) AS sim
+           FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0 {where})
+SELECT query, id, rank::int AS rank, round(sim, 6) AS sim
+FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, id) AS rank FROM s) WHERE rank <= 10
+"""
+
 
 def bm25_scores(spark, sf_dir):
     return bm25(table(spark, sf_dir, "documents"), TERMS).withColumn("score", F.round("score", 6))
@@ -29,7 +39,142 @@ def bm25_topk(spark, sf_dir, k: int = 10):
     return bm25_scores(spark, sf_dir).orderBy(F.desc("score"), "doc_id").limit(k)
 
 
+def tokenize(spark, sf_dir):
+    """Token counts; each row's tokens are counted by hash aggregation after a map-side sum."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("tok")).groupBy("doc_id", "tok").agg(F.count("*").alias("n"))
+
+
+def chunk_fixed(spark, sf_dir):
+    return chunking.chunk_fixed(table(spark, sf_dir, "documents"))
+
+
+def chunk_tokens(spark, sf_dir):
+    return chunking.chunk_tokens(table(spark, sf_dir, "documents"))
+
+
+def chunk_recursive(spark, sf_dir):
+    return chunking.chunk_recursive(table(spark, sf_dir, "documents"))
+
+
+def bpe_counts(spark, sf_dir):
+    import public_tokenizers as p
+
+    return bpe_count(table(spark, sf_dir, "documents"), p.path("byte_bpe_50k.tiktoken"), p.PATTERN).select("doc_id", "n_bpe")
+
+
+def _queries_of(embeddings):
+    return embeddings.where(F.col("vec_id") % 50 == 0)
+
+
+def knn_exact(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return vectors.knn_exact(_queries_of(e), e).withColumn("sim", F.round("sim", 6))
+
+
+def knn_filtered(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return vectors.knn_filtered(_queries_of(e), e, F.col("label") == 1).withColumn("sim", F.round("sim", 6))
+
+
+def vector_distances(spark, sf_dir):
+    """Distances of every vector from that of id 0, one row that is broadcast."""
+    e = table(spark, sf_dir, "embeddings")
+    one = e.where("vec_id = 0").select(F.col("embedding").alias("q")).limit(1)
+    d = e.join(F.broadcast(one))
+    return d.select("vec_id", F.round(vectors.cosine(F.col("q"), F.col("embedding")), 6).alias("cos"), F.round(vectors.l2(F.col("q"), F.col("embedding")), 6).alias("l2"), F.round(vectors.inner_product(F.col("q"), F.col("embedding")), 6).alias("ip"))
+
+
+def vector_upsert(spark, sf_dir):
+    """Ids divisible by 5 get a new label, those by 7 go; the later change wins."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    first = e.where("vec_id % 5 = 0").select("vec_id", F.lit(100).alias("label"), F.lit(1).alias("version"), F.lit(False).alias("deleted"))
+    second = e.where("vec_id % 7 = 0").select("vec_id", "label", F.lit(2).alias("version"), F.lit(True).alias("deleted"))
+    return vectors.upsert(e, first.unionByName(second))
+
+
+def rrf(spark, sf_dir):
+    """BM25's hundred best fused with those nearest to vector 0, on the number alone."""
+    e = table(spark, sf_dir, "embeddings")
+    lexical = bm25_topk(spark, sf_dir, 100)
+    first = lexical.agg(F.sort_array(F.collect_list(F.struct(-F.col("score"), "doc_id"))).alias("x")).select(F.posexplode("x").alias("k", "x")).select(F.col("x.doc_id").alias("id"), (F.col("k") + 1).alias("rank"))
+    second = vectors.knn_exact(e.where("vec_id = 0"), e, 100).select("id", "rank")
+    return fusion.rrf([first, second]).withColumn("score", F.round("score", 9))
+
+
+def mmr(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    near = vectors.knn_exact(_queries_of(e), e, 20)
+    with_v = near.join(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), "id")
+    return fusion.mmr(with_v.select("query", "id", "sim", "v"))
+
+
+def parse_structured(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", "props")
+    good, _ = structured.parse_structured(events, "props", "k int")
+    return good.select("event_id", F.col("parsed.k").alias("k"))
+
+
+def prompt_render(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", structured.prompt_render("[{role}] {text}\n", role=F.col("role"), text=F.col("text")).alias("prompt"))
+
+
+def history_window(spark, sf_dir):
+    own = structured.history_window(table(spark, sf_dir, "conversations"))
+    return own.select("conv_id", "turn", F.array_join(F.transform("history", lambda h: F.concat_ws(": ", h["role"], h["text"])), "\n").alias("history"))
+
+
+def describe(spark, sf_dir):
+    return summaries.describe(table(spark, sf_dir, "documents"), "lang", "n_chars")
+
+
+def correlation(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").agg(F.round(F.corr("l_quantity", "l_extendedprice"), 9).alias("r"))
+
+
+def histogram(spark, sf_dir):
+    return summaries.histogram(table(spark, sf_dir, "documents"), F.col("n_chars"), 1000.0)
+
+
 QUERIES = {
     "bm25": Query(bm25_scores, BM25_SQL),
     "bm25_topk": Query(bm25_topk, BM25_SQL + " ORDER BY score DESC, doc_id LIMIT 10"),
+    "tokenize": Query(tokenize, r"SELECT doc_id, tok, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS tok FROM documents) GROUP BY 1, 2"),
+    "chunk_fixed": Query(chunk_fixed, "SELECT doc_id, i::int AS chunk, substring(text, (i*150+1)::int, 200) AS text FROM (SELECT doc_id, text, unnest(range(0, greatest(0, (length(text)-51)//150)+1)) AS i FROM documents)"),
+    "chunk_tokens": Query(
+        chunk_tokens,
+        r"""SELECT doc_id, i::int AS chunk, len(t[i*80+1:i*80+100])::int AS n_tokens, array_to_string(t[i*80+1:i*80+100], ' ') AS text
+        FROM (SELECT doc_id, t, unnest(range(0, greatest(0, (len(t)-21)//80)+1)) AS i
+              FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents) WHERE len(t) > 0)""",
+    ),
+    "chunk_recursive": Query(chunk_recursive),
+    "bpe_count": Query(bpe_counts),
+    "knn_exact": Query(knn_exact, KNN_SQL.format(where="")),
+    "knn_filtered": Query(knn_filtered, KNN_SQL.format(where="AND e.label = 1")),
+    "vector_distances": Query(
+        vector_distances,
+        """SELECT e.vec_id, round(list_cosine_similarity(q.embedding::double[], e.embedding::double[]), 6) AS cos,
+        round(list_distance(q.embedding::double[], e.embedding::double[]), 6) AS l2, round(list_inner_product(q.embedding::double[], e.embedding::double[]), 6) AS ip
+        FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q""",
+    ),
+    "vector_upsert": Query(vector_upsert, "SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 100 ELSE label END AS label FROM embeddings WHERE vec_id % 7 <> 0"),
+    "rrf": Query(
+        rrf,
+        f"""WITH b AS ({BM25_SQL}), l AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM b QUALIFY r <= 100),
+        v AS (SELECT e.vec_id AS id, row_number() OVER (ORDER BY list_cosine_similarity(q.embedding::double[], e.embedding::double[]) DESC, e.vec_id) AS r
+              FROM embeddings e, embeddings q WHERE q.vec_id = 0 QUALIFY r <= 100)
+        SELECT id, round(sum(1e0/(60+r)), 9) AS score FROM (SELECT * FROM l UNION ALL SELECT * FROM v) GROUP BY id""",
+    ),
+    "mmr": Query(mmr),
+    "parse_structured": Query(parse_structured, "SELECT event_id, (props->>'k')::int AS k FROM events"),
+    "prompt_render": Query(prompt_render, "SELECT conv_id, turn, '[' || coalesce(role, '') || '] ' || coalesce(text, '') || chr(10) AS prompt FROM conversations"),
+    "history_window": Query(history_window, "SELECT conv_id, turn, array_to_string(list(role || ': ' || text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), chr(10)) AS history FROM conversations"),
+    "describe": Query(
+        describe,
+        """SELECT lang, count(n_chars) AS n, round(avg(n_chars), 6) AS mean, round(stddev_samp(n_chars), 6) AS std, min(n_chars) AS min, round(quantile_cont(n_chars, 0.25), 6) AS q1,
+        round(quantile_cont(n_chars, 0.5), 6) AS median, round(quantile_cont(n_chars, 0.75), 6) AS q3, max(n_chars) AS max FROM documents GROUP BY lang""",
+    ),
+    "correlation": Query(correlation, "SELECT round(corr(l_quantity, l_extendedprice), 9) AS r FROM lineitem"),
+    "histogram": Query(histogram, "SELECT floor(n_chars / 1000)::bigint AS bin, count(*) AS n FROM documents GROUP BY 1"),
 }
