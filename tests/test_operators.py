@@ -135,7 +135,7 @@ def test_summaries(spark):
 
 
 def test_late_events_are_dropped_by_the_watermark(spark, tmp_path):
-    for k, hours in enumerate(([0, 1, 30], [2, 31], [60])):
+    for k, hours in enumerate(([0, 1, 30], [31], [2, 60])):
         rows = [{"event_id": h, "ts": f"2024-01-{1 + h // 24:02d}T{h % 24:02d}:00:00", "user_id": 1, "event_type": "x", "value": 1.0} for h in hours]
         (tmp_path / f"{k}.json").write_text("\n".join(map(json.dumps, rows)))
         os.utime(tmp_path / f"{k}.json", (1_700_000_000 + 60 * k,) * 2)  # files come by age
