@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakeloom.llm.common import stage
+
 #: Shrunk failure rate above which a host's documents are rejected.
 MAX_RATE = 0.5
 _SPACES = r"[\x20\x09-\x0D]+"
@@ -75,20 +77,26 @@ def host_rates(ruled: DataFrame, host_col: str) -> DataFrame:
     return hosts.crossJoin(F.broadcast(prior)).select("host", "n", "failed", ((F.col("failed") + F.col("s") * F.col("m")) / (F.col("n") + F.col("s"))).alias("rate"))
 
 
-def host_verdicts(docs: DataFrame, *, host_col: str = "source", text_col: str = "text", max_rate: float = MAX_RATE) -> DataFrame:
+def host_verdicts(docs: DataFrame, *, host_col: str = "source", text_col: str = "text", max_rate: float = MAX_RATE, carry: list[str] | None = None) -> DataFrame:
     """``docs`` with the columns of ``base_rules``, ``host_rate`` and ``kept``.
 
     ``kept`` is false for documents that fail the base rules and for those of
     a host whose shrunk failure rate is above ``max_rate``. A document
     without a host (null) has a null ``host_rate`` and is judged by its own
-    rules. Hosts are aggregated partially before the exchange, so one host
-    with a third of all rows sends a row from each task; the verdicts, one
-    row for each host, join back without regard to skew because Spark
-    broadcasts them below its size limit and else may split the hot side.
+    rules. ``carry`` names the columns of ``docs`` to return, all if None;
+    those of the rules' names are replaced.
+
+    The rules' results are staged, so that each text is read through once.
+    Hosts are aggregated partially before the exchange, so one host with a
+    third of all rows sends a row from each task. The verdicts, a row for
+    each host, are staged too: their size is then known, Spark broadcasts
+    them below its limit, and above it may split a hot host's side.
     """
-    ruled = base_rules(docs, text_col)
-    rates = host_rates(ruled.select(host_col, "base_failed"), host_col).select(F.col("host").alias("__host"), F.col("rate").alias("host_rate"))
-    joined = ruled.drop("host_rate", "kept").join(rates, F.col(host_col) == F.col("__host"), "left").drop("__host")
+    carried = [c for c in (docs.columns if carry is None else carry) if c not in ("host_rate", "kept")]
+    ruled = base_rules(docs.select(*carried, F.col(host_col).alias("__host"), F.col(text_col).alias("__text")), "__text").drop("__text")
+    ruled = stage(ruled, "rules")
+    rates = stage(host_rates(ruled.select("__host", "base_failed"), "__host").select(F.col("host").alias("__host"), F.col("rate").alias("host_rate")), "hosts")
+    joined = ruled.join(rates, "__host", "left").drop("__host")
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("host_rate") > max_rate, F.lit(False)))
 
 

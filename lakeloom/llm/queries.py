@@ -56,7 +56,7 @@ def op5_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules of every document and the verdict by its host."""
-    out = host_rules.host_verdicts(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    out = host_rules.host_verdicts(_table(spark, sf_dir, "documents"), carry=["doc_id"])
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
