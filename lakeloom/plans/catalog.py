@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.plans import relational, retrieval, streams
+from lakeloom.plans import relational, retrieval, sources, streams
 
-_MODULES = [retrieval, relational, streams]
+_MODULES = [retrieval, relational, sources, streams]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -124,6 +124,10 @@ def variant_path(spark, sf_dir):
     return e.select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "int").alias("k"))
 
 
+SESSIONS_SQL = """WITH f AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+        s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM f)
+        SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k"""
+
 QUERIES = {
     "filter_project": Query(
         filter_project,
@@ -188,9 +192,7 @@ QUERIES = {
     "tumbling_batch": _both("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM {events} GROUP BY 1, 2"),
     "session_batch": Query(
         session_batch,
-        """WITH f AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-        s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM f)
-        SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""",
+        SESSIONS_SQL,
     ),
     "scalar_udf": Query(scalar_udf, "SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS net FROM lineitem WHERE l_orderkey % 100 = 1 GROUP BY 1"),
     "aggregate_udf": Query(aggregate_udf, "SELECT o_orderpriority, round(max(o_totalprice) - min(o_totalprice), 6) AS spread FROM orders GROUP BY 1"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lakeloom.plans.query import Query
+from lakeloom.plans.relational import SESSIONS_SQL
 from lakeloom.streaming import queries as streaming
 
 
@@ -23,6 +24,11 @@ def sliding(spark, sf_dir):
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
+def sessions(spark, sf_dir):
+    out = streaming.drain(streaming.sessions(_stream(spark, sf_dir)), "complete")
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
 def totals(spark, sf_dir):
     out = streaming.drain(streaming.running_totals(_stream(spark, sf_dir)), "update")
     return out.withColumn("value", F.round("value", 4))
@@ -44,6 +50,7 @@ QUERIES = {
         sliding,
         """SELECT start, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 12 HOURS, ts, TIMESTAMP '2024-01-01'), time_bucket(INTERVAL 12 HOURS, ts, TIMESTAMP '2024-01-01') - INTERVAL 12 HOURS]) AS start FROM events) GROUP BY 1, 2""",
     ),
+    "stream_sessions": Query(sessions, SESSIONS_SQL),
     "stream_running_totals": Query(totals, "SELECT user_id, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY user_id"),
     "stream_dedup": Query(deduplicated, "SELECT event_id, event_type FROM events"),
     "stream_join": Query(stream_join, "SELECT a.event_id AS first_id, b.event_id AS second_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 30 MINUTE"),
