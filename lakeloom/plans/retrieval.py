@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lakeloom.functions.text import tokens
 from lakeloom.operators import chunking, fusion, structured, summaries, vectors
 from lakeloom.operators.bm25 import bm25
+from lakeloom.operators.ivf import knn_approx as ivf_search
 from lakeloom.operators.tokens import bpe_count
 from lakeloom.plans.query import Query
 from lakeloom.sources.tables import table
@@ -77,6 +78,12 @@ def knn_filtered(spark, sf_dir):
     return vectors.knn_filtered(_queries_of(e), e, F.col("label") == 1).withColumn("sim", F.round("sim", 6))
 
 
+def knn_approx(spark, sf_dir):
+    """Approximate, so without SQL; a test measures its recall against ``knn_exact``."""
+    e = table(spark, sf_dir, "embeddings")
+    return ivf_search(_queries_of(e), e).withColumn("sim", F.round("sim", 6))
+
+
 def vector_distances(spark, sf_dir):
     """Distances of every vector from that of id 0, one row that is broadcast."""
     e = table(spark, sf_dir, "embeddings")
@@ -173,6 +180,7 @@ QUERIES = {
     "bpe_count": Query(bpe_counts),
     "knn_exact": Query(knn_exact, KNN_SQL.format(where="")),
     "knn_filtered": Query(knn_filtered, KNN_SQL.format(where="AND e.label = 1")),
+    "knn_approx": Query(knn_approx),
     "vector_distances": Query(
         vector_distances,
         """SELECT e.vec_id, round(list_cosine_similarity(q.embedding::double[], e.embedding::double[]), 6) AS cos,

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from lakeloom.operators import chunking, fusion, structured, summaries, timejoins, vectors
+from lakeloom.operators import chunking, fusion, ivf, structured, summaries, timejoins, vectors
 from lakeloom.operators.bm25 import bm25
 from lakeloom.sources.files import SquaresSource, read_table, write_table
 from lakeloom.streaming import queries as streaming
@@ -61,6 +61,25 @@ def test_vectors_of_no_length_null_and_ties(spark, monkeypatch):
     assert vectors.knn_exact(e.limit(0), e, 2).count() == 0
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_approximate_neighbours_reach_the_recall(spark, sf):
+    e = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").repartition(4)
+    q = e.where("vec_id % 50 = 0")
+    index = ivf.fit(e)
+    found = ivf.search(q, ivf.assign(e, index), index)
+    exact = vectors.knn_exact(q, e)
+    hits = found.join(exact.select("query", "id"), ["query", "id"]).count()
+    print(f"{sf}: recall {hits / exact.count():.3f}, probes {index.probes} of {len(index.centroids)}")
+    assert hits >= 0.9 * exact.count()
+
+
+def test_approximate_neighbours_of_odd_rows(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, 0.1])]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert {(r.query, r.id) for r in ivf.knn_approx(e, e, 2, 2, 1.0).collect()} == {(1, 1), (1, 4), (4, 4), (4, 1)}
+    assert ivf.knn_approx(e.limit(0), e.limit(0)).count() == 0
+
+
 def test_upsert_is_idempotent(spark):
     base = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "vec_id long, v string")
     changes = spark.createDataFrame([(1, "x", 1, False), (1, "y", 2, False), (2, "b", 5, True), (4, "new", 1, None)], "vec_id long, v string, version int, deleted boolean")
