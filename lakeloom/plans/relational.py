@@ -158,7 +158,7 @@ QUERIES = {
     "cube": _both("SELECT o_orderstatus AS status, o_orderpriority AS priority, count(*) AS n FROM {orders} GROUP BY CUBE (o_orderstatus, o_orderpriority)"),
     "grouping_sets": _both("SELECT o_orderstatus AS status, o_orderpriority AS priority, count(*) AS n FROM {orders} GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())"),
     "ranking_windows": _both(
-        """SELECT o_orderkey, row_number() OVER w AS rn, rank() OVER v AS rk, dense_rank() OVER v AS dr, ntile(4) OVER w AS tile, round(percent_rank() OVER v, 9) AS pr, round(cume_dist() OVER v, 9) AS cd
+        """SELECT o_orderkey, cast(row_number() OVER w AS int) AS rn, cast(rank() OVER v AS int) AS rk, cast(dense_rank() OVER v AS int) AS dr, cast(ntile(4) OVER w AS int) AS tile, round(percent_rank() OVER v, 9) AS pr, round(cume_dist() OVER v, 9) AS cd
         FROM {orders} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), v AS (PARTITION BY o_custkey ORDER BY o_orderpriority)"""
     ),
     "analytic_windows": _both(
@@ -177,7 +177,7 @@ QUERIES = {
     "except_all": _both("SELECT c_nationkey AS k FROM {customer} EXCEPT ALL SELECT s_nationkey FROM {supplier}"),
     "pivot": Query(pivoted, "SELECT user_id, nullif(count(*) FILTER (WHERE event_type = 'click'), 0) AS click, nullif(count(*) FILTER (WHERE event_type = 'purchase'), 0) AS purchase, nullif(count(*) FILTER (WHERE event_type = 'view'), 0) AS view FROM events GROUP BY user_id"),
     "unpivot": Query(unpivoted, "SELECT p_partkey, unnest(['p_size', 'p_retailprice']) AS name, unnest([p_size::double, p_retailprice]) AS value FROM part"),
-    "string_scalars": _both("SELECT p_partkey, upper(p_name) AS up, lower(p_brand) AS low, substring(p_name, 2, 3) AS sub, length(p_name) AS len, replace(p_name, 'a', 'b') AS rep, lpad(p_brand, 12, '*') AS pad, trim(concat(' ', p_type, ' ')) AS tr, instr(p_name, 'e') AS pos, concat_ws('-', p_brand, p_type) AS cat FROM {part}"),
+    "string_scalars": _both("SELECT p_partkey, upper(p_name) AS up, lower(p_brand) AS low, substring(p_name, 2, 3) AS sub, cast(length(p_name) AS int) AS len, replace(p_name, 'a', 'b') AS rep, lpad(p_brand, 12, '*') AS pad, trim(concat(' ', p_type, ' ')) AS tr, cast(instr(p_name, 'e') AS int) AS pos, concat_ws('-', p_brand, p_type) AS cat FROM {part}"),
     "date_scalars": _both(
         "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, quarter(o_orderdate) AS q, datediff(DATE '2000-01-01', o_orderdate) AS days, date_format(o_orderdate, 'yyyy-MM-dd') AS f, dayofweek(o_orderdate) AS dow, cast(last_day(o_orderdate) AS string) AS eom FROM {orders}",
         "SELECT o_orderkey, year(o_orderdate)::int AS y, month(o_orderdate)::int AS m, day(o_orderdate)::int AS d, quarter(o_orderdate)::int AS q, date_diff('day', o_orderdate::date, DATE '2000-01-01')::int AS days, strftime(o_orderdate, '%Y-%m-%d') AS f, (dayofweek(o_orderdate) + 1)::int AS dow, last_day(o_orderdate)::varchar AS eom FROM orders",
@@ -189,7 +189,7 @@ QUERIES = {
     ),
     "json_scalars": _both("SELECT event_id, cast(get_json_object(props, '$.k') AS int) AS k FROM {events}", "SELECT event_id, (props->>'k')::int AS k FROM events"),
     "variant_path": Query(variant_path, "SELECT event_id, (props->>'k')::int AS k FROM events"),
-    "tumbling_batch": _both("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM {events} GROUP BY 1, 2"),
+    "tumbling_batch": _both("SELECT cast(date_trunc('day', ts) AS timestamp_ntz) AS start, event_type, count(*) AS n FROM {events} GROUP BY 1, 2", "SELECT date_trunc('day', ts)::timestamp AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
     "session_batch": Query(
         session_batch,
         SESSIONS_SQL,
