@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -113,12 +114,15 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "te
     return out
 
 
-_built: dict[int, list[WuManber]] = {}
+#: The searches of the block used last, by a key made for each broadcast; a Python worker serves many tasks.
+_built: dict[str, list[WuManber]] = {}
 
 
 def _pass(block, text_at: int, window: int):
+    key = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (key := id(block.value)) not in _built:
+        if key not in _built:
             _built.clear()
             _built[key] = matchers(block.value, window)
         tables = _built[key]
