@@ -38,8 +38,8 @@ def test_movement_with_slack_is_far_below_a_rehash():
         out[order] = places.place(arcs[order], rank)[0]
         return out
 
-    assert (placed(40, 0.25) != placed(41, 0.25)).mean() < 0.06
-    assert (placed(40, 0.0) != placed(41, 0.0)).mean() < 0.25
+    assert (placed(40, 0.25) != placed(41, 0.25)).mean() < 0.04
+    assert (placed(40, 0.0) != placed(41, 0.0)).mean() < 0.06
     assert (np.arange(40_000) % 40 != np.arange(40_000) % 41).mean() > 0.9
 
 
