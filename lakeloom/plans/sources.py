@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from lakeloom.plans.query import Query
 from lakeloom.sources.files import SquaresSource, read_table, write_table
 from lakeloom.sources.tables import table
-from lakeloom.streaming.queries import checkpoint_root
+from lakeloom.streaming.queries import scratch
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -24,7 +23,7 @@ def scan_tables(spark, sf_dir):
 def _round_trip(kind: str):
     def run(spark, sf_dir):
         own = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
-        path = f"{checkpoint_root(spark)}/files-{uuid.uuid4().hex}"
+        path = scratch(spark, "files")
         if kind == "text":
             write_table(own.select(F.concat_ws("|", "c_custkey", "c_name").alias("value")), path, kind)
             parts = F.split("value", r"\|")

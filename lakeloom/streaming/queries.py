@@ -22,6 +22,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="lakeloom-stream-")
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, removed when the driver's JVM ends."""
+    path = f"{checkpoint_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
+
+
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
     """The Parquet files of ``path`` as a stream; ``ts`` becomes a TIMESTAMP, which watermarks need."""
     folder, _, name = path.rpartition("/")
@@ -39,7 +49,7 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     update mode the last batch that has rows stands for the rest.
     """
     spark = stream.sparkSession
-    root = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
+    root = scratch(spark, "stream")
     if mode == "append":
         query = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start()
         query.awaitTermination()

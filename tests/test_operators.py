@@ -161,3 +161,25 @@ def test_late_events_are_dropped_by_the_watermark(spark, tmp_path):
     events = spark.readStream.schema("event_id long, ts timestamp, user_id long, event_type string, value double").option("maxFilesPerTrigger", 1).option("latestFirst", "false").json(str(tmp_path))
     out = streaming.drain(streaming.tumbling(events))
     assert {str(r.start)[:10]: r.n for r in out.collect()} == {"2024-01-01": 2, "2024-01-02": 2}
+
+
+def test_bpe_counts_are_the_tokenizers(spark):
+    import public_tokenizers as p
+    from tokenizers import Tokenizer
+
+    from lakeloom.operators.tokens import bpe_count
+
+    texts = ["", None, "Hello, world! It's 2024.", "été 日本", "a" * 300]
+    out = bpe_count(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), p.path("byte_bpe_50k.tiktoken"), p.PATTERN)
+    plain = Tokenizer.from_file(p.path("byte_bpe_50k.json"))
+    assert {r.doc_id: r.n_bpe for r in out.collect()} == {k: None if t is None else len(plain.encode(t, add_special_tokens=False).ids) for k, t in enumerate(texts)}
+
+
+def test_sketches_are_near_the_exact_counts(spark):
+    sf = "/root/testdata/sf0.01"
+    exact = {r.l_returnflag: r.n for r in spark.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_returnflag").agg(F.countDistinct("l_partkey").alias("n")).collect()}
+    queries = entry.queries()
+    for r in queries["approximate"](spark, sf).collect():
+        assert abs(r.parts / exact[r.l_returnflag] - 1) < 0.1 and abs(r.hll_parts / exact[r.l_returnflag] - 1) < 0.05
+    for r in queries["sketches"](spark, sf).collect():
+        assert abs(r.hll / exact[r.l_returnflag] - 1) < 0.05 and abs(r.theta / exact[r.l_returnflag] - 1) < 0.1
