@@ -33,11 +33,11 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier document has; ``n_chars`` follows.
+    """Documents without the lines and passages that an earlier document has; ``n_chars`` follows.
 
     A document of which nothing is left goes.
     """
-    out = line_dedup.dedup_units(docs.select(COLUMNS))
+    out = line_dedup.dedup_passages(docs.select(COLUMNS))
     left = F.size("removed_spans").eqNullSafe(F.lit(0)) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return out.where(left).withColumn("n_chars", F.when(F.size("removed_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
 

@@ -1,7 +1,8 @@
-"""Substring dedup by hashing lines or paragraphs."""
+"""Substring dedup by hashing lines or paragraphs, and by windows of words."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,12 +11,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import LOWER, slices, stage
+from lakeloom.llm.common import LOWER, slices, stage, utf8
 
 #: Units of fewer words (headings, list items, licence lines) may repeat.
 MIN_WORDS = 25
 #: What stands between units.
 SEPARATORS = {"line": "\n", "paragraph": "\n\n"}
+#: Words of the shortest passage that may not repeat, wherever it begins and however it is wrapped.
+PASSAGE = 51
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_IS_WORD = np.array([not bytes([b]).isspace() for b in range(256)])
+_BYTE = np.random.default_rng(7).integers(0, 1 << 64, 256, np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def units(text: str, unit: str = "line", min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes]]:
@@ -99,6 +107,185 @@ def _cut(text_at: int, unit: str):
     return run
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ x >> np.uint64(32)
+
+
+def _rolled(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of ``values[start:end]`` for each pair, whatever stands before."""
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * _powers(_BASE, len(values)), dtype=np.uint64)))
+    return _mix((sums[ends] - sums[starts]) * _powers(_INVERSE, len(values) + 1)[starts])
+
+
+def _sliding(values: np.ndarray, width: int, of) -> np.ndarray:
+    """``of`` (minimum or maximum) of each ``width`` values in a row."""
+    size = 1
+    while 2 * size <= width:
+        values, size = of(values[:-size], values[size:]), 2 * size
+    return of(values[: len(values) - (width - size)], values[width - size :])
+
+
+def anchors(texts: list[bytes], passage: int = PASSAGE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, word, anchor) of each ``passage`` words in a row that lie in one text.
+
+    The anchor of a passage is the least hash of the runs of about half as
+    many words in it, so equal passages have equal anchors, whatever surrounds
+    them, and neighbours mostly share one. That other passages may have it too
+    does no harm: anchors only name the passages that are compared.
+    """
+    run = (passage + 1) // 2
+    data = np.frombuffer(b"\n".join(texts).translate(LOWER), np.uint8)
+    word = np.concatenate(([False], _IS_WORD[data], [False]))
+    edges = np.flatnonzero(word[1:] != word[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    if len(starts) < passage:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    limits = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    text = np.searchsorted(limits, starts, "right")
+    first = np.arange(len(starts) - run + 1)
+    least = _sliding(_rolled(_rolled(_BYTE[data], starts, ends), first, first + run), passage - run + 1, np.minimum)
+    at = np.flatnonzero(text[: len(least)] == text[passage - 1 :])
+    return text[at], at - np.searchsorted(text, text[at]), least[at].view(np.int64)
+
+
+def windows(text: bytes, at: list[int], passage: int = PASSAGE) -> bytes:
+    """Digests of the ``passage`` words from each of ``at`` on, one after the other."""
+    words = text.translate(LOWER).split()
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1)).tolist()
+    joined, ends, digest = b" ".join(words), ends.tolist(), xxhash.xxh128_digest
+    return b"".join([digest(joined[starts[k] : ends[k + passage - 1]]) for k in at])
+
+
+def cut_spans(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
+    """``text`` without the spans, and the spans in order with overlaps merged.
+
+    With a span goes one character of white space: that after it if the span
+    begins a line, else that before it, so that no line is joined to another.
+    """
+    merged: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if merged and a < merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+        else:
+            merged.append((a, b))
+    kept, at = [], 0
+    for a, b in merged:
+        if a > at and text[a - 1] != "\n":
+            a -= 1
+        elif b < len(text):
+            b += 1
+        elif a > at:
+            a -= 1
+        elif kept and kept[-1].endswith("\n"):  # all after it is gone
+            kept[-1] = kept[-1][:-1]
+        if a > at:
+            kept.append(text[at:a])
+        at = b
+    return "".join([*kept, text[at:]]), merged
+
+
+def dedup_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, passage: int = PASSAGE) -> DataFrame:
+    """As ``dedup_units`` by lines, and without any repeated passage.
+
+    A passage is ``passage`` words in a row, whatever lines they are set in
+    and wherever in a line they begin. Every word goes that lies in a passage
+    that has occurred before, by (id, word); a passage that overlaps its own
+    first place doesn't count as another. Lines of at least ``min_words``
+    words go as in ``dedup_units``; other short repeats stay.
+
+    Passages are compared by XXH128, and only those whose anchor (there is one
+    for about 13 words) is in the texts more than once. ``removed_spans`` has spans that
+    don't overlap.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    own = docs.drop("removed_spans").withColumn("__th", F.xxhash64(text_col))
+    texts = own.select(F.col(id_col).alias("id"), "__th", F.col(text_col).cast("string").alias("text")).where("text is not null")
+    place = F.struct("id", "th", "start")
+
+    def repeats(found: DataFrame, far) -> DataFrame:
+        first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+        return found.join(first, ["h1", "h2"]).where(far)
+
+    lines = stage(texts.mapInArrow(_units("line", min_words), f"id {kind}, th long, start int, end int, h1 long, h2 long"), "units")
+    line_cuts = repeats(lines, ~place.eqNullSafe(F.col("first"))).select("id", "th", "start", "end")
+
+    chosen = stage(texts.mapInArrow(_anchors(passage), f"id {kind}, th long, h long"), "anchors")
+    twice = chosen.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    near = chosen.join(twice, "h").groupBy("id", "th").agg(F.collect_set("h").alias("hs"))
+    around = texts.withColumnsRenamed({"id": "__id"}).join(near, F.col("__id").eqNullSafe(F.col("id")) & (F.col("__th") == F.col("th"))).select("id", "th", "text", "hs")
+    found = stage(around.mapInArrow(_windows(passage), f"id {kind}, th long, start int, h1 long, h2 long"), "windows")
+    same = F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.th") == F.col("th"))
+    window_cuts = repeats(found, ~(same & (F.col("start") < F.col("first.start") + passage))).select("id", "th", "start", F.lit(None).cast("int").alias("end"))
+
+    cuts = line_cuts.unionByName(window_cuts).groupBy("id", "th").agg(F.collect_set(F.struct("start", "end")).alias("removed_spans"))
+    cuts = cuts.withColumnsRenamed({"id": "__id", "th": "__h"})
+    marked = own.join(cuts, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h")), "left").drop("__id", "__h", "__th")
+    marked = marked.withColumn("removed_spans", F.coalesce("removed_spans", F.expr("cast(array() as array<struct<start:int,end:int>>)")))
+    return marked.mapInArrow(_cut_passages(marked.columns.index(text_col), passage), marked.schema)
+
+
+def _anchors(passage: int):
+    """A row for each place of an anchor; (id, hash) may come again for another place."""
+    span = passage - (passage + 1) // 2 + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            text, _, h = anchors(utf8(part.column(2)), passage)
+            first = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(h, prepend=0) != 0))
+            since = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
+            new = np.flatnonzero(since % span == 0)  # a run longer than one place can make has another
+            if len(h):
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows := pa.array(text[new])), part.column(1).take(rows), pa.array(h[new])], ["id", "th", "h"])
+
+    return run
+
+
+def _windows(passage: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 64):
+            texts = utf8(part.column(2))
+            text, at, h = anchors(texts, passage)
+            wanted = np.isin(h, part.column(3).flatten().to_numpy())
+            text, at = text[wanted], at[wanted]
+            ends = np.searchsorted(text, np.arange(len(texts) + 1))
+            digests = b"".join(windows(t, at[a:b].tolist(), passage) for t, a, b in zip(texts, ends[:-1], ends[1:], strict=True) if b > a)
+            halves, rows = np.frombuffer(digests, "<i8").reshape(-1, 2), pa.array(text)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(at, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1])], ["id", "th", "start", "h1", "h2"])
+
+    return run
+
+
+def _cut_passages(text_at: int, passage: int):
+    """A cut without an end is a passage and starts at a word, else it is a line and starts at a character."""
+
+    def cut(text: str, found: list[dict]) -> tuple[str, list[tuple[int, int]]]:
+        spans = [(c["start"], c["end"]) for c in found if c["end"] is not None]
+        if len(spans) < len(found):
+            words = [m.span() for m in _WORD.finditer(text)]
+            spans += [(words[c["start"]][0], words[c["start"] + passage - 1][1]) for c in found if c["end"] is None]
+        return cut_spans(text, spans)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            lists = part.column(part.num_columns - 1).to_pylist()
+            if any(lists):
+                done = [cut(t, c) if c else (t, []) for t, c in zip(part.column(text_at).to_pylist(), lists, strict=True)]
+                part = part.set_column(text_at, part.schema.field(text_at), pa.array([t for t, _ in done], part.schema.field(text_at).type))
+                last = part.schema.field(part.num_columns - 1)
+                part = part.set_column(part.num_columns - 1, last, pa.array([[{"start": a, "end": b} for a, b in s] for _, s in done], last.type))
+            yield part
+
+    return run
+
+
 SQL = r"""
 WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) AS k, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
 u AS (SELECT doc_id, k, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS start,

@@ -1,0 +1,72 @@
+"""Repeated passages, however they are wrapped, against a plain pass over all windows of words."""
+
+import random
+import re
+
+from lakeloom.llm import line_dedup
+
+
+def naive(rows, least, passage):
+    first, lines, out = {}, set(), {}
+    docs = {}
+    for key, text in sorted(rows):
+        words = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+        docs[key] = words
+        for k in range(len(words) - passage + 1):
+            first.setdefault(tuple(w for *_, w in words[k : k + passage]), (key, k))
+    for key, text in sorted(rows):
+        words, gone = docs[key], set()
+        for k in range(len(words) - passage + 1):
+            d, at = first[tuple(w for *_, w in words[k : k + passage])]
+            if d != key or k >= at + passage:
+                gone.update(range(words[k][0], words[k + passage - 1][1]))
+        at = 0
+        for line in text.split("\n"):
+            norm = tuple(line.lower().split())
+            if len(norm) >= least and norm in lines:
+                gone.update(range(at, at + len(line)))
+            lines.add(norm)
+            at += len(line) + 1
+        out[key] = gone
+    return out
+
+
+def wrapped(words, rng, most):
+    out = ""
+    for w in words:
+        out += w + ("\n" if rng.random() < 1 / most else " ")
+    return out.strip()
+
+
+def test_matches_a_plain_pass_over_all_windows(spark):
+    rng = random.Random(5)
+    passages = [[f"w{rng.randrange(900)}" for _ in range(rng.randint(8, 30))] for _ in range(12)] + [["la"] * 40]
+    rows = []
+    for k in range(80):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            words += [f"own{rng.randrange(10**6)}" for _ in range(rng.randint(0, 6))] + rng.choice(passages)
+        rows.append((k, wrapped([w.upper() if rng.random() < 0.2 else w for w in words], rng, rng.choice([3, 8, 100]))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = naive(rows, 12, 11)
+    assert sum(map(bool, want.values())) > 20
+    for r in line_dedup.dedup_passages(docs, min_words=12, passage=11).collect():
+        assert {k for a, b in r.removed_spans for k in range(a, b)} == want[r.doc_id], r.doc_id
+        original = dict(rows)[r.doc_id]
+        kept = "".join(c if k not in want[r.doc_id] else " " for k, c in enumerate(original))
+        assert r.text.split() == kept.split()
+
+
+def test_a_passage_in_short_lines_goes_and_odd_rows_stay(spark):
+    words = [f"w{k}" for k in range(60)]
+    short = "\n".join(" ".join(words[k : k + 6]) for k in range(0, 60, 6))
+    rows = [(1, short), (2, f"head\n{short}\ntail"), (3, "x " + " ".join(words) + " y"), (4, short), (5, None), (6, ""), (7, "short line"), (8, "short line"), (None, "own text"), (9, "la " * 200)]
+    rows += [(10, "same\n" + short), (10, "same\n" + short), (11, " ".join(words[:50]))]
+    got = {}
+    for r in line_dedup.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        got.setdefault(r.doc_id, []).append(r.text)
+    assert got[1] == [short] and got[2] == ["head\ntail"] and got[3] == ["x y"] and got[4] == [""]
+    assert got[5] == [None] and got[6] == [""] and got[7] == got[8] == ["short line"] and got[None] == ["own text"]
+    assert got[9] == [("la " * 51).strip() + " "] or got[9][0].split() == ["la"] * 51
+    assert got[10] == ["same", "same"] and got[11] == [" ".join(words[:50])]
+    assert line_dedup.dedup_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
