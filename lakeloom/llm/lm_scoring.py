@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -17,12 +16,15 @@ from lakeloom.llm.common import LOWER, slices, stage, utf8
 
 #: Bytes of context.
 ORDER = 5
-#: Capacity of the trie: its (context, symbol) entries at the top level. Where
-#: the corpus has more, those of the highest counts stay and shorter contexts
-#: take over for the rest.
+#: Capacity of ``LanguageModel.trie``, a small trie of the most frequent
+#: entries to look at. Scores don't use it: they come from all counts.
 MAX_NODES = 2_000_000
 #: Words whose counts every task gets; those of the rest are joined.
 MAX_FREQUENT = 150_000
+#: Bytes of text after which a task begins another part; the n-grams of a part are held at a time.
+PART_BYTES = 1 << 24
+#: Rows after which whole groups of contexts are looked up.
+_LOOK_UP = 1 << 19
 #: Distinct words and n-grams that a task holds before it passes them on.
 _FLUSH = 400_000
 #: Stands for the end of a text in the word counts; no word is empty.
@@ -69,7 +71,7 @@ def _counts(order: int):
 
 
 class LanguageModel:
-    """What ``learn`` gathers: all counts as a staged table, the trie, and the sums."""
+    """What ``learn`` gathers: all counts as a staged table, the level that all contexts share, and the sums."""
 
     def __init__(self, counts: DataFrame, order: int, max_nodes: int, max_frequent: int):
         self.order = order
@@ -77,24 +79,34 @@ class LanguageModel:
         self.tokens, self.distinct = (int(x or 0) for x in words.agg(F.sum("n"), F.count("*")).first())
         self.words = words.where(F.octet_length("word") > 0).select("word", "n")
         self.ends = int(words.where(F.octet_length("word") == 0).agg(F.sum("n")).first()[0] or 0)
-        grams = counts.where("word is null").select("gram", "n")
-        nodes = grams.where(F.col("n") >= _least(grams, max_nodes)).toArrow()
-        codes, sums = (nodes.column(k).to_numpy() for k in range(2))
-        by = np.argsort(codes)
-        self.codes, self.counts = codes[by].view(np.uint64), sums[by]
+        self.grams, self.max_nodes = counts.where("word is null").select("gram", "n"), max_nodes
+        #: Level of the trie that every task gets whole; it has at most 256 entries to the power of its number plus 1.
+        self.low = max(0, min(2, order - 1))
+        longer = self.grams.select(F.col("gram").bitwiseAND(F.lit((1 << 8 * (self.low + 2)) - 1)).alias("c")).distinct()
+        low = longer.groupBy(F.col("c").bitwiseAND(F.lit((1 << 8 * (self.low + 1)) - 1)).alias("c")).agg(F.count("*").alias("n"))
+        self.lower = (self.low, *_sorted(low))
         self.common = _least(self.words, max_frequent)
         top = self.words.where(F.col("n") >= self.common).toArrow()
         self.frequent = dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True))
 
     @property
     def trie(self) -> ppm.Model:
-        return ppm.Model(self.codes, self.counts, self.order)
+        """Of the entries with the highest counts alone."""
+        return ppm.Model(*_sorted(self.grams.where(F.col("n") >= _least(self.grams, self.max_nodes))), self.order)
 
     def base(self, n: np.ndarray | int) -> np.ndarray | float:
         """log10 of a token's probability by its count."""
         return np.log10((np.asarray(n) + 0.5) / (self.tokens + 0.5 * (self.distinct + 1)))
 
 
+def _sorted(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Codes in order and their counts, on the driver."""
+    own = counts.toArrow()
+    codes, sums = (own.column(k).to_numpy() for k in range(2))
+    by = np.argsort(codes.view(np.uint64))
+    return codes[by].view(np.uint64), sums[by]
+
+
 def _least(counts: DataFrame, most: int) -> int:
     """The least power of two so that at most ``most`` rows have such a count.
 
@@ -114,21 +126,104 @@ def learn(docs: DataFrame, text_col: str = "text", *, order: int = ORDER, max_no
     Every text, a null one being empty, is counted whole: its words A-Z
     lower-cased and joined by a space, then its end. Tasks pass on their own
     sums, which are added up by word and by n-gram and staged; the table has
-    all that occurs, whatever the trie has room for.
+    all that occurs.
     """
     found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_counts(order), "word binary, gram long, n long")
     return LanguageModel(stage(found.groupBy("word", "gram").agg(F.sum("n").alias("n")), "counts"), order, max_nodes, max_frequent)
 
 
-#: The trie used last, by a key made for each broadcast; a Python worker serves many tasks.
-_built: dict[str, ppm.Model] = {}
+def _distinct(order: int):
+    """(part, gram) of the texts of each part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        part, size = None, 0
+
+        def out() -> pa.RecordBatch:
+            codes = np.unique(np.concatenate(held))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), part)), pa.array(codes.view(np.int64))], ["__part", "gram"])
+
+        for batch in batches:
+            parts = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(np.diff(parts)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(parts)], strict=True):
+                for own in slices(iter([batch.slice(a, b - a)])) if b > a else ():
+                    if held and (parts[a] != part or size > 16 * _FLUSH):
+                        yield out()
+                        size = 0
+                    part = parts[a]
+                    held.append(ppm.count_grams([b" ".join(words_of(t)) for t in utf8(own.column(1))], order)[0])
+                    size += len(held[-1])
+        if held:
+            yield out()
+
+    return run
+
+
+def _look_up(known):
+    """(part, gram, p) of the rows with a part, by those without; rows come sorted by the key of their contexts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order, lower = known.value[:2]
+        mask = np.uint64((1 << 8 * (lower[0] + 1)) - 1)
+        held: list[list[np.ndarray]] = []
+
+        def out(rows: list[np.ndarray]) -> pa.RecordBatch:
+            part, gram, n = rows
+            learned = part < 0
+            model = ppm.Model(*ppm.add_up(gram[learned].view(np.uint64), n[learned]), order, lower)
+            part, gram = part[~learned], gram[~learned]
+            codes, back = np.unique(gram.view(np.uint64), return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array(part), pa.array(gram), pa.array(model.log10(codes)[back])], ["__part", "gram", "p"])
+
+        for batch in batches:
+            held.append([batch.column(k).to_numpy() for k in range(3)])
+            if sum(len(h[0]) for h in held) >= _LOOK_UP:
+                rows = [np.concatenate(x) for x in zip(*held, strict=True)]
+                keys = rows[1].view(np.uint64) >> np.uint64(8) & mask
+                whole = int(np.searchsorted(keys, keys[-1]))
+                if whole:
+                    yield out([x[:whole] for x in rows])
+                held = [[x[whole:] for x in rows]]
+        if held:
+            yield out([np.concatenate(x) for x in zip(*held, strict=True)])
+
+    return run
+
+
+def _add_up(order: int):
+    """(part, row, score); of each part the n-grams come first, then the texts."""
 
-def _trie(key: str, known) -> ppm.Model:
-    if key not in _built:
-        _built.clear()
-        _built[key] = ppm.Model(*known.value[:3])
-    return _built[key]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+        codes, p = np.zeros(0, np.uint64), np.zeros(0)
+        for batch in batches:
+            parts, text = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero((np.diff(parts) != 0) | (np.diff(text) != 0)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(parts)], strict=True):
+                if b == a:
+                    continue
+                own = batch.slice(a, b - a)
+                if parts[a] != part:
+                    part, held = parts[a], []
+                if not text[a]:
+                    held.append((own.column(2).to_numpy().view(np.uint64), own.column(3).to_numpy()))
+                    continue
+                if held:
+                    codes, p = (np.concatenate(x) for x in zip(*held, strict=True))
+                    by, held = np.argsort(codes), []
+                    codes, p = codes[by], p[by]
+                for some in slices(iter([own])):
+                    flat, ends = ppm.stream([b" ".join(words_of(t)) for t in utf8(some.column(4))], order)
+                    score = np.zeros(some.num_rows)
+                    for start in range(0, max(1, len(flat) - order), ppm.CHUNK):
+                        grams = ppm.grams(flat[start : start + ppm.CHUNK + order], order)
+                        at = np.flatnonzero((grams & np.uint64(0xFF)) != ppm.PAD)
+                        score += np.bincount(np.searchsorted(ends, at + start + order, "right"), p[np.searchsorted(codes, grams[at])], len(score))
+                    yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(score)], ["__part", "__row", "score"])
+
+    return run
 
 
 def score(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
@@ -139,26 +234,29 @@ def score(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Data
     words and the end. Columns of these names are replaced. One row for each
     row of ``docs``, whatever its ids.
 
+    The n-grams of a part, some documents of ``PART_BYTES`` together, meet all
+    counts of the contexts that end with the same three bytes, which is all
+    that a probability depends on besides the broadcast level of three-byte
+    entries. The probabilities go back to the part and are added up.
+
     Counts of frequent words are broadcast, in bounded number. The other
     words of each document are staged and joined with the table of all
     counts; these words being rare, no key of the join is hot.
     """
-    known = docs.sparkSession.sparkContext.broadcast((model.codes, model.counts, model.order, model.frequent, model.tokens, model.distinct, model.ends))
-    key = uuid.uuid4().hex
+    known = docs.sparkSession.sparkContext.broadcast((model.order, model.lower, model.frequent, model.tokens, model.distinct, model.ends))
     names = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     own = docs.drop(*names).withColumn("__text", F.col(text_col).cast("string")).drop(text_col)
     kept = [f for f in own.schema if f.name != "__text"]
-    extra = "__part int, __row long, n_tokens long, __known long, __base double, score double, __rare array<struct<word:binary,n:int>>"
+    extra = "__part long, __row long, n_tokens long, __known long, __base double, __text string, __rare array<struct<word:binary,n:int>>"
     schema = own.drop("__text").schema
     for f in own.sparkSession.createDataFrame([], extra).schema:
         schema = schema.add(f)
     rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = _trie(key, known)
-        _, _, _, frequent, tokens, distinct, ends = known.value
+        _, _, frequent, tokens, distinct, ends = known.value
         log_n = np.log10(tokens + 0.5 * (distinct + 1))
-        part_id, at = TaskContext.get().partitionId(), 0
+        part_id, at, size = TaskContext.get().partitionId() << 32, 0, 0
         for part in slices(batches):
             texts = [words_of(t) for t in utf8(part.column(len(kept)))]
             common, seen, rare = [], [], []
@@ -176,19 +274,28 @@ def score(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Data
                 pa.StructArray.from_arrays([pa.array([w for r in rare for w, _ in r], pa.binary()), pa.array([n for r in rare for _, n in r], pa.int32())], ["word", "n"]),
             )
             n = part.num_rows
-            arrays = [pa.array(np.full(n, part_id, np.int32)), pa.array(np.arange(at, at + n)), pa.array([len(w) + 1 for w in texts], pa.int64()), pa.array(seen, pa.int64()), pa.array(common, pa.float64()), pa.array(trie.score([b" ".join(w) for w in texts])), lists.cast(rare_type)]
+            arrays = [pa.array(np.full(n, part_id + size // PART_BYTES)), pa.array(np.arange(at, at + n)), pa.array([len(w) + 1 for w in texts], pa.int64()), pa.array(seen, pa.int64()), pa.array(common, pa.float64()), part.column(len(kept)), lists.cast(rare_type)]
             at += n
+            size += sum(len(w) + 1 for words in texts for w in words)
             yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *arrays], names=schema.names)
 
     scored = stage(own.select(*[f.name for f in kept], "__text").mapInArrow(run, schema), "scores")
     total = model.tokens + 0.5 * (model.distinct + 1)
+    asked = scored.select("__part", "__text").mapInArrow(_distinct(model.order), "__part long, gram long")
+    both = model.grams.select(F.lit(-1).cast("long").alias("__part"), "gram", "n").unionByName(asked.withColumn("n", F.lit(0).cast("long")))
+    both = both.withColumn("key", F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit((1 << 8 * (model.low + 1)) - 1)))
+    found = both.repartition("key").sortWithinPartitions("key").select("__part", "gram", "n").mapInArrow(_look_up(known), "__part long, gram long, p double")
+    parts = found.select("__part", F.lit(0).alias("kind"), "gram", "p", F.lit(None).cast("string").alias("text")).unionByName(
+        scored.select("__part", F.lit(1).alias("kind"), F.col("__row").alias("gram"), F.lit(0.0).alias("p"), F.col("__text").alias("text"))
+    )
+    scores = parts.repartition("__part").sortWithinPartitions("__part", "kind").mapInArrow(_add_up(model.order), "__part long, __row long, score double")
     rare = scored.select("__part", "__row", F.explode("__rare").alias("r")).select("__part", "__row", F.col("r.word").alias("word"), F.col("r.n").alias("times"))
     counted = rare.join(model.words.where(F.col("n") < model.common), "word", "left")
     sums = counted.groupBy("__part", "__row").agg(
         F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(total))).alias("__rare_base"),
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).cast("long").alias("__rare_known"),
     )
-    joined = scored.drop("__rare").join(sums, ["__part", "__row"], "left")
+    joined = scored.drop("__rare", "__text").join(scores, ["__part", "__row"]).join(sums, ["__part", "__row"], "left")
     return joined.select(
         *[f.name for f in kept],
         "n_tokens",

@@ -92,7 +92,12 @@ class Model:
     After the empty context, what remains of the 256 bytes is equally likely.
     """
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray, order: int):
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, order: int, lower: tuple[int, np.ndarray, np.ndarray] | None = None):
+        """``lower`` has a level and its sorted codes and counts, where ``codes`` aren't all there are.
+
+        The levels above it are then whole for contexts of which ``codes`` has
+        all that end with the same ``level + 1`` bytes.
+        """
         self.order = order
         self.symbols: list[_Hash] = [None] * (order + 1)
         self.contexts: list[_Hash] = [None] * (order + 1)
@@ -102,7 +107,7 @@ class Model:
         self.log_rest, self.log_rest_escape = [None] * (order + 1), [None] * (order + 1)
         levels = [(codes, counts)]
         for k in range(order, 0, -1):
-            codes, counts = add_up(codes & np.uint64((1 << 8 * k) - 1), np.ones_like(counts))
+            codes, counts = lower[1:] if lower and lower[0] == k - 1 else add_up(codes & np.uint64((1 << 8 * k) - 1), np.ones_like(counts))
             levels.append((codes, counts))
         levels.reverse()
         sums: list[tuple[np.ndarray, np.ndarray]] = []

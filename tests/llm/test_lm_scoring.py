@@ -102,3 +102,16 @@ def test_empty_tables(spark):
     assert lm_scoring.score(none, model).count() == 0
     one = lm_scoring.score(spark.createDataFrame([(1, "ab")], "doc_id long, text string"), model).select("n_known", F.round("score", 6).alias("s")).first()
     assert one.n_known == 0 and one.s == round(3 * math.log10(1 / 256), 6)
+
+
+@pytest.mark.parametrize("part_bytes", [20, 1 << 24])
+def test_scores_come_from_all_counts_whatever_the_trie_holds(spark, monkeypatch, part_bytes):
+    monkeypatch.setattr(lm_scoring, "PART_BYTES", part_bytes)
+    monkeypatch.setattr(lm_scoring, "_LOOK_UP", 30)
+    rows = [(k, t) for k, t in enumerate([*TEXTS, None, "zebra", "the mat", "xxxxxxxx", "mère à"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = lm_scoring.learn(docs.where(f"doc_id < {len(TEXTS)}"), max_nodes=12)
+    got = {r.doc_id: r.score for r in lm_scoring.score(docs, model).collect()}
+    assert len(got) == len(rows)
+    for k, t in rows:
+        assert got[k] == pytest.approx(naive_ppm([x.encode() for x in TEXTS], 5, (t or "").encode()), rel=1e-5), t
