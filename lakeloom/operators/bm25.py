@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.functions.text import tokens
+from lakeloom.sources.shared import stage
 
 
 def _frequency(toks: Column, term: str) -> Column:
@@ -17,18 +18,15 @@ def bm25(docs: DataFrame, terms: list[str], *, k1: float = 1.5, b: float = 0.75,
 
     The inverse document frequency is ``ln(1 + (N - df + 0.5) / (df + 0.5))``,
     N counts documents with a token. Term counts are taken in each row by
-    array functions, so the only exchange is one row of statistics: the
-    corpus is never exploded into tokens. Null and empty texts have no token
+    array functions and staged, a few numbers a row, as both the statistics
+    and the scores need them: texts are read once, the only exchange is one
+    row of statistics, and the corpus is never exploded into tokens. Null and empty texts have no token
     and don't appear; a repeated query term counts once; an id that repeats
     is scored row by row.
     """
     terms = sorted({t.lower() for t in terms})
     toks = docs.select(F.col(id_col).alias("__id"), tokens(F.col(text_col)).alias("__t")).where(F.size("__t") > 0)
-    tf = toks.select(
-        "__id",
-        F.size("__t").cast("double").alias("__len"),
-        F.array(*[_frequency(F.col("__t"), t) for t in terms]).alias("__f"),
-    )
+    tf = stage(toks.select("__id", F.size("__t").cast("double").alias("__len"), F.array(*[_frequency(F.col("__t"), t) for t in terms]).alias("__f")), "frequencies")
     stats = tf.agg(
         F.count("*").cast("double").alias("__n"),
         F.avg("__len").alias("__avg"),

@@ -4,12 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
 def describe(df: DataFrame, by: str, col: str) -> DataFrame:
-    """Count, mean, deviation, quartiles and extremes of ``col`` for each ``by``."""
-    q = lambda p: F.percentile(F.col(col), F.lit(p))
-    return df.groupBy(by).agg(F.count(col).alias("n"), F.round(F.avg(col), 6).alias("mean"), F.round(F.stddev_samp(col), 6).alias("std"), F.round(F.min(col), 6).alias("min"), F.round(q(0.25), 6).alias("q1"), F.round(q(0.5), 6).alias("median"), F.round(q(0.75), 6).alias("q3"), F.round(F.max(col), 6).alias("max"))
+    """Count, mean, deviation, quartiles and extremes of ``col`` for each ``by``.
+
+    Quartiles are exact, interpolated between neighbours. They come from the
+    counts of equal values, which are summed in each task first, and a
+    running sum over the distinct values of a group, which is sorted and may
+    spill; no group's values are ever held in memory. Null values count
+    nowhere; a null ``by`` is a group.
+    """
+    own = df.select(F.col(by).alias("g"), F.col(col).alias("v"))
+    whole = own.groupBy("g").agg(F.count("v").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_samp("v"), 6).alias("std"), F.round(F.min("v"), 6).alias("min"), F.round(F.max("v"), 6).alias("max"))
+    values = own.where("v is not null").groupBy("g", "v").agg(F.count("*").alias("c"))
+    group = Window.partitionBy("g")
+    ranked = values.select("g", "v", (F.sum("c").over(group.orderBy("v")) - F.col("c")).alias("low"), F.sum("c").over(group.orderBy("v")).alias("high"), F.sum("c").over(group).alias("n"))
+    picked = []
+    for name, q in QUARTILES.items():
+        at = (F.col("n") - 1) * F.lit(q)
+        value = lambda rank: F.max(F.when((F.col("low") <= rank) & (rank < F.col("high")), F.col("v").cast("double")))
+        below, above, share = value(F.floor(at)), value(F.ceil(at)), F.max(at - F.floor(at))
+        picked.append(F.round(below + (above - below) * share, 6).alias(name))
+    found = ranked.groupBy("g").agg(*picked).withColumnRenamed("g", "k")
+    out = whole.join(found, F.col("g").eqNullSafe(F.col("k")), "left")
+    return out.select(F.col("g").alias(by), "n", "mean", "std", "min", *QUARTILES, "max")
 
 
 def histogram(df: DataFrame, value: Column, width: float) -> DataFrame:

@@ -2,33 +2,62 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Doublings of the width after which an interval is filed as one that reaches everywhere.
+MAX_LEVEL = 40
+
 
-def asof_join(left: DataFrame, right: DataFrame, *, by: str, ts: str, value: str, name: str) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, *, by: str, ts: str, value: str, name: str, slot: Callable[[Column], Column] | None = None) -> DataFrame:
     """``left`` with the ``value`` of the latest ``right`` row of the same key at or before its time.
 
     Both sides are laid out in one sorted sequence of each key, in which the
-    last right row seen so far is carried along: one exchange and no pairs.
-    Rows without one have null, as have null keys or times. Of right rows
+    last right row seen so far is carried along: no pairs are made. ``slot``
+    cuts time into slots (a function of the time that never decreases, such
+    as the day): each key's sequence is then sorted slot by slot in tasks of
+    their own, and what a slot inherits comes from a window over one summary
+    row for each slot, so a key with a third of all rows is spread.
+
+    Rows without a match have null, as have null keys or times. Of right rows
     with the same time, the greatest ``value`` counts.
     """
-    mark = F.struct(F.col(ts).alias("__ts"), F.col(value).alias("__value"))
-    events = right.where(F.col(by).isNotNull() & F.col(ts).isNotNull()).select(F.col(by).alias("__by"), F.col(ts).alias("__at"), F.lit(0).alias("__side"), mark.alias("__right"), F.lit(None).cast(left.schema.simpleString()).alias("__left"))
-    asked = left.select(F.col(by).alias("__by"), F.col(ts).alias("__at"), F.lit(1).alias("__side"), F.lit(None).cast(events.schema["__right"].dataType).alias("__right"), F.struct(*left.columns).alias("__left"))
-    so_far = Window.partitionBy("__by").orderBy("__at", "__side", F.col("__right.__value")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = events.unionByName(asked).withColumn("__last", F.last("__right", ignorenulls=True).over(so_far))
-    return whole.where("__side = 1").select("__left.*", F.when(F.col("__by").isNotNull() & F.col("__at").isNotNull(), F.col("__last.__value")).alias(name))
+    when = slot or (lambda t: F.lit(0))
+    mark = F.struct(F.col(ts).alias("ts"), F.col(value).alias("value"))
+    events = right.where(F.col(by).isNotNull() & F.col(ts).isNotNull()).select(
+        F.col(by).alias("by"), when(F.col(ts)).alias("slot"), F.col(ts).alias("at"), F.lit(0).alias("side"), mark.alias("right"), F.lit(None).cast(left.schema.simpleString()).alias("left")
+    )
+    asked = left.select(F.col(by).alias("by"), when(F.col(ts)).alias("slot"), F.col(ts).alias("at"), F.lit(1).alias("side"), F.lit(None).cast(events.schema["right"].dataType).alias("right"), F.struct(*left.columns).alias("left"))
+    whole = events.unionByName(asked)
+    so_far = Window.partitionBy("by", "slot").orderBy("at", "side", F.col("right.value")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = whole.withColumn("last", F.last("right", ignorenulls=True).over(so_far)).where("side = 1")
+    if slot:
+        before = Window.partitionBy("by").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+        ends = whole.where("by is not null and slot is not null").groupBy("by", "slot").agg(F.max("right").alias("end"))
+        inherited = ends.select(F.col("by").alias("key"), F.col("slot").alias("part"), F.last("end", ignorenulls=True).over(before).alias("before")).where("before is not null")
+        found = found.join(inherited, (F.col("by") == F.col("key")) & (F.col("slot") == F.col("part")), "left").withColumn("last", F.coalesce("last", "before"))
+    return found.select("left.*", F.when(F.col("by").isNotNull() & F.col("at").isNotNull(), F.col("last.value")).alias(name))
 
 
 def range_join(points: DataFrame, intervals: DataFrame, *, at: Column, start: Column, end: Column, width: float) -> DataFrame:
     """Pairs of a point and an interval with start <= at < end.
 
-    Both sides are filed by buckets of ``width``, an interval in each that it
-    touches, and joined on the bucket, so the work follows the overlaps. A
-    good width is near the usual length of an interval.
+    An interval is filed by buckets of ``width`` doubled as often as its
+    length asks for, so it touches two buckets at most however long it is,
+    and a point looks up one bucket of each level that some interval has. The
+    work follows the pairs, and a good width is near the usual length. Null
+    or NaN places and ends match nothing; an interval longer than ``width``
+    doubled ``MAX_LEVEL`` times, or with an infinite end, is filed under one
+    bucket that every point looks up.
     """
-    own = points.withColumn("__bucket", F.floor(at / width))
-    filed = intervals.where(start < end).withColumn("__b", F.explode(F.sequence(F.floor(start / width), F.floor(end / width))))
-    return own.join(filed, (F.col("__bucket") == F.col("__b")) & (at >= start) & (at < end)).drop("__bucket", "__b")
+    span = (end - start) / F.lit(float(width))
+    level = F.when(span <= 1, F.lit(0)).when(span <= 2.0**MAX_LEVEL, F.ceil(F.log2(span)).cast("int")).otherwise(F.lit(MAX_LEVEL + 1))
+    bucket = lambda x, k: F.when(k > MAX_LEVEL, F.lit(0)).otherwise(F.floor(x / (F.lit(float(width)) * F.pow(F.lit(2.0), k)))).cast("long")
+    filed = intervals.where((start < end) & ~F.isnan(start.cast("double")) & ~F.isnan(end.cast("double"))).withColumn("__level", level)
+    filed = filed.withColumn("__bucket", F.explode(F.array_distinct(F.array(bucket(start, F.col("__level")), bucket(end, F.col("__level"))))))
+    # One row: the set of levels, MAX_LEVEL + 2 at most.
+    levels = filed.agg(F.collect_set("__level").alias("__levels"))
+    own = points.where(at.isNotNull() & ~F.isnan(at.cast("double"))).crossJoin(F.broadcast(levels)).withColumn("__l", F.explode("__levels")).withColumn("__b", bucket(at, F.col("__l"))).drop("__levels")
+    return own.join(filed, (F.col("__l") == F.col("__level")) & (F.col("__b") == F.col("__bucket")) & (at >= start) & (at < end)).drop("__l", "__b", "__level", "__bucket")

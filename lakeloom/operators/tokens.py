@@ -9,6 +9,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakeloom.functions.text import tokens
+
+
+def token_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, tok, n)``: how often each token occurs in each row's text.
+
+    Tokens are sorted and runs of equal ones counted by their places, so it
+    takes n log n steps within the row and nothing is exchanged. An id that
+    repeats is counted row by row; null and empty texts have no token.
+    """
+    # Each step is a column of its own: a lambda would compute an expression anew for every element.
+    own = docs.select(F.col(id_col), F.sort_array(tokens(F.col(text_col))).alias("__t"))
+    first = F.filter(F.transform("__t", lambda t, i: F.struct(t.alias("tok"), i.alias("i"))), lambda x: (x["i"] == 0) | (F.get("__t", x["i"] - 1) != x["tok"]))
+    own = own.withColumn("__f", first)
+    runs = F.transform("__f", lambda x, k: F.struct(x["tok"].alias("tok"), (F.coalesce(F.get("__f", k + 1)["i"], F.size("__t")) - x["i"]).cast("long").alias("n")))
+    return own.select(id_col, F.explode(runs).alias("__r")).select(id_col, "__r.tok", "__r.n")
+
 
 @cache
 def _encoding(path: str, pattern: str):

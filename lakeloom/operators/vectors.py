@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import Row
+
+from lakeloom.sources.shared import stage
 
 #: Queries that one pass over the corpus answers.
 QUERY_BLOCK = 4096
@@ -30,6 +35,25 @@ def cosine(a: Column, b: Column) -> Column:
     return inner_product(a, b) / F.nullif(F.sqrt(inner_product(a, a) * inner_product(b, b)), F.lit(0.0))
 
 
+def in_blocks(asked: DataFrame, size: int, search: Callable[[list[Row]], tuple[DataFrame, Any]]) -> DataFrame:
+    """What ``search`` finds for all rows of ``asked``, which goes to the driver ``size`` rows or so at a time.
+
+    ``search`` gets the rows of a block and returns a table and the broadcast
+    it depends on. One block needs no more. Of several, each one's result is
+    staged and its broadcast let go before the next begins, so that the
+    driver and the tasks hold one block at any time.
+    """
+    blocks = max(1, -(-asked.count() // size))
+    if blocks == 1:
+        return search(asked.collect())[0]
+    found = []
+    for n in range(blocks):
+        table, sent = search(asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == n).collect())
+        found.append(stage(table, "block"))
+        sent.destroy()
+    return reduce(DataFrame.unionAll, found)
+
+
 def knn_exact(queries: DataFrame, corpus: DataFrame, k: int = 10, *, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``(query, id, sim, rank)``: the k nearest by cosine, ties by id.
 
@@ -41,12 +65,12 @@ def knn_exact(queries: DataFrame, corpus: DataFrame, k: int = 10, *, id_col: str
     """
     own = corpus.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     asked = queries.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("query"), F.col(vec_col).cast("array<double>").alias("v"))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    out = None
-    for n in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == n).collect()
-        found = own.mapInArrow(_nearest(corpus.sparkSession.sparkContext.broadcast(([r.query for r in rows], [r.v for r in rows])), k), "query long, id long, sim double")
-        out = found if out is None else out.unionByName(found)
+
+    def search(rows: list[Row]) -> tuple[DataFrame, Any]:
+        block = corpus.sparkSession.sparkContext.broadcast(([r.query for r in rows], [r.v for r in rows]))
+        return own.mapInArrow(_nearest(block, k), "query long, id long, sim double"), block
+
+    out = in_blocks(asked, QUERY_BLOCK, search)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lakeloom.operators.joins import equi_join
 from lakeloom.operators.timejoins import asof_join, range_join
 from lakeloom.plans.query import Query
 from lakeloom.sources.tables import table
@@ -37,16 +38,15 @@ def filter_project(spark, sf_dir):
 def asof(spark, sf_dir):
     """Each purchase with the latest view of the same user at or before it."""
     e = table(spark, sf_dir, "events")
-    kinds = sorted(r[0] for r in e.select("event_type").distinct().collect())[:2]
-    left = e.where(F.col("event_type") == kinds[0]).select("event_id", "user_id", "ts")
-    right = e.where(F.col("event_type") == kinds[1]).select(F.col("event_id").alias("prior"), "user_id", "ts")
-    return asof_join(left, right, by="user_id", ts="ts", value="prior", name="prior_id").select("event_id", "prior_id")
+    left = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    right = e.where("event_type = 'view'").select(F.col("event_id").alias("prior"), "user_id", "ts")
+    return asof_join(left, right, by="user_id", ts="ts", value="prior", name="prior_id", slot=lambda t: F.date_trunc("day", t)).select("event_id", "prior_id")
 
 
 def ranges(spark, sf_dir):
-    """Parts whose price lies within a supplier-free price band of a thousandth of the customers."""
+    """Parts and the customers whose balance is at most 5 below the part's price, signs aside."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
-    c = table(spark, sf_dir, "customer").where("c_custkey % 10 = 0").select("c_custkey", F.abs("c_acctbal").alias("lo"), (F.abs("c_acctbal") + 5).alias("hi"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.abs("c_acctbal").alias("lo"), (F.abs("c_acctbal") + 5).alias("hi"))
     return range_join(p, c, at=F.col("p_retailprice"), start=F.col("lo"), end=F.col("hi"), width=5.0).select("p_partkey", "c_custkey")
 
 
@@ -56,7 +56,7 @@ def approximate(spark, sf_dir):
         F.approx_count_distinct("l_partkey", 0.02).alias("parts"),
         F.percentile_approx("l_quantity", 0.5, 10_000).alias("median_quantity"),
         F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey", 14)).alias("hll_parts"),
-        F.size(F.expr("approx_top_k(l_linenumber, 3)")).alias("top"),
+        F.expr("approx_top_k(l_linenumber, 3)").alias("top"),
     )
 
 
@@ -67,9 +67,24 @@ def sketches(spark, sf_dir):
     return by_line.groupBy("l_returnflag").agg(F.hll_sketch_estimate(F.hll_union_agg("s")).alias("hll"), F.theta_sketch_estimate(F.theta_union_agg("t")).alias("theta"))
 
 
+def kll_quantiles(spark, sf_dir):
+    """Quartiles of the price by return flag, from sketches of finer groups that are merged."""
+    li = table(spark, sf_dir, "lineitem")
+    fine = li.groupBy("l_returnflag", "l_linestatus").agg(F.kll_sketch_agg_double("l_extendedprice", 400).alias("s"))
+    merged = fine.groupBy("l_returnflag").agg(F.kll_merge_agg_double("s").alias("s"))
+    return merged.select("l_returnflag", *[F.kll_sketch_get_quantile_double("s", F.lit(q)).alias(name) for name, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
+
+
+def sized_join(spark, sf_dir):
+    """Orders by market segment: the customers' side is broadcast only if it is found small."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_totalprice")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    return equi_join(o, c, ["c_custkey"]).groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
 def pivoted(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return e.groupBy("user_id").pivot("event_type", ["click", "purchase", "view"]).agg(F.count(F.lit(1)))
+    return e.groupBy("user_id").pivot("event_type", ["click", "error", "purchase", "signup", "view"]).agg(F.count(F.lit(1)))
 
 
 def unpivoted(spark, sf_dir):
@@ -82,16 +97,20 @@ def scalar_udf(spark, sf_dir):
     def discounted(price: pd.Series, discount: pd.Series) -> pd.Series:
         return price * (1 - discount)
 
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 100 = 1")
-    return li.groupBy("l_orderkey").agg(F.round(F.sum(discounted("l_extendedprice", "l_discount")), 2).alias("net"))
+    li = table(spark, sf_dir, "lineitem")
+    return li.groupBy("l_orderkey").agg(F.round(F.sum(discounted("l_extendedprice", "l_discount")), 6).alias("net"))
 
 
 def aggregate_udf(spark, sf_dir):
-    @F.pandas_udf("double")
-    def spread(v: pd.Series) -> float:
-        return float(v.max() - v.min())
+    """Greatest less least price; each Arrow batch gives a row for each of its groups, which are merged like any aggregate."""
+
+    def partial(frames):
+        for x in frames:
+            own = x.groupby("o_orderpriority", dropna=False)["o_totalprice"].agg(["min", "max"]).reset_index()
+            yield own.rename(columns={"min": "low", "max": "high"})
 
-    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.round(spread("o_totalprice"), 6).alias("spread"))
+    rows = table(spark, sf_dir, "orders").select("o_orderpriority", "o_totalprice").mapInPandas(partial, "o_orderpriority string, low double, high double")
+    return rows.groupBy("o_orderpriority").agg(F.round(F.max("high") - F.min("low"), 6).alias("spread"))
 
 
 class Words:
@@ -138,22 +157,23 @@ QUERIES = {
     "join_inner": _both("SELECT n_name, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA' GROUP BY n_name"),
     "join_left": _both("SELECT c_custkey, count(o_orderkey) AS n FROM {customer} LEFT JOIN (SELECT * FROM {orders} WHERE o_totalprice > 100000) o ON c_custkey = o_custkey GROUP BY c_custkey"),
     "join_right": _both("SELECT s_suppkey, n_name FROM (SELECT * FROM {nation} WHERE n_regionkey = 1) n RIGHT JOIN {supplier} ON s_nationkey = n_nationkey"),
-    "join_full": _both("SELECT c.c_custkey AS customer, s.s_suppkey AS supplier FROM (SELECT * FROM {customer} WHERE c_custkey % 3 = 0) c FULL JOIN (SELECT * FROM {supplier} WHERE s_suppkey % 2 = 0) s ON c_custkey = s_suppkey"),
+    "join_full": _both("SELECT c.c_custkey AS customer, s.s_suppkey AS supplier FROM {customer} c FULL JOIN {supplier} s ON c_custkey + 50 = s_suppkey"),
     "join_semi": _both("SELECT c_custkey FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_orderstatus = 'F')"),
-    "join_anti": _both("SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > 50000)"),
+    "join_anti": _both("SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > 450000)"),
     "join_cross": _both("SELECT r_name, x.n AS n FROM {region} CROSS JOIN (SELECT count(*) AS n FROM {nation}) x"),
-    "range_join": Query(ranges, "SELECT p_partkey, c_custkey FROM part JOIN customer ON p_retailprice >= abs(c_acctbal) AND p_retailprice < abs(c_acctbal) + 5 WHERE c_custkey % 10 = 0"),
+    "range_join": Query(ranges, "SELECT p_partkey, c_custkey FROM part JOIN customer ON p_retailprice >= abs(c_acctbal) AND p_retailprice < abs(c_acctbal) + 5"),
     "asof_join": Query(
         asof,
-        """WITH k AS (SELECT DISTINCT event_type FROM events ORDER BY 1 LIMIT 2), a AS (SELECT min(event_type) AS l, max(event_type) AS r FROM k)
-        SELECT o.event_id, p.event_id AS prior_id FROM (SELECT * FROM events WHERE event_type = (SELECT l FROM a)) o
-        ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = (SELECT r FROM a)) p ON o.user_id = p.user_id AND o.ts >= p.ts""",
+        """SELECT o.event_id, p.event_id AS prior_id FROM (SELECT * FROM events WHERE event_type = 'purchase') o
+        ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') p ON o.user_id = p.user_id AND o.ts >= p.ts""",
     ),
     "group_having": _both("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity, round(avg(l_extendedprice), 4) AS price FROM {lineitem} WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus HAVING count(*) > 10".replace("TIMESTAMP '", "TIMESTAMP_NTZ '"), "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity, round(avg(l_extendedprice), 4) AS price FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus HAVING count(*) > 10"),
     "distinct": _both("SELECT DISTINCT p_brand, p_type FROM {part}"),
     "count_distinct": _both("SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers FROM {lineitem} GROUP BY l_returnflag"),
     "approximate": Query(approximate),
     "sketches": Query(sketches),
+    "kll_quantiles": Query(kll_quantiles),
+    "sized_join": Query(sized_join, "SELECT c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1"),
     "rollup": _both("SELECT o_orderstatus AS status, o_orderpriority AS priority, count(*) AS n FROM {orders} GROUP BY ROLLUP (o_orderstatus, o_orderpriority)"),
     "cube": _both("SELECT o_orderstatus AS status, o_orderpriority AS priority, count(*) AS n FROM {orders} GROUP BY CUBE (o_orderstatus, o_orderpriority)"),
     "grouping_sets": _both("SELECT o_orderstatus AS status, o_orderpriority AS priority, count(*) AS n FROM {orders} GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())"),
@@ -175,7 +195,7 @@ QUERIES = {
     "intersect_all": _both("SELECT c_nationkey AS k FROM {customer} INTERSECT ALL SELECT s_nationkey FROM {supplier}"),
     "except": _both("SELECT p_partkey AS k FROM {part} EXCEPT SELECT l_partkey FROM {lineitem} WHERE l_quantity > 40"),
     "except_all": _both("SELECT c_nationkey AS k FROM {customer} EXCEPT ALL SELECT s_nationkey FROM {supplier}"),
-    "pivot": Query(pivoted, "SELECT user_id, nullif(count(*) FILTER (WHERE event_type = 'click'), 0) AS click, nullif(count(*) FILTER (WHERE event_type = 'purchase'), 0) AS purchase, nullif(count(*) FILTER (WHERE event_type = 'view'), 0) AS view FROM events GROUP BY user_id"),
+    "pivot": Query(pivoted, "SELECT user_id, "+ ", ".join(f"nullif(count(*) FILTER (WHERE event_type = '{k}'), 0) AS {k}" for k in ("click", "error", "purchase", "signup", "view")) + " FROM events GROUP BY user_id"),
     "unpivot": Query(unpivoted, "SELECT p_partkey, unnest(['p_size', 'p_retailprice']) AS name, unnest([p_size::double, p_retailprice]) AS value FROM part"),
     "string_scalars": _both("SELECT p_partkey, upper(p_name) AS up, lower(p_brand) AS low, substring(p_name, 2, 3) AS sub, cast(length(p_name) AS int) AS len, replace(p_name, 'a', 'b') AS rep, lpad(p_brand, 12, '*') AS pad, trim(concat(' ', p_type, ' ')) AS tr, cast(instr(p_name, 'e') AS int) AS pos, concat_ws('-', p_brand, p_type) AS cat FROM {part}"),
     "date_scalars": _both(
@@ -194,7 +214,7 @@ QUERIES = {
         session_batch,
         SESSIONS_SQL,
     ),
-    "scalar_udf": Query(scalar_udf, "SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS net FROM lineitem WHERE l_orderkey % 100 = 1 GROUP BY 1"),
+    "scalar_udf": Query(scalar_udf, "SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 6) AS net FROM lineitem GROUP BY 1"),
     "aggregate_udf": Query(aggregate_udf, "SELECT o_orderpriority, round(max(o_totalprice) - min(o_totalprice), 6) AS spread FROM orders GROUP BY 1"),
     "table_udf": Query(table_udf, "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS part, (generate_subscripts(string_split(p_name, ' '), 1) - 1)::int AS at FROM part"),
 }

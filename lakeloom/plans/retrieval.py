@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lakeloom.functions.text import tokens
+from lakeloom.functions.text import html_to_text
 from lakeloom.operators import chunking, fusion, structured, summaries, vectors
 from lakeloom.operators.bm25 import bm25
 from lakeloom.operators.ivf import knn_approx as ivf_search
-from lakeloom.operators.tokens import bpe_count
+from lakeloom.operators.tokens import bpe_count, token_counts
 from lakeloom.plans.query import Query
 from lakeloom.sources.tables import table
 
@@ -41,9 +41,35 @@ def bm25_topk(spark, sf_dir, k: int = 10):
 
 
 def tokenize(spark, sf_dir):
-    """Token counts; each row's tokens are counted by hash aggregation after a map-side sum."""
+    """Token counts of each document, taken within its row."""
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+def page_text(spark, sf_dir):
+    """The text of every raw page."""
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", "url", html_to_text(F.col("html")).alias("text"))
+
+
+def distinct_texts(spark, sf_dir):
+    """Every text once, by digest, with how many documents have it and the first of them."""
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("tok")).groupBy("doc_id", "tok").agg(F.count("*").alias("n"))
+    return docs.groupBy(F.md5("text").alias("md5")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
+
+
+def client_embeddings(spark, sf_dir):
+    """Vectors by an injected model: this one counts five letters."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = structured.with_client(docs, "text", lambda: lambda texts: [[float((t or "").count(c)) for c in "aeiou"] for t in texts], "v", "array<double>")
+    return made.select("doc_id", *[F.col("v")[k].alias(c) for k, c in enumerate("aeiou")])
+
+
+def client_completions(spark, sf_dir):
+    """Answers of an injected client to rendered prompts: this one says how long they are."""
+    turns = table(spark, sf_dir, "conversations")
+    asked = turns.select("conv_id", "turn", structured.prompt_render("{role}: {text}", role=F.col("role"), text=F.col("text")).alias("prompt"))
+    made = structured.with_client(asked, "prompt", lambda: lambda prompts: [f"{len(p)} characters" for p in prompts], "answer", "string")
+    return made.select("conv_id", "turn", "answer")
 
 
 def chunk_fixed(spark, sf_dir):
@@ -85,11 +111,16 @@ def knn_approx(spark, sf_dir):
 
 
 def vector_distances(spark, sf_dir):
-    """Distances of every vector from that of id 0, one row that is broadcast."""
+    """Distances between every vector and each of the stated queries, in blocks of these."""
     e = table(spark, sf_dir, "embeddings")
-    one = e.where("vec_id = 0").select(F.col("embedding").alias("q")).limit(1)
-    d = e.join(F.broadcast(one))
-    return d.select("vec_id", F.round(vectors.cosine(F.col("q"), F.col("embedding")), 6).alias("cos"), F.round(vectors.l2(F.col("q"), F.col("embedding")), 6).alias("l2"), F.round(vectors.inner_product(F.col("q"), F.col("embedding")), 6).alias("ip"))
+    asked = _queries_of(e).select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+
+    def block(rows):
+        # At most ``QUERY_BLOCK`` rows are broadcast at a time.
+        return e.crossJoin(F.broadcast(spark.createDataFrame(rows, asked.schema))), spark.sparkContext.broadcast(None)
+
+    d = vectors.in_blocks(asked, vectors.QUERY_BLOCK, block)
+    return d.select("query", "vec_id", F.round(vectors.cosine(F.col("q"), F.col("embedding")), 6).alias("cos"), F.round(vectors.l2(F.col("q"), F.col("embedding")), 6).alias("l2"), F.round(vectors.inner_product(F.col("q"), F.col("embedding")), 6).alias("ip"))
 
 
 def vector_upsert(spark, sf_dir):
@@ -101,12 +132,17 @@ def vector_upsert(spark, sf_dir):
 
 
 def rrf(spark, sf_dir):
-    """BM25's hundred best fused with those nearest to vector 0, on the number alone."""
+    """BM25's hundred best fused with the hundred vectors nearest to each query, on the number alone."""
     e = table(spark, sf_dir, "embeddings")
     lexical = bm25_topk(spark, sf_dir, 100)
     first = lexical.agg(F.sort_array(F.collect_list(F.struct(-F.col("score"), "doc_id"))).alias("x")).select(F.posexplode("x").alias("k", "x")).select(F.col("x.doc_id").alias("id"), (F.col("k") + 1).alias("rank"))
-    second = vectors.knn_exact(e.where("vec_id = 0"), e, 100).select("id", "rank")
-    return fusion.rrf([first, second]).withColumn("score", F.round("score", 9))
+    asked = _queries_of(e).select(F.col("vec_id").alias("query"))
+    # A hundred rows: the lexical list is the same for every query.
+    first = asked.crossJoin(F.broadcast(first))
+    second = vectors.knn_exact(_queries_of(e), e, 100).select("query", "id", "rank")
+    pair = F.struct("query", "id").alias("id")
+    fused = fusion.rrf([first.select(pair, "rank"), second.select(pair, "rank")])
+    return fused.select("id.query", "id.id", F.round("score", 9).alias("score"))
 
 
 def mmr(spark, sf_dir):
@@ -169,6 +205,10 @@ QUERIES = {
     "bm25": Query(bm25_scores, BM25_SQL),
     "bm25_topk": Query(bm25_topk, BM25_SQL + " ORDER BY score DESC, doc_id LIMIT 10"),
     "tokenize": Query(tokenize, r"SELECT doc_id, tok, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS tok FROM documents) GROUP BY 1, 2"),
+    "page_text": Query(page_text, r"SELECT page_id, url, regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gs'), '<[^>]*>', ' ', 'g') AS text FROM pages"),
+    "distinct_texts": Query(distinct_texts, "SELECT md5(text) AS md5, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1"),
+    "client_embeddings": Query(client_embeddings, "SELECT doc_id, " + ", ".join(f"(length(coalesce(text, '')) - length(replace(coalesce(text, ''), '{c}', '')))::double AS {c}" for c in "aeiou") + " FROM documents"),
+    "client_completions": Query(client_completions, "SELECT conv_id, turn, (length(coalesce(role, '')) + 2 + length(coalesce(text, ''))) || ' characters' AS answer FROM conversations"),
     "chunk_fixed": Query(chunk_fixed, "SELECT doc_id, i::int AS chunk, substring(text, (i*150+1)::int, 200) AS text FROM (SELECT doc_id, text, unnest(range(0, greatest(0, (length(text)-51)//150)+1)) AS i FROM documents)"),
     "chunk_tokens": Query(
         chunk_tokens,
@@ -183,17 +223,17 @@ QUERIES = {
     "knn_approx": Query(knn_approx),
     "vector_distances": Query(
         vector_distances,
-        """SELECT e.vec_id, round(list_cosine_similarity(q.embedding::double[], e.embedding::double[]), 6) AS cos,
+        """SELECT q.vec_id AS query, e.vec_id, round(list_cosine_similarity(q.embedding::double[], e.embedding::double[]), 6) AS cos,
         round(list_distance(q.embedding::double[], e.embedding::double[]), 6) AS l2, round(list_inner_product(q.embedding::double[], e.embedding::double[]), 6) AS ip
-        FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q""",
+        FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0) q""",
     ),
     "vector_upsert": Query(vector_upsert, "SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 100 ELSE label END AS label FROM embeddings WHERE vec_id % 7 <> 0"),
     "rrf": Query(
         rrf,
         f"""WITH b AS ({BM25_SQL}), l AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM b QUALIFY r <= 100),
-        v AS (SELECT e.vec_id AS id, row_number() OVER (ORDER BY list_cosine_similarity(q.embedding::double[], e.embedding::double[]) DESC, e.vec_id) AS r
-              FROM embeddings e, embeddings q WHERE q.vec_id = 0 QUALIFY r <= 100)
-        SELECT id, round(sum(1e0/(60+r)), 9) AS score FROM (SELECT * FROM l UNION ALL SELECT * FROM v) GROUP BY id""",
+        v AS (SELECT q.vec_id AS query, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::double[], e.embedding::double[]) DESC, e.vec_id) AS r
+              FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 QUALIFY r <= 100)
+        SELECT query, id, round(sum(1e0/(60+r)), 9) AS score FROM (SELECT vec_id AS query, id, r FROM l, embeddings WHERE vec_id % 50 = 0 UNION ALL SELECT * FROM v) GROUP BY query, id""",
     ),
     "mmr": Query(mmr),
     "parse_structured": Query(parse_structured, "SELECT event_id, (props->>'k')::int AS k FROM events"),

@@ -9,21 +9,30 @@ from pyspark.sql import functions as F
 
 from lakeloom.plans.query import Query
 from lakeloom.sources.files import SquaresSource, read_table, write_table
+from lakeloom.sources.shared import scratch
 from lakeloom.sources.tables import table
-from lakeloom.streaming.queries import scratch
 
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = {
+    "region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "lineitem": "l_orderkey",
+    "events": "event_id", "documents": "doc_id", "embeddings": "vec_id", "pages": "page_id", "benchmark": "item_id", "labels": "doc_id", "conversations": "conv_id",
+}
 
 
 def scan_tables(spark, sf_dir):
-    """Rows of every table, from the files' footers."""
-    return reduce(DataFrame.unionAll, [table(spark, sf_dir, t).agg(F.lit(t).alias("name"), F.count("*").alias("n")) for t in TABLES])
+    """Rows of every table, and the distinct values and the extremes of its key."""
+
+    def summary(t: str) -> DataFrame:
+        own = table(spark, sf_dir, t)
+        key = F.col(TABLES[t])
+        return own.agg(F.lit(t).alias("name"), F.count("*").alias("n"), F.countDistinct(key).alias("keys"), F.min(key).cast("long").alias("low"), F.max(key).cast("long").alias("high"))
+
+    return reduce(DataFrame.unionAll, [summary(t) for t in TABLES])
 
 
 def _round_trip(kind: str):
     def run(spark, sf_dir):
         own = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
-        path = scratch(spark, "files")
+        path = scratch(spark, "files") + "/rows"
         if kind == "text":
             write_table(own.select(F.concat_ws("|", "c_custkey", "c_name").alias("value")), path, kind)
             parts = F.split("value", r"\|")
@@ -42,7 +51,7 @@ def python_source(spark, sf_dir):
 _WHOLE = "SELECT c_custkey, c_name, c_acctbal FROM customer"
 
 QUERIES = {
-    "scan_tables": Query(scan_tables, " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in TABLES)),
+    "scan_tables": Query(scan_tables, " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n, count(DISTINCT {k}) AS keys, min({k})::bigint AS low, max({k})::bigint AS high FROM {t}" for t, k in TABLES.items())),
     "csv_round_trip": Query(_round_trip("csv"), _WHOLE),
     "json_round_trip": Query(_round_trip("json"), _WHOLE),
     "orc_round_trip": Query(_round_trip("orc"), _WHOLE),

@@ -30,10 +30,15 @@ def sessions(spark, sf_dir):
 
 
 def totals(spark, sf_dir):
-    out = streaming.drain(streaming.running_totals(_stream(spark, sf_dir)), "update")
+    out = streaming.drain(streaming.running_totals(_stream(spark, sf_dir)), "update", ("user_id",))
     return out.withColumn("value", F.round("value", 4))
 
 
+def idle_users(spark, sf_dir):
+    """Users silent for a day before the watermark, which stays an hour behind the last event."""
+    return streaming.drain(streaming.idle_users(_stream(spark, sf_dir))).withColumn("last", F.col("last").cast("timestamp_ntz"))
+
+
 def deduplicated(spark, sf_dir):
     events = _stream(spark, sf_dir)
     return streaming.drain(streaming.deduplicated(events.unionByName(events)).select("event_id", "event_type"))
@@ -52,6 +57,10 @@ QUERIES = {
     ),
     "stream_sessions": Query(sessions, SESSIONS_SQL),
     "stream_running_totals": Query(totals, "SELECT user_id, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY user_id"),
+    "stream_idle_users": Query(
+        idle_users,
+        "SELECT user_id, date_trunc('millisecond', max(ts))::timestamp AS last, count(*) AS n FROM events GROUP BY user_id HAVING max(ts) + INTERVAL 24 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR",
+    ),
     "stream_dedup": Query(deduplicated, "SELECT event_id, event_type FROM events"),
     "stream_join": Query(stream_join, "SELECT a.event_id AS first_id, b.event_id AS second_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 30 MINUTE"),
 }

@@ -2,34 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
 
-
-def checkpoint_root(spark: SparkSession) -> str:
-    """The folder that all executors share, by ``spark.checkpoint.dir``; a temporary one in local mode."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return tempfile.mkdtemp(prefix="lakeloom-stream-")
-
-
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder, removed when the driver's JVM ends."""
-    path = f"{checkpoint_root(spark)}/{tag}-{uuid.uuid4().hex}"
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(at)
-    fs.deleteOnExit(at)
-    return path
+from lakeloom.sources.shared import scratch
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -42,25 +25,50 @@ def event_stream(spark: SparkSession, path: str) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
+@contextmanager
+def _state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """A query that starts within it keeps its state in RocksDB, as stateful processors need."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
+def drain(stream: DataFrame, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
     """All that the stream gives until its input ends, as a table.
 
-    Batches are written as Parquet to the shared folder; in complete and
-    update mode the last batch that has rows stands for the rest.
+    Batches are written as Parquet to the shared folder, in complete and
+    update mode each to a folder of its own, so that a batch that is run
+    again replaces itself. In complete mode the last batch is the table. In
+    update mode a batch has the rows that changed, so of all rows with the
+    same ``keys`` those of the latest batch count.
     """
     spark = stream.sparkSession
     root = scratch(spark, "stream")
     if mode == "append":
-        query = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start()
+        with _state_in_rocksdb(spark):
+            query = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start()
         query.awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{root}/out")
+    if mode == "update" and not keys:
+        raise ValueError("update mode needs the keys of its rows")
+    spark.createDataFrame([], stream.schema).write.parquet(f"{root}/out/epoch=-1")
 
     def keep(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/out")
+        batch.write.mode("overwrite").parquet(f"{root}/out/epoch={epoch}")
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start()
+    with _state_in_rocksdb(spark):
+        query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/out")
+    whole = spark.read.schema(StructType([*stream.schema, StructField("epoch", LongType())])).parquet(f"{root}/out")
+    if mode == "complete":
+        last = whole.agg(F.max("epoch")).first()[0]
+        return whole.where(F.col("epoch") == F.lit(-1 if last is None else last)).drop("epoch")
+    latest = whole.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "epoch").alias("row"))
+    return latest.select("row.*")
 
 
 def tumbling(events: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:
@@ -91,15 +99,66 @@ def joined(left: DataFrame, right: DataFrame, late: str = "1 hour", apart: str =
     return a.join(b, F.expr(f"user_id = __u and second_ts > first_ts and second_ts <= first_ts + {apart}")).drop("__u")
 
 
-def running_totals(events: DataFrame) -> DataFrame:
-    """``(user_id, n, value)``: all events of a user so far, kept as state from batch to batch."""
+class RunningTotals(StatefulProcessor):
+    """Number and sum of a user's events so far, one value of state for each user."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.total = handle.getValueState("total", "n long, value double")
 
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, value = state.get if state.exists else (0, 0.0)
-        for x in frames:
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        n, value = self.total.get() if self.total.exists() else (0, 0.0)
+        for x in rows:
             n, value = n + len(x), value + float(x["value"].sum())
-        state.update((n, value))
+        self.total.update((n, value))
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "value": [value]})
 
-    kinds: Any = "user_id long, n long, value double"
-    return events.groupBy("user_id").applyInPandasWithState(update, kinds, "n long, value double", "update", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+class IdleUsers(StatefulProcessor):
+    """The last event of each user who then was silent for ``gap`` of event time.
+
+    Every later event puts the user's timer off; when the watermark passes
+    it, the user is reported and forgotten.
+    """
+
+    def __init__(self, gap_ms: int):
+        self.gap_ms = gap_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "ms long, n long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        before, n = self.last.get() if self.last.exists() else (-1, 0)
+        last = before
+        for x in rows:
+            last, n = max(last, int(x["ms"].max())), n + len(x)
+        if last > before:
+            if before >= 0:
+                self.handle.deleteTimer(before + self.gap_ms)
+            self.handle.registerTimer(last + self.gap_ms)
+        self.last.update((last, n))
+        return iter(())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        last, n = self.last.get()
+        self.last.clear()
+        yield pd.DataFrame({"user_id": [key[0]], "ms": [last], "n": [n]})
+
+    def close(self) -> None:
+        pass
+
+
+def running_totals(events: DataFrame) -> DataFrame:
+    """``(user_id, n, value)``: all events of a user so far, kept as state from batch to batch."""
+    own = events.select("user_id", "value")
+    return own.groupBy("user_id").transformWithStateInPandas(RunningTotals(), "user_id long, n long, value double", "update", "none")
+
+
+def idle_users(events: DataFrame, late: str = "1 hour", gap_hours: float = 24.0) -> DataFrame:
+    """``(user_id, last, n)``: users silent for ``gap_hours`` as far as the watermark tells, by event-time timers."""
+    own = events.withWatermark("ts", late).select("user_id", "ts", F.unix_millis("ts").alias("ms"))
+    out = own.groupBy("user_id").transformWithStateInPandas(IdleUsers(int(gap_hours * 3_600_000)), "user_id long, ms long, n long", "append", "eventTime")
+    return out.select("user_id", F.timestamp_millis("ms").alias("last"), "n")

@@ -9,8 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from lakeloom.operators import chunking, fusion, ivf, structured, summaries, timejoins, vectors
+from lakeloom.functions.text import html_to_text
+from lakeloom.operators import chunking, fusion, ivf, joins, structured, summaries, timejoins, vectors
 from lakeloom.operators.bm25 import bm25
+from lakeloom.operators.tokens import token_counts
 from lakeloom.sources.files import SquaresSource, read_table, write_table
 from lakeloom.streaming import queries as streaming
 
@@ -123,14 +125,19 @@ def test_asof_and_range_joins_match_nested_loops(spark):
     left = [(k, rng.choice([1, 2, None]), rng.choice([None, *range(20)])) for k in range(80)]
     right = [(100 + k, rng.choice([1, 2, None]), rng.choice([None, *range(20)])) for k in range(60)]
     schema = "id long, by long, at long"
-    got = {r.id: r.last for r in timejoins.asof_join(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), by="by", ts="at", value="id", name="last").collect()}
-    for key, by, at in left:
-        own = [(t, v) for v, b, t in right if b is not None and b == by and t is not None and at is not None and t <= at]
-        assert got[key] == (max(own)[1] if own else None)
+    for slot in (None, lambda t: F.floor(t / 4), lambda t: t):
+        out = timejoins.asof_join(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), by="by", ts="at", value="id", name="last", slot=slot)
+        got = {r.id: r.last for r in out.collect()}
+        assert out.columns == ["id", "by", "at", "last"] and len(got) == out.count() == len(left)
+        for key, by, at in left:
+            own = [(t, v) for v, b, t in right if b is not None and b == by and t is not None and at is not None and t <= at]
+            assert got[key] == (max(own)[1] if own else None)
     spans = [(k, a, a + rng.uniform(-1, 9)) for k, a in enumerate(rng.uniform(-20, 20) for _ in range(50))]
-    points = [(k, rng.uniform(-20, 20)) for k in range(60)] + [(99, None)]
+    inf, nan = float("inf"), float("nan")
+    spans += [(100, -1e9, 1e9), (101, -inf, 0.0), (102, 0.0, inf), (103, -inf, inf), (104, 0.0, None), (105, nan, 5.0), (106, 0.0, 1e300), (107, 0.0, 3.0), (108, -6.0, 6.0)]
+    points = [(k, rng.uniform(-20, 20)) for k in range(60)] + [(97, 0.0), (98, 3.0), (99, None), (100, nan)]
     out = timejoins.range_join(spark.createDataFrame(points, "p long, x double"), spark.createDataFrame(spans, "s long, a double, b double"), at=F.col("x"), start=F.col("a"), end=F.col("b"), width=3.0)
-    assert sorted((r.p, r.s) for r in out.collect()) == sorted((p, s) for p, x in points for s, a, b in spans if x is not None and a <= x < b)
+    assert sorted((r.p, r.s) for r in out.collect()) == sorted((p, s) for p, x in points for s, a, b in spans if x is not None and b is not None and a <= x < b)
 
 
 def test_files_round_trip_and_python_source(spark, tmp_path):
@@ -150,6 +157,12 @@ def test_summaries(spark):
     df = spark.createDataFrame([("a", float(k)) for k in range(5)] + [("b", None)], "g string, v double")
     got = {r.g: (r.n, r["median"]) for r in summaries.describe(df, "g", "v").collect()}
     assert got == {"a": (5, 2.0), "b": (0, None)}
+    rng = random.Random(6)
+    rows = [(rng.choice(["x", "y", None]), rng.choice([None, rng.randint(-9, 9)])) for _ in range(300)]
+    wide = spark.createDataFrame(rows, "g string, v int").repartition(3)
+    exact = wide.groupBy("g").agg(*[F.round(F.percentile("v", F.lit(q)), 6).alias(name) for name, q in summaries.QUARTILES.items()])
+    same = lambda df: sorted((str(r.g), r.q1, r["median"], r.q3) for r in df.collect())
+    assert same(summaries.describe(wide, "g", "v")) == same(exact)
     assert {r.bin: r.n for r in summaries.histogram(df, F.col("v"), 2.0).collect()} == {0: 2, 1: 2, 2: 1}
 
 
@@ -178,8 +191,93 @@ def test_bpe_counts_are_the_tokenizers(spark):
 def test_sketches_are_near_the_exact_counts(spark):
     sf = "/root/testdata/sf0.01"
     exact = {r.l_returnflag: r.n for r in spark.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_returnflag").agg(F.countDistinct("l_partkey").alias("n")).collect()}
-    queries = entry.queries()
+    queries, top = entry.queries(), {}
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_returnflag", "l_linenumber").count().orderBy(F.desc("count"), "l_linenumber").collect():
+        top.setdefault(r.l_returnflag, []).append((r.l_linenumber, r["count"]))
     for r in queries["approximate"](spark, sf).collect():
         assert abs(r.parts / exact[r.l_returnflag] - 1) < 0.1 and abs(r.hll_parts / exact[r.l_returnflag] - 1) < 0.05
+        assert [(x.item, x["count"]) for x in r.top] == top[r.l_returnflag][:3]
     for r in queries["sketches"](spark, sf).collect():
         assert abs(r.hll / exact[r.l_returnflag] - 1) < 0.05 and abs(r.theta / exact[r.l_returnflag] - 1) < 0.1
+
+
+def test_quantiles_of_merged_sketches_are_near_the_exact_ranks(spark):
+    sf = "/root/testdata/sf0.01"
+    prices = {}
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_returnflag", "l_extendedprice").collect():
+        prices.setdefault(r[0], []).append(r[1])
+    for r in entry.queries()["kll_quantiles"](spark, sf).collect():
+        own = prices[r.l_returnflag]
+        for got, q in ((r.q1, 0.25), (r["median"], 0.5), (r.q3, 0.75)):
+            assert abs(sum(x <= got for x in own) / len(own) - q) < 0.02
+
+
+def batches_of(spark, folder, batches, schema):
+    for k, rows in enumerate(batches):
+        (folder / f"{k}.json").write_text("\n".join(map(json.dumps, rows)))
+        os.utime(folder / f"{k}.json", (1_700_000_000 + 60 * k,) * 2)  # files come by age
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))
+
+
+def test_update_and_complete_mode_keep_what_all_batches_gave(spark, tmp_path):
+    event = lambda user, value: {"user_id": user, "value": value}
+    batches = [[event(1, 1.0), event(2, 2.0)], [event(1, 5.0)], [event(3, 7.0), event(3, 1.0)], [event(1, 1.0)]]
+    (tmp_path / "a").mkdir()
+    totals = streaming.drain(streaming.running_totals(batches_of(spark, tmp_path / "a", batches, "user_id long, value double")), "update", ("user_id",))
+    want = [(1, 3, 7.0), (2, 1, 2.0), (3, 2, 8.0)]
+    assert sorted(map(tuple, totals.collect())) == want
+    (tmp_path / "b").mkdir()
+    counted = batches_of(spark, tmp_path / "b", batches, "user_id long, value double").groupBy("user_id").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
+    assert sorted(map(tuple, streaming.drain(counted, "complete").collect())) == want
+    assert sorted(map(tuple, streaming.drain(counted, "update", ("user_id",)).collect())) == want
+    with pytest.raises(ValueError):
+        streaming.drain(counted, "update")
+    (tmp_path / "c").mkdir()
+    none = batches_of(spark, tmp_path / "c", [], "user_id long, value double").groupBy("user_id").agg(F.count("*").alias("n"))
+    assert streaming.drain(none, "complete").count() == 0
+
+
+def test_a_timer_reports_users_who_fell_silent(spark, tmp_path):
+    at = lambda user, hour: {"user_id": user, "ts": f"2024-01-{1 + hour // 24:02d}T{hour % 24:02d}:00:00"}
+    batches = [[at(1, 0), at(2, 0)], [at(2, 20)], [at(3, 40)], [at(2, 41)], [at(3, 200)]]
+    out = streaming.drain(streaming.idle_users(batches_of(spark, tmp_path, batches, "user_id long, ts timestamp")))
+    assert sorted((r.user_id, r.last.hour, r.n) for r in out.collect()) == [(1, 0, 1), (2, 17, 3)]
+
+
+def test_queries_go_out_in_blocks(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(4)]) for k in range(60)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    index = ivf.fit(e, lists=4, recall=1.0)
+    search = {"exact": lambda: vectors.knn_exact(e, e, 3), "lists": lambda: ivf.search(e, ivf.assign(e, index), index, 3)}
+    found = lambda run: sorted((r.query, r["rank"], r.id, round(r.sim, 9)) for r in run().collect())
+    once = {name: found(run) for name, run in search.items()}
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 20)
+    monkeypatch.setattr(ivf, "QUERY_BLOCK", 20)
+    for name, run in search.items():
+        assert found(run) == once[name]
+    plan = vectors.knn_exact(e, e, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan
+
+
+def test_join_strategies(spark):
+    left = spark.createDataFrame([(k % 7 if k % 5 else None, k) for k in range(40)], "k long, a long")
+    right = spark.createDataFrame([(k if k else None, 10 * k) for k in range(9)], "k long, b long")
+    for how in ("inner", "left", "right", "full", "left_semi", "left_anti"):
+        want = sorted(map(repr, left.join(right, ["k"], how).collect()))
+        for strategy in ("auto", "merge", "shuffle_hash"):
+            assert sorted(map(repr, joins.equi_join(left, right, ["k"], how, strategy=strategy).collect())) == want
+    plan = lambda **x: joins.equi_join(left, right, ["k"], **x)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan() and "SortMergeJoin" in plan(strategy="merge") and "ShuffledHashJoin" in plan(strategy="shuffle_hash")
+    assert joins.fits(right, 9) and not joins.fits(right, 8)
+    for bad in ({"strategy": "broadcast", "most": 3}, {"strategy": "broadcast", "how": "full"}, {"strategy": "nested"}):
+        with pytest.raises(ValueError):
+            joins.equi_join(left, right, ["k"], **bad)
+
+
+def test_tokens_and_pages(spark):
+    texts = ["b a B", "", None, "é É x", "...", "a " * 5000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(map(tuple, token_counts(docs).collect())) == [(0, "a", 1), (0, "b", 2), (3, "x", 1), (3, "é", 2), (5, "a", 5000)]
+    pages = spark.createDataFrame([("<p>a<b>c</b></p>",), ("<style>\nx</style>t<script a='1'>var t='</p>';\n</script>y",), ("",), (None,), ("a < b",)], "h string")
+    assert [r[0] for r in pages.select(html_to_text(F.col("h"))).collect()] == [" a c  ", " t y", "", None, "a < b"]
