@@ -1,68 +1,43 @@
-"""Shared folder, staged tables and Arrow helpers."""
+"""Names and Arrow helpers; staged tables are those of the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Lower-cases A-Z and leaves every other byte.
-LOWER = bytes(range(256)).lower()
-#: Rows that a Python worker handles at a time.
-SLICE = 256
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``, which all executors share.
-
-    Where it is unset, a temporary folder serves local mode, in which driver
-    and executors are one process; on a cluster an unset folder is an error.
-    """
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = "file://" + tempfile.mkdtemp(prefix="lakeloom-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+from lakeloom.sources.shared import stage, unstage
 
+__all__ = ["LOWER", "bucket_of", "slices", "spare", "stage", "unstage", "utf8"]
 
-def stage(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read back.
-
-    It cuts the lineage: a lost executor later costs no more than rereading.
-    The files go when the driver's JVM ends, or earlier by ``unstage``.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    fs, at = _hadoop(spark, path)
-    fs.deleteOnExit(at)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_at = path
-    return out
-
-
-def unstage(df: DataFrame) -> None:
-    """Removes a staged table that nothing will read again."""
-    fs, at = _hadoop(df.sparkSession, df._staged_at)
-    fs.delete(at, True)
+#: Lower-cases A-Z and leaves every other byte.
+LOWER = bytes(range(256)).lower()
+#: Rows, and bytes unless one row has more, that a Python worker handles at a time.
+SLICE, SLICE_BYTES = 256, 4 << 20
 
 
-def _hadoop(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+def spare(df: DataFrame, name: str) -> str:
+    """``name``, or it with as many underscores before it as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of few rows, so that long texts don't pile up."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of few rows and bytes, so that long texts don't pile up."""
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+            left = [batch.slice(start, rows)]
+            while left:
+                part = left.pop()
+                if part.num_rows > 1 and part.nbytes > most:
+                    half = part.num_rows // 2
+                    left += [part.slice(half), part.slice(0, half)]
+                else:
+                    yield part
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:

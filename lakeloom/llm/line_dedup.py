@@ -1,8 +1,8 @@
-"""Substring dedup by hashing lines or paragraphs, and by windows of words."""
+"""Substring dedup by hashing lines or paragraphs, and units that content marks out."""
 
 from __future__ import annotations
 
-import re
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,273 +11,187 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import LOWER, slices, stage, utf8
+from lakeloom.llm.common import LOWER, slices, spare, stage, unstage, utf8
 
-#: Units of fewer words (headings, list items, licence lines) may repeat.
+#: Lines or paragraphs of fewer words (headings, list items, licence lines) may repeat.
 MIN_WORDS = 25
 #: What stands between units.
 SEPARATORS = {"line": "\n", "paragraph": "\n\n"}
-#: Words of the shortest passage that may not repeat, wherever it begins and however it is wrapped.
+#: Words of a passage that may not repeat, wherever it begins and however it is wrapped.
 PASSAGE = 51
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_IS_WORD = np.array([not bytes([b]).isspace() for b in range(256)])
-_BYTE = np.random.default_rng(7).integers(0, 1 << 64, 256, np.uint64)
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Distinct words whose hashes a task remembers.
+_WORDS = 200_000
+_SPACES = np.array([bytes([b]).isspace() for b in range(256)])
+_MIX = 0x9E3779B97F4A7C15
+_LOW = (1 << 24) - 1
 
 
-def units(text: str, unit: str = "line", min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes]]:
-    """(start, end, digest) of each unit that is long enough, in code points.
+class _WordHashes(dict):
+    """40 bits of the MD5 of each word asked for."""
 
-    A digest is the XXH128 of the unit's words, A-Z lower-cased and joined by
-    a space, so that case and spacing make no difference.
-    """
-    sep, at, out = SEPARATORS[unit], 0, []
-    for piece in text.split(sep):
-        words = piece.encode().translate(LOWER).split()
-        if len(words) >= min_words:
-            out.append((at, at + len(piece), xxhash.xxh128_digest(b" ".join(words))))
-        at += len(piece) + len(sep)
-    return out
-
-
-def without(text: str, removed: set[int], unit: str = "line") -> str:
-    """``text`` without the units that start at these offsets."""
-    sep, at, kept = SEPARATORS[unit], 0, []
-    for piece in text.split(sep):
-        if at not in removed:
-            kept.append(piece)
-        at += len(piece) + len(sep)
-    return sep.join(kept)
-
-
-def dedup_units(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with repeated units cut from the text, and ``removed_spans``.
-
-    Of equal units over all documents, the one with the smallest (id, offset)
-    stays and the rest go, with the separator after them. ``removed_spans``
-    has the sorted (start, end) code points of the units cut, in the original
-    text, so that every kept character can be traced back; it replaces a
-    column of that name, all other columns stay. Units of fewer than
-    ``min_words`` words are left alone.
-
-    A null text stays null. Null ids rank before others. Rows of one id are
-    told apart by their text; rows equal in both are one document and are
-    treated alike. Counts and first places come from partial aggregations of
-    16-byte digests and the join that follows may be split, so a unit in a
-    third of the documents is no burden on one task.
-    """
-    kind = docs.schema[id_col].dataType.simpleString()
-    own = docs.drop("removed_spans").withColumn("__th", F.xxhash64(text_col))
-    found = stage(own.select(F.col(id_col).alias("id"), "__th", F.col(text_col).cast("string").alias("text")).where("text is not null").mapInArrow(_units(unit, min_words), f"id {kind}, th long, start int, end int, h1 long, h2 long"), "units")
-    place = F.struct("id", "th", "start")
-    first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    cut = found.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first"))).select("id", "th", "start", "end").distinct()
-    cuts = cut.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed_spans"))
-    cuts = cuts.withColumnsRenamed({"id": "__id", "th": "__h"})
-    marked = own.join(cuts, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h")), "left").drop("__id", "__h", "__th")
-    marked = marked.withColumn("removed_spans", F.coalesce("removed_spans", F.expr("cast(array() as array<struct<start:int,end:int>>)")))
-    return marked.mapInArrow(_cut(marked.columns.index(text_col), unit), marked.schema)
-
-
-def _units(unit: str, min_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            each = [units(t, unit, min_words) for t in part.column(2).to_pylist()]
-            flat = [u for e in each for u in e]
-            at = pa.array(np.repeat(np.arange(len(each)), [len(e) for e in each]))
-            halves = np.frombuffer(b"".join(u[2] for u in flat), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(at), part.column(1).take(at), pa.array([u[0] for u in flat], pa.int32()), pa.array([u[1] for u in flat], pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1])],
-                ["id", "th", "start", "end", "h1", "h2"],
-            )
-
-    return run
-
-
-def _cut(text_at: int, unit: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            spans = part.column(part.num_columns - 1)
-            if sum(map(len, lists := spans.to_pylist())):
-                texts = [without(t, {s["start"] for s in cut}, unit) if cut else t for t, cut in zip(part.column(text_at).to_pylist(), lists, strict=True)]
-                part = part.set_column(text_at, part.schema.field(text_at), pa.array(texts, part.schema.field(text_at).type))
-            yield part
-
-    return run
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ x >> np.uint64(32)
-
-
-def _rolled(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of ``values[start:end]`` for each pair, whatever stands before."""
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * _powers(_BASE, len(values)), dtype=np.uint64)))
-    return _mix((sums[ends] - sums[starts]) * _powers(_INVERSE, len(values) + 1)[starts])
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= _WORDS:
+            self.clear()
+        self[word] = out = int.from_bytes(hashlib.md5(word, usedforsecurity=False).digest()[8:13], "little")
+        return out
 
 
-def _sliding(values: np.ndarray, width: int, of) -> np.ndarray:
-    """``of`` (minimum or maximum) of each ``width`` values in a row."""
+def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` values in a row."""
     size = 1
     while 2 * size <= width:
-        values, size = of(values[:-size], values[size:]), 2 * size
-    return of(values[: len(values) - (width - size)], values[width - size :])
+        values, size = np.minimum(values[:-size], values[size:]), 2 * size
+    return np.minimum(values[: len(values) - (width - size)], values[width - size :])
 
 
-def anchors(texts: list[bytes], passage: int = PASSAGE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, word, anchor) of each ``passage`` words in a row that lie in one text.
+def marked_runs(hashes: np.ndarray, text: np.ndarray, place: np.ndarray, passage: int = PASSAGE) -> np.ndarray:
+    """The first words of the runs that content marks out, by their words' hashes.
 
-    The anchor of a passage is the least hash of the runs of about half as
-    many words in it, so equal passages have equal anchors, whatever surrounds
-    them, and neighbours mostly share one. That other passages may have it too
-    does no harm: anchors only name the passages that are compared.
+    A run has (passage + 1) // 2 words. Its value is the sum of their hashes,
+    scrambled. Of the runs in each ``passage`` words of one text the one of
+    least value is marked out, of equal ones the last. So wherever equal
+    passages stand, the same run in them is marked out, and marked runs
+    follow each other without a gap through any longer passage. ``text`` and
+    ``place`` say for each word in which text it is and the how many-th.
     """
     run = (passage + 1) // 2
-    data = np.frombuffer(b"\n".join(texts).translate(LOWER), np.uint8)
-    word = np.concatenate(([False], _IS_WORD[data], [False]))
-    edges = np.flatnonzero(word[1:] != word[:-1])
+    n = len(hashes) - passage + 1
+    if n < 1:
+        return np.zeros(0, np.int64)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes, dtype=np.uint64)))
+    value = (sums[run:] - sums[:-run]) * np.uint64(_MIX) >> np.uint64(24)
+    low = place.astype(np.uint64) & np.uint64(_LOW)
+    packed = value << np.uint64(24) | (np.uint64(_LOW) - low[: len(value)])
+    least = _sliding_min(packed, passage - run + 1)
+    first = np.flatnonzero(text[:n] == text[passage - 1 :])
+    after = (np.uint64(_LOW) - (least[first] & np.uint64(_LOW)) - low[first]) & np.uint64(_LOW)
+    return np.unique(first + after.astype(np.int64))
+
+
+def units(texts: list[bytes], known: dict, unit: str = "line", min_words: int = MIN_WORDS, passage: int | None = PASSAGE) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """(text, start, end, digest) of all units of the texts, places in code points.
+
+    Units are lines or paragraphs of at least ``min_words`` words, from end
+    to end, and the runs that ``marked_runs`` finds. A digest is the XXH128
+    of the unit's words, A-Z lower-cased and joined by a space, so that case
+    and spacing make no difference.
+    """
+    raw = b"\n".join(texts)
+    lower = raw.translate(LOWER)
+    words, data = lower.split(), np.frombuffer(raw, np.uint8)
+    edges = np.flatnonzero(np.diff(np.concatenate(([True], _SPACES[data], [True]))))
     starts, ends = edges[::2], edges[1::2]
-    if len(starts) < passage:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    limits = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-    text = np.searchsorted(limits, starts, "right")
-    first = np.arange(len(starts) - run + 1)
-    least = _sliding(_rolled(_rolled(_BYTE[data], starts, ends), first, first + run), passage - run + 1, np.minimum)
-    at = np.flatnonzero(text[: len(least)] == text[passage - 1 :])
-    return text[at], at - np.searchsorted(text, text[at]), least[at].view(np.int64)
-
-
-def windows(text: bytes, at: list[int], passage: int = PASSAGE) -> bytes:
-    """Digests of the ``passage`` words from each of ``at`` on, one after the other."""
-    words = text.translate(LOWER).split()
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1)).tolist()
-    joined, ends, digest = b" ".join(words), ends.tolist(), xxhash.xxh128_digest
-    return b"".join([digest(joined[starts[k] : ends[k + passage - 1]]) for k in at])
-
-
-def cut_spans(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
-    """``text`` without the spans, and the spans in order with overlaps merged.
-
-    With a span goes one character of white space: that after it if the span
-    begins a line, else that before it, so that no line is joined to another.
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    base = np.cumsum(sizes + 1) - sizes - 1
+    sep = SEPARATORS[unit].encode()
+    pieces = [np.cumsum([0, *(len(p) + len(sep) for p in t.split(sep))]) for t in texts]
+    piece_text = np.repeat(np.arange(len(texts)), [len(p) - 1 for p in pieces])
+    piece_start = np.concatenate([p[:-1] + b for p, b in zip(pieces, base.tolist(), strict=True)]) if texts else base
+    piece_end = np.concatenate([p[1:] + b for p, b in zip(pieces, base.tolist(), strict=True)]) - len(sep) if texts else base
+    begin, end = np.searchsorted(starts, piece_start), np.searchsorted(starts, piece_end)
+    long = np.flatnonzero(end - begin >= max(1, min_words))
+    text, at, to, begin, end = piece_text[long], piece_start[long], piece_end[long], begin[long], end[long]
+    if passage:
+        word_text = np.searchsorted(base, starts, "right") - 1
+        place = np.arange(len(starts)) - np.searchsorted(starts, base)[word_text]
+        own = marked_runs(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), word_text, place, passage)
+        run = (passage + 1) // 2
+        text, at, to = np.concatenate((text, word_text[own])), np.concatenate((at, starts[own])), np.concatenate((to, ends[own + run - 1]))
+        begin, end = np.concatenate((begin, own)), np.concatenate((end, own + run))
+    digests = [xxhash.xxh128_digest(b" ".join(words[a:b])) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+    if lower.isascii():
+        return text, at - base[text], to - base[text], digests
+    points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    return text, points[at] - points[base[text]], points[to] - points[base[text]], digests
+
+
+def without(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
+    """``text`` without the spans, and these in order, merged.
+
+    Spans that overlap or are one character of white space apart become one.
+    With a span goes one character of white space: that before it unless the
+    span begins a line, else that after it, so that no two lines are joined
+    and no empty line is left.
     """
     merged: list[tuple[int, int]] = []
     for a, b in sorted(spans):
-        if merged and a < merged[-1][1]:
+        if merged and a <= merged[-1][1] + 1:
             merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
         else:
             merged.append((a, b))
     kept, at = [], 0
     for a, b in merged:
-        if a > at and text[a - 1] != "\n":
-            a -= 1
-        elif b < len(text):
-            b += 1
-        elif a > at:
-            a -= 1
-        elif kept and kept[-1].endswith("\n"):  # all after it is gone
-            kept[-1] = kept[-1][:-1]
-        if a > at:
+        if a > 0 and (text[a - 1] != "\n" or b == len(text)):
+            kept.append(text[at : a - 1])
+            at = b
+        else:
             kept.append(text[at:a])
-        at = b
+            at = min(b + 1, len(text))
     return "".join([*kept, text[at:]]), merged
 
 
-def dedup_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, passage: int = PASSAGE) -> DataFrame:
-    """As ``dedup_units`` by lines, and without any repeated passage.
+def dedup_units(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", min_words: int = MIN_WORDS, passage: int | None = PASSAGE) -> DataFrame:
+    """``docs`` with repeated units cut from the text, and ``removed_spans``.
 
-    A passage is ``passage`` words in a row, whatever lines they are set in
-    and wherever in a line they begin. Every word goes that lies in a passage
-    that has occurred before, by (id, word); a passage that overlaps its own
-    first place doesn't count as another. Lines of at least ``min_words``
-    words go as in ``dedup_units``; other short repeats stay.
+    Units are lines (or paragraphs) of at least ``min_words`` words and, as a
+    passage may begin within a line or be wrapped in another way, runs of
+    (passage + 1) // 2 words that content marks out (``marked_runs``): every
+    ``passage`` words in a row hold one, the same wherever they occur.
+    ``passage=None`` leaves lines or paragraphs alone. Of equal units over
+    all documents the one with the smallest (id, offset) stays and the rest
+    go, but for those that overlap it. So of a passage of at least
+    ``passage`` words that occurred before, all goes but less than a run at
+    either end, which the passage's neighbours decide on.
+
+    ``removed_spans`` has the sorted (start, end) code points cut, in the
+    original text, so that every kept character can be traced back; it
+    replaces a column of that name, all other columns stay, whatever their
+    names. ``without`` says which white space goes with a span.
 
-    Passages are compared by XXH128, and only those whose anchor (there is one
-    for about 13 words) is in the texts more than once. ``removed_spans`` has spans that
-    don't overlap.
+    A null text stays null. Null ids rank before others. Rows of one id are
+    told apart by their text; rows equal in both are one document and are
+    treated alike. Counts and first places come from partial aggregations of
+    16-byte digests and the join that follows may be split, so a unit in a
+    third of the documents is no burden on one task.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    own = docs.drop("removed_spans").withColumn("__th", F.xxhash64(text_col))
-    texts = own.select(F.col(id_col).alias("id"), "__th", F.col(text_col).cast("string").alias("text")).where("text is not null")
-    place = F.struct("id", "th", "start")
-
-    def repeats(found: DataFrame, far) -> DataFrame:
-        first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-        return found.join(first, ["h1", "h2"]).where(far)
-
-    lines = stage(texts.mapInArrow(_units("line", min_words), f"id {kind}, th long, start int, end int, h1 long, h2 long"), "units")
-    line_cuts = repeats(lines, ~place.eqNullSafe(F.col("first"))).select("id", "th", "start", "end")
-
-    chosen = stage(texts.mapInArrow(_anchors(passage), f"id {kind}, th long, h long"), "anchors")
-    twice = chosen.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    near = chosen.join(twice, "h").groupBy("id", "th").agg(F.collect_set("h").alias("hs"))
-    around = texts.withColumnsRenamed({"id": "__id"}).join(near, F.col("__id").eqNullSafe(F.col("id")) & (F.col("__th") == F.col("th"))).select("id", "th", "text", "hs")
-    found = stage(around.mapInArrow(_windows(passage), f"id {kind}, th long, start int, h1 long, h2 long"), "windows")
+    docs = docs.drop("removed_spans")
+    mark, key, known = (spare(docs, x) for x in ("mark", "key", "known"))
+    own = docs.withColumn(mark, F.xxhash64(text_col))
+    asked = own.select(F.col(id_col).alias("id"), F.col(mark).alias("th"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    found = stage(asked.mapInArrow(_units(unit, min_words, passage), f"id {kind}, th long, start int, end int, h1 long, h2 long"), "units")
+    first = found.groupBy("h1", "h2").agg(F.min(F.struct("id", "th", "start", "end")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     same = F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.th") == F.col("th"))
-    window_cuts = repeats(found, ~(same & (F.col("start") < F.col("first.start") + passage))).select("id", "th", "start", F.lit(None).cast("int").alias("end"))
-
-    cuts = line_cuts.unionByName(window_cuts).groupBy("id", "th").agg(F.collect_set(F.struct("start", "end")).alias("removed_spans"))
-    cuts = cuts.withColumnsRenamed({"id": "__id", "th": "__h"})
-    marked = own.join(cuts, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h")), "left").drop("__id", "__h", "__th")
+    cut = found.join(first, ["h1", "h2"]).where(~(same & (F.col("start") < F.col("first.end"))))
+    cuts = cut.groupBy("id", "th").agg(F.collect_set(F.struct("start", "end")).alias("removed_spans"))
+    cuts = stage(cuts.withColumnsRenamed({"id": key, "th": known}), "cuts")
+    unstage(found)
+    marked = own.join(cuts, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(mark) == F.col(known)), "left").drop(key, known, mark)
     marked = marked.withColumn("removed_spans", F.coalesce("removed_spans", F.expr("cast(array() as array<struct<start:int,end:int>>)")))
-    return marked.mapInArrow(_cut_passages(marked.columns.index(text_col), passage), marked.schema)
+    return marked.mapInArrow(_cut(marked.columns.index(text_col)), marked.schema)
 
 
-def _anchors(passage: int):
-    """A row for each place of an anchor; (id, hash) may come again for another place."""
-    span = passage - (passage + 1) // 2 + 1
-
+def _units(unit: str, min_words: int, passage: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _WordHashes()
         for part in slices(batches):
-            text, _, h = anchors(utf8(part.column(2)), passage)
-            first = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(h, prepend=0) != 0))
-            since = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
-            new = np.flatnonzero(since % span == 0)  # a run longer than one place can make has another
-            if len(h):
-                yield pa.RecordBatch.from_arrays([part.column(0).take(rows := pa.array(text[new])), part.column(1).take(rows), pa.array(h[new])], ["id", "th", "h"])
-
-    return run
-
-
-def _windows(passage: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 64):
-            texts = utf8(part.column(2))
-            text, at, h = anchors(texts, passage)
-            wanted = np.isin(h, part.column(3).flatten().to_numpy())
-            text, at = text[wanted], at[wanted]
-            ends = np.searchsorted(text, np.arange(len(texts) + 1))
-            digests = b"".join(windows(t, at[a:b].tolist(), passage) for t, a, b in zip(texts, ends[:-1], ends[1:], strict=True) if b > a)
-            halves, rows = np.frombuffer(digests, "<i8").reshape(-1, 2), pa.array(text)
-            yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(at, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1])], ["id", "th", "start", "h1", "h2"])
+            text, start, end, digests = units(utf8(part.column(2)), known, unit, min_words, passage)
+            halves, rows = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2), pa.array(text)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(rows), part.column(1).take(rows), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(halves[:, 0]), pa.array(halves[:, 1])],
+                ["id", "th", "start", "end", "h1", "h2"],
+            )
 
     return run
 
 
-def _cut_passages(text_at: int, passage: int):
-    """A cut without an end is a passage and starts at a word, else it is a line and starts at a character."""
-
-    def cut(text: str, found: list[dict]) -> tuple[str, list[tuple[int, int]]]:
-        spans = [(c["start"], c["end"]) for c in found if c["end"] is not None]
-        if len(spans) < len(found):
-            words = [m.span() for m in _WORD.finditer(text)]
-            spans += [(words[c["start"]][0], words[c["start"] + passage - 1][1]) for c in found if c["end"] is None]
-        return cut_spans(text, spans)
-
+def _cut(text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             lists = part.column(part.num_columns - 1).to_pylist()
             if any(lists):
-                done = [cut(t, c) if c else (t, []) for t, c in zip(part.column(text_at).to_pylist(), lists, strict=True)]
+                texts = part.column(text_at).to_pylist()
+                done = [without(t, [(s["start"], s["end"]) for s in cut]) if cut else (t, []) for t, cut in zip(texts, lists, strict=True)]
                 part = part.set_column(text_at, part.schema.field(text_at), pa.array([t for t, _ in done], part.schema.field(text_at).type))
                 last = part.schema.field(part.num_columns - 1)
                 part = part.set_column(part.num_columns - 1, last, pa.array([[{"start": a, "end": b} for a, b in s] for _, s in done], last.type))
@@ -287,13 +201,32 @@ def _cut_passages(text_at: int, passage: int):
 
 
 SQL = r"""
-WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) AS k, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
-u AS (SELECT doc_id, k, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS start,
-             regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM l),
-r AS (SELECT doc_id, k, line, start, len(w) >= 25 AND row_number() OVER (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, start) > 1 AS cut FROM u),
-g AS (SELECT doc_id, count(*) FILTER (WHERE cut) AS n_removed, coalesce(sum(length(line)) FILTER (WHERE cut), 0)::bigint AS removed_chars,
-             coalesce(string_agg(start::varchar, ',' ORDER BY start) FILTER (WHERE cut), '') AS removed_at,
-             coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT cut), '') AS text FROM r GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_removed, 0)::bigint AS n_removed, coalesce(removed_chars, 0)::bigint AS removed_chars, coalesce(removed_at, '') AS removed_at, g.text
-FROM documents d LEFT JOIN g USING (doc_id)
+WITH d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL),
+ln AS (SELECT doc_id, generate_subscripts(ls, 1) AS k, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM d)),
+lp AS (SELECT doc_id, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS start,
+              regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM ln),
+pc AS (SELECT doc_id, generate_subscripts(ps, 1) AS k, unnest(ps) AS piece FROM (SELECT doc_id, string_split_regex(text, '[\x20\x09-\x0D]') AS ps FROM d)),
+pp AS (SELECT doc_id, k, translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS word, length(piece) AS size,
+              coalesce(sum(length(piece) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS start FROM pc),
+wd AS (SELECT doc_id, word, start, start + size AS stop, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS i,
+              count(*) OVER (PARTITION BY doc_id) AS n, (md5_number_lower(word) % 1099511627776)::hugeint AS h FROM pp WHERE word <> ''),
+rn AS (SELECT doc_id, i, n, start, lead(stop, 25) OVER x AS stop, string_agg(word, ' ') OVER y AS unit,
+              ((sum(h) OVER y * 11400714819323198485::hugeint) % 18446744073709551616::hugeint) // 16777216 * 16777216 + 16777215 - i % 16777216 AS v
+       FROM wd WINDOW x AS (PARTITION BY doc_id ORDER BY i), y AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 25 FOLLOWING)),
+ms AS (SELECT doc_id, i, n, min(v) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 25 FOLLOWING) AS m FROM rn WHERE i <= n - 26),
+ch AS (SELECT DISTINCT doc_id, 16777215 - m % 16777216 AS i FROM ms WHERE i <= n - 51),
+un AS (SELECT doc_id, start, start + length(line) AS stop, array_to_string(w, ' ') AS unit FROM lp WHERE len(w) >= 25
+       UNION ALL SELECT doc_id, start, stop, unit FROM rn JOIN ch USING (doc_id, i)),
+fs AS (SELECT doc_id, start, stop, first_value(doc_id) OVER x AS first_id, first_value(stop) OVER x AS first_stop FROM un WINDOW x AS (PARTITION BY unit ORDER BY doc_id, start, stop)),
+ct AS (SELECT DISTINCT doc_id, start, stop FROM fs WHERE doc_id <> first_id OR start >= first_stop),
+nw AS (SELECT *, start > max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 AS new FROM ct),
+gr AS (SELECT *, sum(CASE WHEN coalesce(new, true) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start, stop) AS g FROM nw),
+sp AS (SELECT doc_id, min(start) AS a, max(stop) AS b FROM gr GROUP BY doc_id, g),
+ex AS (SELECT doc_id, a, b, text, length(text) AS size, a > 0 AND (substring(text, a::int, 1) <> chr(10) OR b = length(text)) AS before FROM sp JOIN d USING (doc_id)),
+ed AS (SELECT doc_id, a, b, text, CASE WHEN before THEN a - 1 ELSE a END AS low, CASE WHEN before THEN b ELSE least(b + 1, size) END AS high FROM ex),
+kp AS (SELECT *, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM ed),
+g AS (SELECT doc_id, count(*) AS n_removed, sum(b - a)::bigint AS removed_chars, string_agg(a::varchar, ',' ORDER BY a) AS removed_at,
+             string_agg(substring(text, (since + 1)::int, (low - since)::int), '' ORDER BY a) || substring(any_value(text), (max(high) + 1)::int) AS text FROM kp GROUP BY doc_id)
+SELECT s.doc_id, coalesce(n_removed, 0)::bigint AS n_removed, coalesce(removed_chars, 0)::bigint AS removed_chars, coalesce(removed_at, '') AS removed_at, coalesce(g.text, s.text) AS text
+FROM documents s LEFT JOIN g USING (doc_id)
 """

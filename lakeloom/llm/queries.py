@@ -81,22 +81,17 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without its repeated lines, and where these stood."""
+    """Every document without its repeated lines and passages, and where these stood."""
     return _cut_figures(line_dedup.dedup_units(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same, also without repeated passages of over 50 words, however they are wrapped."""
-    return _cut_figures(line_dedup.dedup_passages(_table(spark, sf_dir, "documents").select("doc_id", "text")))
-
-
 def _cut_figures(out: DataFrame) -> DataFrame:
     chars = F.aggregate("removed_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     at = F.array_join(F.transform("removed_spans", lambda s: s["start"].cast("string")), ",")
     return out.select("doc_id", F.size("removed_spans").cast("long").alias("n_removed"), chars.alias("removed_chars"), at.alias("removed_at"), "text")
 
 
-_QUERIES = (op1_best_fit_packing, op2_rank_order_langid, op3_benchmark_decontamination, op4_bradley_terry_quality, op5_chat_template, op6_host_rules, op7_ring_sharding, op8_ppm_scoring, op9_simhash_near_dedup, op10_line_dedup, op10_passage_dedup)
+_QUERIES = (op1_best_fit_packing, op2_rank_order_langid, op3_benchmark_decontamination, op4_bradley_terry_quality, op5_chat_template, op6_host_rules, op7_ring_sharding, op8_ppm_scoring, op9_simhash_near_dedup, op10_line_dedup)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
