@@ -80,6 +80,61 @@ class _Hash:
         return out
 
 
+class Known:
+    """Values of distinct codes, each in a slot of its own."""
+
+    #: No code: the end of a text has no byte like it before it.
+    EMPTY = np.uint64((1 << 64) - 1)
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray):
+        bits = max(4, int(2 * len(codes)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
+        self.codes, self.values = np.full(1 << bits, self.EMPTY), np.zeros(1 << bits)
+        left, slot = np.arange(len(codes)), self._slot(codes)
+        while len(left):
+            free = self.codes[slot] == self.EMPTY
+            self.codes[slot[free]] = codes[left[free]]  # of several for one slot, the last stays
+            here = self.codes[slot] == codes[left]
+            self.values[slot[here]] = values[left[here]]
+            left, slot = left[~here], slot[~here] + 1 & self.mask
+
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
+        return (codes * _FIBONACCI >> self.shift).astype(np.int64)
+
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The value of each code, and which codes have none."""
+        slot = self._slot(codes)
+        there = self.codes[slot]
+        out, absent = self.values[slot], there == self.EMPTY
+        left = np.flatnonzero((there != codes) & ~absent)
+        while len(left):
+            slot[left] = slot[left] + 1 & self.mask
+            there = self.codes[slot[left]]
+            out[left], absent[left] = self.values[slot[left]], there == self.EMPTY
+            left = left[(there != codes[left]) & (there != self.EMPTY)]
+        return out, absent
+
+    def share(self, texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text the sum of the known values, and (text, code, times) of its other n-grams, in order of text."""
+        flat, ends = stream(texts, order)
+        of = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))[order:]
+        total, rest_of, rest = np.zeros(len(texts)), [of[:0]], [np.zeros(0, np.uint64)]
+        for start in range(0, max(1, len(flat) - order), CHUNK):
+            codes = grams(flat[start : start + CHUNK + order], order)
+            real = (codes & np.uint64(0xFF)) != PAD
+            codes, text = codes[real], of[start : start + CHUNK][real]
+            value, absent = self.find(codes)
+            value[absent] = 0
+            total += np.bincount(text, value, len(texts))
+            rest_of.append(text[absent])
+            rest.append(codes[absent])
+        text, codes = np.concatenate(rest_of), np.concatenate(rest)
+        by = np.lexsort((codes, text))
+        text, codes = text[by], codes[by]
+        first = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (codes[1:] != codes[:-1])))[: len(text)])
+        return total, text[first], codes[first], np.diff(np.append(first, len(text)))
+
+
 class Model:
     """Probabilities of bytes after the ``order`` bytes before them.
 

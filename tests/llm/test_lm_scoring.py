@@ -88,11 +88,25 @@ def test_base_score_of_odd_rows(spark, frequent):
     assert got == sorted(key((r[0], *w)) for r, w in zip(rows, want, strict=True))
 
 
-def test_a_trie_of_little_room_keeps_the_most_frequent(spark):
+def test_what_every_task_gets_is_bounded(spark):
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(TEXTS)], "doc_id long, text string")
-    full, small = lm_scoring.learn(docs), lm_scoring.learn(docs, max_nodes=12)
-    assert 0 < len(small.trie.symbols[5].codes) <= 12 < len(full.trie.symbols[5].codes)
-    assert all(r.score < 0 for r in lm_scoring.score(docs, small).collect())
+    full, small = lm_scoring.learn(docs), lm_scoring.learn(docs, max_grams=12)
+    whole = ppm.count_grams([t.encode() for t in TEXTS], 5)
+    np.testing.assert_array_equal(full.known[0], whole[0])
+    np.testing.assert_allclose(full.known[1], ppm.Model(*whole, 5).log10(whole[0]), rtol=1e-5)
+    assert 0 < len(small.known[0]) <= 12 and set(small.known[0]) <= set(full.known[0])
+    assert len(lm_scoring.learn(docs, max_grams=0).known[0]) == 0
+
+
+def test_known_codes_are_found_and_others_are_not():
+    rng = np.random.default_rng(0)
+    codes = np.unique(rng.integers(0, 1 << 48, 3000, np.uint64))
+    values = rng.normal(size=len(codes))
+    known = ppm.Known(codes, values)
+    asked = np.concatenate((codes, rng.integers(0, 1 << 48, 3000, np.uint64)))
+    got, absent = known.find(asked)
+    np.testing.assert_array_equal(got[: len(codes)], values)
+    np.testing.assert_array_equal(absent, ~np.isin(asked, codes))
 
 
 def test_empty_tables(spark):
@@ -104,14 +118,14 @@ def test_empty_tables(spark):
     assert one.n_known == 0 and one.s == round(3 * math.log10(1 / 256), 6)
 
 
-@pytest.mark.parametrize("part_bytes", [20, 1 << 24])
-def test_scores_come_from_all_counts_whatever_the_trie_holds(spark, monkeypatch, part_bytes):
-    monkeypatch.setattr(lm_scoring, "PART_BYTES", part_bytes)
+@pytest.mark.parametrize("max_grams", [0, 12, 1 << 20])
+def test_scores_come_from_all_counts_whatever_is_broadcast(spark, monkeypatch, max_grams):
+    monkeypatch.setattr(ppm, "CHUNK", 50)
     monkeypatch.setattr(lm_scoring, "_LOOK_UP", 30)
-    rows = [(k, t) for k, t in enumerate([*TEXTS, None, "zebra", "the mat", "xxxxxxxx", "mère à"])]
+    rows = [(k, t) for k, t in enumerate([*TEXTS, None, "zebra", "the mat", "xxxxxxxx", "mère à"])] + [(None, "the zebra"), (3, "the mat")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    model = lm_scoring.learn(docs.where(f"doc_id < {len(TEXTS)}"), max_nodes=12)
-    got = {r.doc_id: r.score for r in lm_scoring.score(docs, model).collect()}
-    assert len(got) == len(rows)
-    for k, t in rows:
-        assert got[k] == pytest.approx(naive_ppm([x.encode() for x in TEXTS], 5, (t or "").encode()), rel=1e-5), t
+    model = lm_scoring.learn(docs.where(f"doc_id < {len(TEXTS)} and text <> 'the mat'"), max_grams=max_grams)
+    out = lm_scoring.score(docs.selectExpr("doc_id", "text", "text AS words", "doc_id AS part"), model).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        assert r.part == r.doc_id and r.score == pytest.approx(naive_ppm([x.encode() for x in TEXTS], 5, (r.words or "").encode()), rel=1e-5), r
