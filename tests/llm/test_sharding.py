@@ -1,7 +1,10 @@
+import random
 import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
+import xxhash
 
 from lakeloom.llm import sharding
 
@@ -59,3 +62,40 @@ def test_few_rows_and_none(spark):
     assert sharding.assign_shards(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     few = sharding.assign_shards(spark.createDataFrame([(k, "t") for k in range(3)], "doc_id long, text string")).toPandas()
     assert few["shard"].nunique() == 3 and set(few["slot"]) == {0}
+
+
+def clockwise(keys, shards, room, virtual_nodes):
+    """Shard and slot of each key, walked point by point."""
+    ring = sorted((xxhash.xxh64_intdigest(f"{s}/{v}", 7), s) for s in range(shards) for v in range(virtual_nodes))
+    room, arcs = list(room), [[] for _ in ring]
+    for k, key in enumerate(keys):
+        h = xxhash.xxh64_intdigest(key, 11)
+        arcs[next((i for i, (at, _) in enumerate(ring) if at >= h), 0)].append(k)
+    shard, over = {}, []
+    for arc, own in enumerate(arcs):  # every point serves its own keys first
+        for k in own:
+            if room[ring[arc][1]]:
+                room[ring[arc][1]] -= 1
+                shard[k] = ring[arc][1]
+            else:
+                over.append((arc, k))
+    for arc, k in over:
+        at = arc
+        while not room[ring[at % len(ring)][1]]:
+            at += 1
+        room[ring[at % len(ring)][1]] -= 1
+        shard[k] = ring[at % len(ring)][1]
+    return shard
+
+
+@pytest.mark.parametrize(("shards", "slack", "virtual_nodes"), [(5, 0.0, 8), (7, 0.2, 3), (40, 0.0, 4)])
+def test_matches_a_clockwise_walk(spark, shards, slack, virtual_nodes):
+    rng = random.Random(shards)
+    ids = [rng.choice([3, rng.randrange(10**6)]) for _ in range(400)]
+    rows = [(k, f"t{n}") for n, k in enumerate(ids)]
+    out = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), shards, slack=slack, virtual_nodes=virtual_nodes).collect()
+    want = clockwise([str(k) for k in ids], shards, sharding.capacities(len(ids), shards, slack), virtual_nodes)
+    crc = {zlib.crc32(f"t{n}".encode()): n for n in range(len(ids))}
+    assert {crc[r.text_crc32]: r.shard for r in out} == want
+    for s in range(shards):
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(x == s for x in want.values())))
