@@ -5,12 +5,13 @@ from __future__ import annotations
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import slices, utf8
+from lakeloom.llm.common import slices, spare, stage, utf8
 
 #: Words of a window.
 WINDOW = 13
@@ -94,31 +95,53 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "te
     that lie in an occurrence of a window, and the sorted ids, as text, of
     the items with an occurring window. An item of fewer than ``window``
     words is one window. Every row of ``docs`` is returned once, with all its
-    columns (columns of the three names are replaced); nothing is shuffled.
-
-    The benchmark may have any size: it is cut into blocks of about
-    ``BLOCK_BYTES`` of text (or one longer item), and documents pass the
-    blocks one after the other, so no more than a block is gathered and
-    broadcast at a time. Null or wordless texts have no spans and no items.
-    An item without id marks words but isn't listed; repeated items count
-    once.
+    columns (columns of the three names are replaced).
+
+    A benchmark of up to ``BLOCK_BYTES`` of text is searched for in one pass
+    that shuffles nothing. A larger one is cut into blocks of about that size
+    (or one longer item): the documents are staged with a number for each
+    row, each block in turn is broadcast, searched for and let go, its hits
+    are staged, and at last the hits of a row come together. So a task holds
+    one block at any time, however large the benchmark is.
+
+    Null or wordless texts have no spans and no items. An item without id
+    marks words but isn't listed; repeated items count once.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id_col).cast("string").alias("id"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
-    out = docs.drop("bench_words", "bench_spans", "bench_items").withColumns({"bench_words": F.lit(0).cast("long"), "bench_spans": F.expr("cast(array() as array<struct<start:int,end:int>>)"), "bench_items": F.expr("cast(array() as array<string>)")})
+    own = docs.drop("bench_words", "bench_spans", "bench_items")
+    result = own.withColumns({"bench_words": F.lit(0).cast("long"), "bench_spans": F.expr(f"cast(array() as {_SPANS})"), "bench_items": F.expr("cast(array() as array<string>)")}).schema
+    block_of = F.pmod(F.xxhash64("text"), F.lit(blocks))
+
+    def block(k: int):
+        return spark.sparkContext.broadcast([(r.id, r.text.encode()) for r in items.where(block_of == k).collect()])
+
+    if blocks == 1:
+        return own.mapInArrow(_search(block(0), own.columns.index(text_col), window), result)
+    row = spare(own, "row")
+    kept = stage(own.withColumn(row, F.monotonically_increasing_id()), "documents")
+    texts = kept.select(F.col(row).alias("row"), F.col(text_col).cast("string").alias("text"))
+    hits = []
     for k in range(blocks):
-        block = [(r.id, r.text.encode()) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).collect()]
-        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(block), out.columns.index(text_col), window), out.schema)
-    return out
-
-
+        now = block(k)
+        found = texts.mapInArrow(_search(now, 1, window), f"row long, text string, bench_words long, bench_spans {_SPANS}, bench_items array<string>")
+        hits.append(stage(found.where("size(bench_spans) > 0").select("row", "bench_spans", "bench_items"), "hits"))
+        now.destroy()
+    spans, names = spare(own, "spans"), spare(own, "names")
+    met = reduce(DataFrame.unionAll, hits).groupBy("row").agg(F.flatten(F.collect_list("bench_spans")).alias(spans), F.array_distinct(F.flatten(F.collect_list("bench_items"))).alias(names))
+    met = met.withColumnRenamed("row", number := spare(own, "number"))
+    joined = kept.join(met, F.col(row) == F.col(number), "left").drop(row, number).select(*own.columns, spans, names)
+    return joined.mapInArrow(_together(own.columns.index(text_col)), result)
+
+
+_SPANS = "array<struct<start:int,end:int>>"
 #: The searches of the block used last, by a key made for each broadcast; a Python worker serves many tasks.
 _built: dict[str, list[WuManber]] = {}
 
 
-def _pass(block, text_at: int, window: int):
+def _search(block, text_at: int, window: int):
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,26 +150,40 @@ def _pass(block, text_at: int, window: int):
             _built[key] = matchers(block.value, window)
         tables = _built[key]
         for part in slices(batches):
-            n = part.num_columns
-            before = zip(part.column(n - 2).to_pylist(), part.column(n - 1).to_pylist(), strict=True)
             counts, spans, names = [], [], []
-            for text, (had, listed) in zip(utf8(part.column(text_at)), before, strict=True):
+            for text in utf8(part.column(text_at)):
                 words = words_of(text)
-                found = [[s["start"], s["end"]] for s in had]
-                ids = set(listed)
+                found, ids = [], set()
                 for table in tables:
                     more, items = table.find(words)
                     found += more
                     ids |= items
                 counts.append(len(words))
-                spans.append([{"start": a, "end": b} for a, b in merged(found)])
-                names.append(sorted(ids))
-            own = [pa.array(counts, pa.int64()), pa.array(spans, part.schema.field(n - 2).type), pa.array(names, part.schema.field(n - 1).type)]
-            yield pa.RecordBatch.from_arrays([*part.columns[: n - 3], *own], schema=part.schema)
+                spans.append(found)
+                names.append(ids)
+            yield _with(part, part.num_columns, counts, spans, names)
+
+    return run
+
+
+def _together(text_at: int):
+    """The hits of all blocks, in the last two columns, as one block would give them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            n = part.num_columns - 2
+            spans = [[[s["start"], s["end"]] for s in x or ()] for x in part.column(n).to_pylist()]
+            yield _with(part, n, [len(words_of(t)) for t in utf8(part.column(text_at))], spans, part.column(n + 1).to_pylist())
 
     return run
 
 
+def _with(part: pa.RecordBatch, columns: int, counts: list[int], spans: list[list[list[int]]], names: list) -> pa.RecordBatch:
+    place = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+    own = [pa.array(counts, pa.int64()), pa.array([[{"start": a, "end": b} for a, b in merged(x)] for x in spans], pa.list_(place)), pa.array([sorted(x or ()) for x in names], pa.list_(pa.string()))]
+    return pa.RecordBatch.from_arrays([*part.columns[:columns], *own], [*part.schema.names[:columns], "bench_words", "bench_spans", "bench_items"])
+
+
 def verdict(found: DataFrame) -> DataFrame:
     """``n_words``, ``n_hit``, ``n_items``, ``items_sha256`` and ``contaminated`` of what ``find_benchmark`` gives."""
     hit = F.aggregate("bench_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])

@@ -28,7 +28,7 @@ def naive(texts, items):
     return out
 
 
-@pytest.mark.parametrize("block", [10, 1 << 20])
+@pytest.mark.parametrize("block", [40, 1 << 20])
 def test_matches_brute_force_in_any_number_of_blocks(spark, monkeypatch, block):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
     rng = random.Random(block)
@@ -39,7 +39,10 @@ def test_matches_brute_force_in_any_number_of_blocks(spark, monkeypatch, block):
     texts += [some(rng.randint(1, 30)) + ", " + (rng.choice(items)[1] or "").upper() + " " + some(rng.randint(0, 300)) if rng.random() < 0.7 else some(25, "abcdefgh") for _ in range(25)]
     docs = spark.createDataFrame([(k, t, 5) for k, t in enumerate(texts)] + [(None, "only here", 5)], "doc_id long, text string, bench_words int")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    found = decontaminate.verdict(decontaminate.find_benchmark(docs, bench)).collect()
+    out = decontaminate.find_benchmark(docs, bench)
+    assert out.columns == ["doc_id", "text", "bench_words", "bench_spans", "bench_items"]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    found = decontaminate.verdict(out).collect()
     want = naive([*texts, "only here"], items)
     for r in found:
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == want[-1 if r.doc_id is None else r.doc_id]
