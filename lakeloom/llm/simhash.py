@@ -10,9 +10,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import LOWER, slices, stage, utf8
+from lakeloom.llm.common import LOWER, slices, spare, stage, utf8
 from lakeloom.llm.components import components
 
+#: Words of a shingle.
+WIDTH = 3
 #: Differing bits up to which two fingerprints link.
 RADIUS = 3
 #: Distinct fingerprints of one bucket that a task compares at a time.
@@ -21,7 +23,7 @@ _SEED = 42
 _LOW = (1 << 32) - 1
 
 
-def fingerprint(text: bytes | None, width: int = 3) -> int:
+def fingerprint(text: bytes | None, width: int = WIDTH) -> int:
     """Unsigned 64-bit fingerprint over shingles of ``width`` words.
 
     Words are runs of anything but ASCII white space, after A-Z are
@@ -48,7 +50,7 @@ def _majority(hashes: list[int]) -> int:
     return int(np.packbits(2 * counts > len(values), bitorder="little").view("<u8")[0])
 
 
-def with_fingerprints(docs: DataFrame, text_col: str = "text", name: str = "fp") -> DataFrame:
+def with_fingerprints(docs: DataFrame, text_col: str = "text", name: str = "fp", width: int = WIDTH) -> DataFrame:
     """``docs`` with each text's fingerprint as a signed long; a column of that name is replaced.
 
     A null text has fingerprint 0.
@@ -58,16 +60,16 @@ def with_fingerprints(docs: DataFrame, text_col: str = "text", name: str = "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            fps = np.array([fingerprint(t) for t in utf8(part.column(at))], np.uint64).view(np.int64)
+            fps = np.array([fingerprint(t, width) for t in utf8(part.column(at))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(fps)], schema=part.schema)
 
     return own.mapInArrow(run, own.schema)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """``(doc_id, fp)``, a row for each row of ``docs``."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return with_fingerprints(own).select("doc_id", "fp")
+    return with_fingerprints(own, width=width).select("doc_id", "fp")
 
 
 def _group_links(fps: np.ndarray) -> list[tuple[int, int]]:
@@ -151,7 +153,14 @@ def links(distinct: DataFrame) -> DataFrame:
     return grouped.mapInArrow(_bucket_links, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _rooted(fps: DataFrame, rep: Column) -> DataFrame:
+    """``(fp, rep, root)``: the least ``rep`` of each fingerprint's rows and the least fingerprint of its component."""
+    classes = stage(fps.groupBy("fp").agg(F.min(rep).alias("rep")), "classes")
+    roots = components(links(classes.select("fp"))).withColumnRenamed("node", "fp")
+    return classes.join(roots, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = WIDTH) -> DataFrame:
     """``(doc_id, fp, component_id)``, a row for each row of ``docs``.
 
     ``component_id`` is the smallest id among the documents whose
@@ -160,24 +169,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     share fingerprint 0 and link like any other. Null ids never name a
     component unless it has no other id; then ``component_id`` is null.
     """
-    fps = stage(fingerprints(docs, id_col, text_col), "fingerprints")
-    classes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    roots = components(links(classes.select("fp")))
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    fps = stage(fingerprints(docs, id_col, text_col, width), "fingerprints")
+    rooted = _rooted(fps, F.col("doc_id"))
     named = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_class = rooted.join(named, "root").select("fp", "component_id")
     return fps.join(by_class, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component of ``docs`` the row whose id names it, all columns kept.
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = WIDTH) -> DataFrame:
+    """Of each component of ``docs`` one row, all its columns kept: the one of least (id, text hash), null ids last.
 
-    Of rows with that id, one stays. Rows without id go if a document with an
-    id is in their component, else one of each fingerprint stays.
+    Rows are told apart by id and text, so two texts of one id may both stay
+    if nothing links them. Of rows equal in both one stays, whatever their
+    other columns hold.
     """
-    groups = near_duplicates(docs, id_col, text_col)
-    named = groups.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(named, id_col, "left_semi").dropDuplicates([id_col])
-    unnamed = groups.where("component_id is null").select(F.col("fp").alias("__fp")).distinct()
-    others = with_fingerprints(docs.where(F.col(id_col).isNull()), text_col, "__fp").join(unnamed, "__fp", "left_semi").dropDuplicates(["__fp"])
-    return kept.unionByName(others.select(docs.columns))
+    a, b, n, c, d = (spare(docs, x) for x in "abncd")
+    own = docs.withColumns({a: F.xxhash64(text_col), b: F.xxhash64(F.lit("b"), F.col(id_col), F.col(id_col).isNull(), F.col(text_col), F.col(text_col).isNull())})
+    asked = own.select(F.col(id_col).alias("id"), F.col(a).alias("a"), F.col(b).alias("b"), F.col(text_col).cast("string").alias("text"))
+    fps = stage(with_fingerprints(asked, width=width).drop("text"), "fingerprints")
+    rooted = _rooted(fps, F.struct(F.col("id").isNull().alias("none"), "id", "a", "b"))
+    chosen = rooted.groupBy("root").agg(F.min("rep").alias("r")).select("r.a", "r.b")
+    times = fps.groupBy("a", "b").agg(F.count("*").alias("n"))
+    kept = stage(chosen.join(times, ["a", "b"]).select(F.col("a").alias(c), F.col("b").alias(d), F.col("n").alias(n)), "kept")
+    found = own.join(kept, (F.col(a) == F.col(c)) & (F.col(b) == F.col(d))).drop(c, d)
+    # Rows that occur once, nearly all, needn't be compared; copies are dropped in their tasks before they are exchanged.
+    once, more = found.where(F.col(n) == 1), found.where(F.col(n) > 1).dropDuplicates([a, b])
+    return once.unionByName(more).select(docs.columns)

@@ -1,4 +1,6 @@
 import random
+
+import pytest
 from collections import defaultdict
 
 import xxhash
@@ -63,14 +65,14 @@ def test_a_hot_bucket_is_compared_in_blocks(spark, monkeypatch):
     assert partition(got) == partition(brute_components(fps, lambda a, b: (a ^ b).bit_count() <= 3))
 
 
-def naive(text):
+def naive(text, width=3):
     words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     for c in "\t\n\v\f\r":
         words = words.replace(c, " ")
     words = [w for w in words.split(" ") if w]
     if not words:
         return 0
-    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]
+    shingles = [" ".join(words[i : i + width]) for i in range(len(words) - width + 1)] or [" ".join(words)]
     hashes = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
@@ -89,6 +91,24 @@ def test_near_duplicates_of_odd_rows(spark):
     assert got == sorted(((rows[k][0], signed(fps[k]), least[roots[k]]) for k in range(len(rows))), key=lambda r: f"Row(doc_id={r[0]}, fp={r[1]}, component_id={r[2]})")
 
 
+def test_one_of_each_keeps_texts_that_share_an_id(spark):
+    one, two, three, four = (" ".join(f"{c}{k}" for k in range(30)) for c in "abcd")
+    rows = [(3, one), (3, two), (4, one), (3, one), (None, three), (None, four), (7, three), (9, three.upper()), (None, four), (5, None), (6, ""), (None, None), (8, "a b"), (8, "a b")]
+    docs = spark.createDataFrame([(k, t, n, "x") for n, (k, t) in enumerate(rows)], "doc_id long, text string, a int, fp string").repartition(3)
+    out = simhash.one_of_each(docs, width=5)
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(3, one), (3, two), (7, three), (None, four), (5, None), (8, "a b")], key=str)
+    copies = spark.createDataFrame([(k, one, 0, "x") for k in range(50)] + [(k % 2, two, k, "y") for k in range(40)], docs.schema).repartition(4)
+    assert sorted((r.doc_id, r.text) for r in simhash.one_of_each(copies).collect()) == [(0, one), (0, two)]
+    assert simhash.one_of_each(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("width", [1, 3, 5])
+def test_fingerprints_of_any_width(width):
+    for t in ("", "a", "a b", "a b c d e", "a b c d e f a b c", "É x " * 30):
+        assert simhash.fingerprint(t.encode(), width) == naive(t, width)
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
