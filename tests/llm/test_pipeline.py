@@ -6,7 +6,8 @@ from collections import Counter
 import numpy as np
 import pytest
 from test_decontaminate import naive as naive_contamination
-from test_line_dedup import naive as naive_lines
+from test_line_dedup import naive as naive_units
+from test_quality import plain_features
 from test_simhash import brute_components
 from test_simhash import naive as naive_fingerprint
 from tokenizers import Tokenizer
@@ -23,15 +24,15 @@ def plain(docs, labels, benchmark):
     marks = {}
     for key, q in labels:
         marks.setdefault(key, []).append(q)
-    train = [(quality.features(t.encode()), sum(marks[k]) / len(marks[k]) > 0.5) for k, t in docs if k in marks and zlib.crc32(str(k).encode()) % 3 != 1]
+    train = [(plain_features(t), sum(marks[k]) / len(marks[k]) > 0.5) for k, t in docs if k in marks and zlib.crc32(str(k).encode()) % 3 != 1]
     model = quality.BradleyTerry(np.array([x for x, _ in train]), np.array([y for _, y in train]))
-    docs = [(k, t) for k, t in docs if model.score(quality.features(t.encode())[None])[0] >= 0.5]
-    fps = [naive_fingerprint(t) for _, t in docs]
+    docs = [(k, t) for k, t in docs if model.score(np.array([plain_features(t)]))[0] >= 0.5]
+    fps = [naive_fingerprint(t, 5) for _, t in docs]
     first = {}
     for (k, t), root in zip(docs, brute_components(fps, lambda a, b: (a ^ b).bit_count() <= 3), strict=True):
         first.setdefault(root, (k, t))
     docs = sorted(first.values())
-    cleaned = naive_lines(docs, "line", 25)
+    cleaned = naive_units(docs)
     docs = [(k, cleaned[k][0]) for k, _ in docs if not cleaned[k][1] or cleaned[k][0].strip()]
     return [d for d, verdict in zip(docs, naive_contamination([t for _, t in docs], benchmark), strict=True) if not verdict[-1]]
 
@@ -67,6 +68,19 @@ def test_odd_rows_pass_every_stage(spark, stage):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     apply = corpus_pipeline.STAGES[stage][1]
     out = apply(spark, spark.createDataFrame(rows, schema), SF).collect()
+    texts = sorted(((r.doc_id, r.text) for r in out), key=repr) if stage < 4 else None
+    if stage == 0:
+        labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+        train = {k: (plain_features(t), labels[k] > 0.5) for k, t, *_ in rows if k in labels and zlib.crc32(str(k).encode()) % 3 != 1}
+        model = quality.BradleyTerry(np.array([train[k][0] for k in sorted(train)]).reshape(-1, quality.N_FEATURES), np.array([train[k][1] for k in sorted(train)], bool))
+        assert texts == sorted(((k, t) for k, t, *_ in rows if model.score(np.array([plain_features(t or "")]))[0] >= 0.5), key=repr)
+    if stage == 2:
+        cleaned = naive_units(list({(-1 if k is None else k, t) for k, t, *_ in rows if t is not None}))
+        want = [(k, t if t is None else cleaned[-1 if k is None else k][0]) for k, t, *_ in rows]
+        assert texts == sorted(((k, t) for k, t in want if t is None or t.strip() or not cleaned[-1 if k is None else k][1]), key=repr)
+        assert all(r.n_chars == len(r.text) for r in out if r.text is not None and r.doc_id in (3, 4))
+    if stage == 3:
+        assert texts == sorted(((k, t) for k, t, *_ in rows), key=repr)
     if stage == 1:
         kept = Counter(r.doc_id for r in out)
         assert kept[1] == 1 and kept[2] == 0 and kept[3] == 1 and kept[None] <= 1
