@@ -28,8 +28,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id."""
-    return simhash.one_of_each(docs.select(COLUMNS))
+    """Of each group of near-duplicates by shingles of five words the document with the smallest id."""
+    return simhash.one_of_each(docs.select(COLUMNS), width=5)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document of which nothing is left goes.
     """
-    out = line_dedup.dedup_passages(docs.select(COLUMNS))
+    out = line_dedup.dedup_units(docs.select(COLUMNS))
     left = F.size("removed_spans").eqNullSafe(F.lit(0)) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return out.where(left).withColumn("n_chars", F.when(F.size("removed_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
 
