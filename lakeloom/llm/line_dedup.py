@@ -161,11 +161,13 @@ def dedup_units(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     asked = own.select(F.col(id_col).alias("id"), F.col(mark).alias("th"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     found = stage(asked.mapInArrow(_units(unit, min_words, passage), f"id {kind}, th long, start int, end int, h1 long, h2 long"), "units")
     first = found.groupBy("h1", "h2").agg(F.min(F.struct("id", "th", "start", "end")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = stage(first, "first")  # so that the join below has a plain exchange on either side, which may be split
     same = F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.th") == F.col("th"))
     cut = found.join(first, ["h1", "h2"]).where(~(same & (F.col("start") < F.col("first.end"))))
     cuts = cut.groupBy("id", "th").agg(F.collect_set(F.struct("start", "end")).alias("removed_spans"))
     cuts = stage(cuts.withColumnsRenamed({"id": key, "th": known}), "cuts")
     unstage(found)
+    unstage(first)
     marked = own.join(cuts, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(mark) == F.col(known)), "left").drop(key, known, mark)
     marked = marked.withColumn("removed_spans", F.coalesce("removed_spans", F.expr("cast(array() as array<struct<start:int,end:int>>)")))
     return marked.mapInArrow(_cut(marked.columns.index(text_col)), marked.schema)
