@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import stage
+from lakeloom.llm.common import spare, stage
 
-#: Shrunk failure rate above which a host's documents are rejected.
-MAX_RATE = 0.5
+#: Standard deviations of the prior above its mean, and at most this rate, at which a host is rejected.
+SPREADS, MAX_RATE = 3.0, 0.5
 _SPACES = r"[\x20\x09-\x0D]+"
 #: Characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -30,40 +30,45 @@ def base_rules(docs: DataFrame, text_col: str = "text", width: int = 5) -> DataF
     replaced.
     """
     names = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"}
+    others = [c for c in docs.columns if c.lower() not in names]
+    words_, lines_, windows_, at_ = (spare(docs, x) for x in ("words", "lines", "windows", "at"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     out = docs.select(
-        *[c for c in docs.columns if c not in names],
-        F.filter(F.split(text, _SPACES), lambda w: w != "").alias("__words"),
-        lines.alias("__lines"),
+        *others,
+        F.filter(F.split(text, _SPACES), lambda w: w != "").alias(words_),
+        lines.alias(lines_),
         F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
     )
-    out = out.withColumn("__w", _windows(F.col("__words"), width))
-    repeated = F.filter("__w", lambda w, i: F.coalesce(F.get("__w", i - 1)["h"] == w["h"], F.lit(False)) | F.coalesce(F.get("__w", i + 1)["h"] == w["h"], F.lit(False)))
-    out = out.withColumn("__at", F.sort_array(F.transform(repeated, lambda w: w["i"])))
-    covered = F.aggregate(F.transform("__at", lambda p, k: F.least(F.lit(width), F.coalesce(F.get("__at", k + 1) - p, F.lit(width)))), F.lit(0).cast("long"), lambda a, x: a + x)
-    n = F.size("__words").cast("long")
+    out = out.withColumn(windows_, _windows(F.col(words_), width))
+    repeated = F.filter(windows_, lambda w, i: F.coalesce(F.get(windows_, i - 1)["h"] == w["h"], F.lit(False)) | F.coalesce(F.get(windows_, i + 1)["h"] == w["h"], F.lit(False)))
+    out = out.withColumn(at_, F.sort_array(F.transform(repeated, lambda w: w["i"])))
+    covered = F.aggregate(F.transform(at_, lambda p, k: F.least(F.lit(width), F.coalesce(F.get(at_, k + 1) - p, F.lit(width)))), F.lit(0).cast("long"), lambda a, x: a + x)
+    n = F.size(words_).cast("long")
     return out.select(
-        *[c for c in docs.columns if c not in names],
+        *others,
         n.alias("n_words"),
         "word_chars",
         "n_symbols",
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
+        (F.size(lines_) - F.size(F.array_distinct(lines_))).cast("long").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
         ((n < 10) | (100 * covered > 20 * n)).alias("base_failed"),
     )
 
 
 def host_rates(ruled: DataFrame, host_col: str) -> DataFrame:
-    """``(host, n, failed, rate)``: documents, failures and the shrunk rate.
+    """``(host, n, failed, rate, limit)``: documents, failures, the shrunk rate and the rate above which a host is rejected.
 
     The prior is fitted to all hosts by moments: with m the failure rate of
     all documents and v the variance of the hosts' rates about it, weighted
     by their documents, less what sampling alone gives, its weight is
     s = m (1 - m) / v - 1, at least 1; without excess variance s is the mean
     number of documents of a host. A host's rate is
-    (failed + s m) / (n + s). Null hosts are no host.
+    (failed + s m) / (n + s). The limit is the prior's mean and ``SPREADS`` of
+    its standard deviations, sqrt(m (1 - m) / (s + 1)), or ``MAX_RATE`` if
+    that is less. Where hosts are alike, chance alone takes a shrunk rate
+    half a deviation away, so none is rejected. Null hosts are no host.
     """
     hosts = ruled.where(F.col(host_col).isNotNull()).groupBy(F.col(host_col).alias("host")).agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
     total = hosts.agg(F.count("*").alias("h"), F.sum("n").alias("t"), F.sum("failed").alias("f"))
@@ -74,14 +79,15 @@ def host_rates(ruled: DataFrame, host_col: str) -> DataFrame:
     excess = (F.col("q") - noise) / F.col("t")
     weight = F.when(excess > 0, F.greatest(F.lit(1.0), F.col("m") * (1 - F.col("m")) / excess - 1)).otherwise(F.col("t") / F.col("h"))
     prior = spread.select("m", weight.alias("s"))
-    return hosts.crossJoin(F.broadcast(prior)).select("host", "n", "failed", ((F.col("failed") + F.col("s") * F.col("m")) / (F.col("n") + F.col("s"))).alias("rate"))
+    limit = F.least(F.lit(MAX_RATE), F.col("m") + F.lit(SPREADS) * F.sqrt(F.col("m") * (1 - F.col("m")) / (F.col("s") + 1)))
+    return hosts.crossJoin(F.broadcast(prior)).select("host", "n", "failed", ((F.col("failed") + F.col("s") * F.col("m")) / (F.col("n") + F.col("s"))).alias("rate"), limit.alias("limit"))
 
 
-def host_verdicts(docs: DataFrame, *, host_col: str = "source", text_col: str = "text", max_rate: float = MAX_RATE, carry: list[str] | None = None) -> DataFrame:
+def host_verdicts(docs: DataFrame, *, host_col: str = "source", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``docs`` with the columns of ``base_rules``, ``host_rate`` and ``kept``.
 
     ``kept`` is false for documents that fail the base rules and for those of
-    a host whose shrunk failure rate is above ``max_rate``. A document
+    a host whose shrunk failure rate is above the limit of ``host_rates``. A document
     without a host (null) has a null ``host_rate`` and is judged by its own
     rules. ``carry`` names the columns of ``docs`` to return, all if None;
     those of the rules' names are replaced.
@@ -92,12 +98,13 @@ def host_verdicts(docs: DataFrame, *, host_col: str = "source", text_col: str =
     each host, are staged too: their size is then known, Spark broadcasts
     them below its limit, and above it may split a hot host's side.
     """
-    carried = [c for c in (docs.columns if carry is None else carry) if c not in ("host_rate", "kept")]
-    ruled = base_rules(docs.select(*carried, F.col(host_col).alias("__host"), F.col(text_col).alias("__text")), "__text").drop("__text")
+    carried = [c for c in (docs.columns if carry is None else carry) if c.lower() not in ("host_rate", "kept")]
+    host, text, limit = (spare(docs, x) for x in ("host", "whole_text", "limit"))
+    ruled = base_rules(docs.select(*carried, F.col(host_col).alias(host), F.col(text_col).alias(text)), text).drop(text)
     ruled = stage(ruled, "rules")
-    rates = stage(host_rates(ruled.select("__host", "base_failed"), "__host").select(F.col("host").alias("__host"), F.col("rate").alias("host_rate")), "hosts")
-    joined = ruled.join(rates, "__host", "left").drop("__host")
-    return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("host_rate") > max_rate, F.lit(False)))
+    rates = stage(host_rates(ruled.select(host, "base_failed"), host).select(F.col("host").alias(host), F.col("rate").alias("host_rate"), F.col("limit").alias(limit)), "hosts")
+    joined = ruled.join(rates, host, "left").drop(host)
+    return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("host_rate") > F.col(limit), F.lit(False))).drop(limit)
 
 
 SQL = r"""
@@ -116,7 +123,7 @@ hosts AS (SELECT source, count(*)::double AS n, (count(*) FILTER (WHERE base_fai
 tot AS (SELECT count(*)::double AS h, sum(n) AS t, sum(f) / sum(n) AS m FROM hosts),
 spr AS (SELECT h, t, m, (sum(n * (f / n - m) * (f / n - m)) - m * (1 - m) * (h - 1)) / t AS e FROM hosts, tot GROUP BY h, t, m),
 pr AS (SELECT m, CASE WHEN e > 0 THEN greatest(1.0, m * (1 - m) / e - 1) ELSE t / h END AS s FROM spr),
-v AS (SELECT source, (f + s * m) / (n + s) > 0.5 AS bad FROM hosts, pr)
+v AS (SELECT source, (f + s * m) / (n + s) > least(0.5, m + 3 * sqrt(m * (1 - m) / (s + 1))) AS bad FROM hosts, pr)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT coalesce(bad, false) AS kept
 FROM b LEFT JOIN v USING (source)

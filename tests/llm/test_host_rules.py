@@ -1,6 +1,8 @@
+import math
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
+import duckdb
 from pyspark.sql import functions as F
 
 from lakeloom.llm import host_rules
@@ -39,6 +41,48 @@ def test_a_failing_host_takes_its_good_documents_along(spark):
     assert rate[None] is None and 0.8 < rate["spam"] < 0.9 and 0.3 < rate["tiny"] < rate["spam"]
 
 
+def plain_verdicts(rows):
+    """Kept or not, for each (host, failed)."""
+    hosts = defaultdict(list)
+    for host, failed in rows:
+        if host is not None:
+            hosts[host].append(failed)
+    total = sum(map(len, hosts.values()))
+    m = sum(map(sum, hosts.values())) / total
+    excess = (sum(len(x) * (sum(x) / len(x) - m) ** 2 for x in hosts.values()) - m * (1 - m) * (len(hosts) - 1)) / total
+    s = max(1.0, m * (1 - m) / excess - 1) if excess > 0 else total / len(hosts)
+    limit = min(0.5, m + 3 * math.sqrt(m * (1 - m) / (s + 1)))
+    bad = {h for h, x in hosts.items() if (sum(x) + s * m) / (len(x) + s) > limit}
+    return [not failed and host not in bad for host, failed in rows], bad
+
+
+def test_the_limit_follows_the_prior(spark):
+    rng = random.Random(9)
+    share = {f"host{k}": 0.05 for k in range(20)} | {"worse": 0.3}
+    rows = [(n, h, "bad" if rng.random() < share[h] else GOOD, "clash", 1, 2.0) for n, h in enumerate(h for h in share for _ in range(150))]
+    rows += [(10007, "worse", GOOD, "clash", 1, 2.0)] * 3 + [(10008, None, GOOD, "clash", 1, 2.0)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, kept string, words int, HOST_RATE double").repartition(3)
+    out = host_rules.host_verdicts(docs)
+    want, bad = plain_verdicts([(r[1], r[2] == "bad") for r in rows])
+    assert bad == {"worse"} and sum(want) < sum(r[2] == GOOD for r in rows) - 100
+    assert sorted(((r.doc_id, r.source, r.kept) for r in out.collect()), key=str) == sorted(((r[0], r[1], k) for r, k in zip(rows, want, strict=True)), key=str)
+    assert max(r.host_rate for r in out.where("source = 'worse'").collect()) < 0.5
+    assert {c.lower() for c in out.columns} == {"doc_id", "source", "text", "kept", "words", "host_rate", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"}
+    once = [r for r in rows if r[0] < 10000]
+    with duckdb.connect() as db:
+        db.register("documents", docs.where("doc_id < 10000").toPandas())
+        got = dict(db.sql(f"SELECT doc_id, kept FROM ({host_rules.SQL})").fetchall())
+    plain, bad = plain_verdicts([(r[1], r[2] == "bad") for r in once])
+    assert bad == {"worse"} and got == dict(zip([r[0] for r in once], plain, strict=True))
+
+
+def test_alike_hosts_are_all_kept(spark):
+    rng = random.Random(10)
+    rows = [(n, f"host{n % 40}", "bad" if rng.random() < 0.09 else GOOD) for n in range(4000)]
+    out = host_rules.host_verdicts(spark.createDataFrame(rows, "doc_id long, source string, text string"))
+    assert out.where("kept = base_failed").count() == 0
+
+
 def test_one_host_all_failed_no_host_and_no_rows(spark):
     schema = "doc_id long, source string, text string, kept string"
     one = host_rules.host_verdicts(spark.createDataFrame([(1, "a", "bad", "x"), (2, "a", "bad", "x")], schema))
