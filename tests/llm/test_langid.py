@@ -59,6 +59,37 @@ def test_learn_and_identify_odd_rows(spark):
     assert all(0 <= r.score <= 1 for r in out.values())
 
 
+def test_profiles_and_predictions_match_a_plain_version(spark, monkeypatch):
+    monkeypatch.setattr(langid, "_FLUSH", 20)
+    most = langid.PROFILE
+    rng = random.Random(2)
+    voices = {"aa": "abc é", "bb": "bcd ü", "cc": "cda 1"}
+    rows = [(k % 30, rng.choice([*voices, None]), None) for k in range(60)]
+    rows = [(k, lang, "".join(rng.choice(voices.get(lang, "abcd")) for _ in range(rng.randint(0, 50))), "x") for k, lang, _ in rows]
+    rows += rows[:7] + [(99, "aa", None, "x"), (None, "dd", "xy xy", "x"), (None, "ee", "xy xy", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string, lang_pred string").repartition(3)
+    counts = {}
+    for _, lang, text, _ in rows:
+        if lang is not None and text is not None:
+            counts.setdefault(lang, Counter()).update(naive_ngrams(text))
+    top = lambda c: sorted(c, key=lambda g: (-c[g], code(g)))[:most]
+    ranked = {lang: top(c) for lang, c in counts.items() if c}
+
+    def predict(text):
+        own = top(naive_ngrams(text or ""))
+        if not own:
+            return "und", 0.0
+        apart = {lang: sum(abs(p.index(g) - k) if g in p else most for k, g in enumerate(own)) for lang, p in ranked.items()}
+        best = min(sorted(apart), key=apart.get)
+        return best, round(1 - apart[best] / (most * len(own)), 9)
+
+    out = langid.identify(docs, langid.learn(docs))
+    assert sorted(out.columns) == ["doc_id", "lang", "lang_pred", "score", "text"]
+    got = sorted(((r.doc_id, r.text, r.lang_pred, round(r.score, 9)) for r in out.collect()), key=str)
+    assert got == sorted(((k, t, *predict(t)) for k, _, t, _ in rows), key=str)
+    assert predict("xy xy")[0] == "dd"  # as near as "ee"
+
+
 def test_nothing_learned(spark):
     none = spark.createDataFrame([], "doc_id long, lang string, text string")
     profiles = langid.learn(none)
