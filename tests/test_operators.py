@@ -24,7 +24,12 @@ def test_entry_has_a_row_for_each_of_ten_documents(spark):
 
 def test_entry_imports_without_a_session_and_without_the_optional_parts():
     code = "import sys; sys.modules['lakeloom.llm'] = None; import __spark_entry__ as e; assert 'bm25' in e.queries() and not any(k.startswith('op1') for k in e.queries())"
-    assert subprocess.run([sys.executable, "-c", code], cwd=entry.__file__.rsplit("/", 1)[0]).returncode == 0
+    root = entry.__file__.rsplit("/", 1)[0]
+    assert subprocess.run([sys.executable, "-c", code], cwd=root).returncode == 0
+    assert subprocess.run([sys.executable, "-c", code.replace("lakeloom.llm", "corpus_pipeline")], cwd=root).returncode == 0
+    if os.path.exists(f"{root}/lakeloom/llm/queries.py") and os.path.exists(f"{root}/corpus_pipeline.py"):
+        other = "import sys; sys.modules['xxhash'] = None; import __spark_entry__"
+        assert subprocess.run([sys.executable, "-c", other], cwd=root, capture_output=True).returncode == 1
 
 
 def test_bm25_by_hand(spark):
