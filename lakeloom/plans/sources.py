@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.plans.query import Query
 from lakeloom.sources.files import SquaresSource, read_table, write_table
+from lakeloom.sources.jsonl import JsonLinesSource
 from lakeloom.sources.shared import scratch
 from lakeloom.sources.tables import table
 
@@ -48,6 +49,15 @@ def python_source(spark, sf_dir):
     return spark.read.format(SquaresSource.name()).option("rows", 1000).load()
 
 
+def jsonl_round_trip(spark, sf_dir):
+    """Customers written and read by a source in Python, in a folder that every task can open."""
+    spark.dataSource.register(JsonLinesSource)
+    own = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    path = scratch(spark, "jsonl").removeprefix("file://")
+    own.write.format(JsonLinesSource.name()).mode("append").save(path)
+    return spark.read.format(JsonLinesSource.name()).schema(own.schema).load(path)
+
+
 _WHOLE = "SELECT c_custkey, c_name, c_acctbal FROM customer"
 
 QUERIES = {
@@ -55,6 +65,7 @@ QUERIES = {
     "csv_round_trip": Query(_round_trip("csv"), _WHOLE),
     "json_round_trip": Query(_round_trip("json"), _WHOLE),
     "orc_round_trip": Query(_round_trip("orc"), _WHOLE),
+    "jsonl_round_trip": Query(jsonl_round_trip, _WHOLE),
     "text_round_trip": Query(_round_trip("text"), "SELECT c_custkey, c_name FROM customer"),
     "python_source": Query(python_source, "SELECT range AS k, range * range AS square FROM range(1000)"),
 }

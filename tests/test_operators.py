@@ -13,6 +13,7 @@ from lakeloom.functions.text import html_to_text
 from lakeloom.operators import chunking, fusion, ivf, joins, structured, summaries, timejoins, vectors
 from lakeloom.operators.bm25 import bm25
 from lakeloom.operators.tokens import token_counts
+from lakeloom.sources import jsonl
 from lakeloom.sources.files import SquaresSource, read_table, write_table
 from lakeloom.streaming import queries as streaming
 
@@ -286,3 +287,80 @@ def test_tokens_and_pages(spark):
     assert sorted(map(tuple, token_counts(docs).collect())) == [(0, "a", 1), (0, "b", 2), (3, "x", 1), (3, "é", 2), (5, "a", 5000)]
     pages = spark.createDataFrame([("<p>a<b>c</b></p>",), ("<style>\nx</style>t<script a='1'>var t='</p>';\n</script>y",), ("",), (None,), ("a < b",)], "h string")
     assert [r[0] for r in pages.select(html_to_text(F.col("h"))).collect()] == [" a c  ", " t y", "", None, "a < b"]
+
+
+def test_json_lines_source(spark, tmp_path):
+    spark.dataSource.register(jsonl.JsonLinesSource)
+    rows = [(k, f'é "{k}"\n' if k % 3 else None, k / 7, [k, None]) for k in range(100)]
+    df = spark.createDataFrame(rows, "k long, t string, x double, a array<long>").repartition(3)
+    path, read = str(tmp_path / "out"), lambda schema: spark.read.format("lakeloom_jsonl").schema(schema).load(path)
+    df.write.format("lakeloom_jsonl").mode("append").save(path)
+    assert sorted(map(tuple, read(df.schema).collect())) == rows
+    df.where("k < 2").write.format("lakeloom_jsonl").mode("append").save(path)
+    assert read("t string, other long").where("other is null").count() == 102
+    df.where("k = 5").write.format("lakeloom_jsonl").mode("overwrite").save(path)
+    assert [r.k for r in read("k long").collect()] == [5]
+    assert not [x for x in os.listdir(path) if x.startswith(".part")]
+
+
+def test_json_lines_ranges_have_every_line_once(tmp_path, monkeypatch):
+    (tmp_path / "x.jsonl").write_text("".join(json.dumps({"k": k, "t": "y" * (k % 13)}) + "\n" for k in range(200)))
+    for size in (1, 7, 64, 1 << 20):
+        monkeypatch.setattr(jsonl, "RANGE", size)
+        reader = jsonl.JsonLinesSource({"path": str(tmp_path)}).reader(jsonl.StructType().add("k", "long"))
+        assert [k for p in reader.partitions() for (k,) in reader.read(p)] == list(range(200))
+
+
+def test_mmr_matches_a_plain_choice(spark):
+    rng = random.Random(11)
+    rows = [(q, 10 * q + k, rng.random(), [rng.gauss(0, 1) for _ in range(3)]) for q in range(4) for k in range(rng.randint(1, 9))]
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+    frame = spark.createDataFrame(rows, "query long, id long, sim double, v array<double>").repartition(3)
+    for weight in (0.2, 0.5, 0.9):
+        got = {}
+        for r in fusion.mmr(frame, 4, weight).orderBy("rank").collect():
+            got.setdefault(r["query"], []).append(r["id"])
+        for q in range(4):
+            left, taken = {i: (s, v) for k, i, s, v in rows if k == q}, []
+            vector = {i: v for _, i, _, v in rows}
+            while left and len(taken) < 4:
+                value = {i: weight * s - (1 - weight) * max((cos(v, vector[t]) for t in taken), default=0) for i, (s, v) in left.items()}
+                taken.append(max(sorted(value), key=value.get))
+                del left[taken[-1]]
+            assert got[q] == taken
+
+
+def plain_chunks(text, size, separators):
+    """Cut after each separator, outermost first, as long as a piece is too long; then fill up greedily."""
+    if not text or len(text) <= size:
+        return [text] if text else []
+    if separators[0] == "":
+        pieces = list(text[i : i + size] for i in range(0, len(text), size))
+    else:
+        pieces, rest = [], text
+        while separators[0] in rest:
+            cut = rest.index(separators[0]) + len(separators[0])
+            pieces.append(rest[:cut])
+            rest = rest[cut:]
+        pieces.append(rest)
+    small = []
+    for p in pieces:
+        small += [p] if len(p) <= size else plain_chunks(p, size, separators[1:] or [""])
+    out = [""]
+    for p in small:
+        if out[-1] and len(out[-1]) + len(p) > size:
+            out.append("")
+        out[-1] += p
+    return [x for x in out if x]
+
+
+def test_recursive_chunks_match_a_plain_version(spark):
+    rng = random.Random(12)
+    texts = ["".join(rng.choice(["a", "bc", " ", "\n", "\n\n", ". ", "é"]) for _ in range(rng.randint(0, 200))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for size in (1, 7, 30):
+        got = {}
+        for r in chunking.chunk_recursive(docs, size).orderBy("doc_id", "chunk").collect():
+            got.setdefault(r.doc_id, []).append(r.text)
+        for k, text in enumerate(texts):
+            assert got.get(k, []) == plain_chunks(text, size, chunking.SEPARATORS)
