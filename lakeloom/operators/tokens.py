@@ -20,10 +20,10 @@ def token_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     repeats is counted row by row; null and empty texts have no token.
     """
     # Each step is a column of its own: a lambda would compute an expression anew for every element.
-    own = docs.select(F.col(id_col), F.sort_array(tokens(F.col(text_col))).alias("__t"))
-    first = F.filter(F.transform("__t", lambda t, i: F.struct(t.alias("tok"), i.alias("i"))), lambda x: (x["i"] == 0) | (F.get("__t", x["i"] - 1) != x["tok"]))
-    own = own.withColumn("__f", first)
-    runs = F.transform("__f", lambda x, k: F.struct(x["tok"].alias("tok"), (F.coalesce(F.get("__f", k + 1)["i"], F.size("__t")) - x["i"]).cast("long").alias("n")))
+    own = docs.select(F.col(id_col), F.sort_array(tokens(F.col(text_col))).alias("__t")).where(F.size("__t") > 0)
+    places = F.sequence(F.lit(0), F.size("__t") - 1)
+    own = own.withColumn("__p", F.filter(places, lambda i: (i == 0) | (F.get("__t", i - 1) != F.get("__t", i))))
+    runs = F.transform("__p", lambda p, k: F.struct(F.get("__t", p).alias("tok"), (F.coalesce(F.get("__p", k + 1), F.size("__t")) - p).cast("long").alias("n")))
     return own.select(id_col, F.explode(runs).alias("__r")).select(id_col, "__r.tok", "__r.n")
 
 
