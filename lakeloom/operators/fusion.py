@@ -41,17 +41,22 @@ def mmr(candidates: DataFrame, n: int = 5, weight: float = 0.5) -> DataFrame:
     return candidates.groupBy("query").applyInPandas(pick, "query long, id long, rank int")
 
 
-def retrieval_metrics(ranked: DataFrame, judged: DataFrame, k: int = 10) -> DataFrame:
+def retrieval_metrics(ranked: DataFrame, judged: DataFrame, k: int = 10, relevant: DataFrame | None = None) -> DataFrame:
     """``(query, hit, rr, ndcg)`` at k for each judged query.
 
     ``ranked`` has query, id and rank; ``judged`` query, id and grade (0: not
     relevant). A query without a retrieved relevant id scores 0; one without
-    any relevant id has a null ndcg.
+    any relevant id has a null ndcg. Where grades are 0 or 1 and too many ids
+    are relevant to list them, ``relevant`` (query, n) says how many there
+    are; ``judged`` then needs the retrieved ids only.
     """
-    relevant = judged.where("grade > 0")
+    counts, relevant = relevant, judged.where("grade > 0")
     ideal_rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("grade"), "id"))
     gain = lambda rank: (F.pow(F.lit(2.0), "grade") - 1) / F.log2(rank + 1)
     ideal = relevant.withColumn("r", ideal_rank).where(F.col("r") <= k).groupBy("query").agg(F.sum(gain(F.col("r"))).alias("ideal"))
+    if counts is not None:
+        best = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n").cast("int"), F.lit(k))), F.lit(0.0), lambda a, r: a + 1 / F.log2(r + 1))
+        ideal = counts.where("n > 0").select("query", best.alias("ideal"))
     found = ranked.where(F.col("rank") <= k).join(relevant, ["query", "id"]).groupBy("query").agg(F.min("rank").alias("first"), F.sum(gain(F.col("rank"))).alias("dcg"))
     out = judged.select("query").distinct().join(found, "query", "left").join(ideal, "query", "left")
     return out.select("query", F.col("first").isNotNull().cast("int").alias("hit"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("rr"), F.when(F.col("ideal").isNotNull(), F.coalesce(F.col("dcg") / F.col("ideal"), F.lit(0.0))).alias("ndcg"))

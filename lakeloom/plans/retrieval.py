@@ -181,20 +181,22 @@ def histogram(spark, sf_dir):
 
 
 def retrieval_metrics(spark, sf_dir):
-    """The ten nearest vectors, those of the query's label being relevant; the judged are a query's nearest hundred."""
+    """The ten nearest vectors; all vectors of the query's label are relevant, and are counted, not listed."""
     e = table(spark, sf_dir, "embeddings")
-    near = vectors.knn_exact(_queries_of(e), e, 100).select("query", "id", "rank")
+    near = vectors.knn_exact(_queries_of(e), e, 10).select("query", "id", "rank")
     labels = e.select(F.col("vec_id").alias("id"), "label")
     judged = near.join(labels, "id").join(labels.select(F.col("id").alias("query"), F.col("label").alias("own")), "query")
-    out = fusion.retrieval_metrics(near, judged.select("query", "id", (F.col("label") == F.col("own")).cast("int").alias("grade")))
+    counts = _queries_of(e).select(F.col("vec_id").alias("query"), "label").join(e.groupBy("label").agg(F.count("*").alias("n")), "label").select("query", "n")
+    out = fusion.retrieval_metrics(near, judged.select("query", "id", (F.col("label") == F.col("own")).cast("int").alias("grade")), relevant=counts)
     return out.select("query", "hit", F.round("rr", 9).alias("rr"), F.round("ndcg", 9).alias("ndcg"))
 
 
 METRICS_SQL = """
 WITH s AS (SELECT q.vec_id AS query, e.vec_id AS id, (e.label = q.label)::int AS grade,
                   row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::double[], e.embedding::double[]) DESC, e.vec_id) AS rank
-           FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0 QUALIFY rank <= 100),
-i AS (SELECT query, sum(1 / log2(r + 1)) AS ideal FROM (SELECT query, row_number() OVER (PARTITION BY query ORDER BY grade DESC, id) AS r FROM s WHERE grade > 0) WHERE r <= 10 GROUP BY 1),
+           FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0 QUALIFY rank <= 10),
+c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1),
+i AS (SELECT query, sum(1 / log2(r + 1)) AS ideal FROM (SELECT q.vec_id AS query, unnest(range(1, least(10, n) + 1)) AS r FROM embeddings q JOIN c USING (label) WHERE q.vec_id % 50 = 0) GROUP BY 1),
 f AS (SELECT query, min(rank) AS first, sum(1 / log2(rank + 1)) AS dcg FROM s WHERE grade > 0 AND rank <= 10 GROUP BY 1)
 SELECT query, (first IS NOT NULL)::int AS hit, round(coalesce(1 / first, 0), 9) AS rr, CASE WHEN ideal IS NOT NULL THEN round(coalesce(dcg / ideal, 0), 9) END AS ndcg
 FROM (SELECT DISTINCT query FROM s) LEFT JOIN f USING (query) LEFT JOIN i USING (query)

@@ -107,6 +107,9 @@ def test_fusion_and_metrics(spark):
     judged = spark.createDataFrame([(1, 6, 1), (2, 9, 2), (3, 1, 0)], "query long, id long, grade int")
     got = {r["query"]: (r.hit, r.rr, r.ndcg) for r in fusion.retrieval_metrics(ranked, judged).collect()}
     assert got == {1: (1, 0.5, pytest.approx(1 / math.log2(3))), 2: (0, 0.0, 0.0), 3: (0, 0.0, None)}
+    counts = spark.createDataFrame([(1, 2), (2, 50), (3, 0)], "query long, n long")
+    more = {r["query"]: r.ndcg for r in fusion.retrieval_metrics(ranked, judged, relevant=counts).collect()}
+    assert more == {1: pytest.approx(1 / math.log2(3) / (1 + 1 / math.log2(3))), 2: 0.0, 3: None}
 
 
 def test_malformed_json_is_set_apart(spark):
