@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import LOWER, slices, spare, stage, unstage, utf8
+from lakeloom.llm.common import LOWER, slices, stage, utf8
 
 #: Lines or paragraphs of fewer words (headings, list items, licence lines) may repeat.
 MIN_WORDS = 25
@@ -19,6 +19,9 @@ MIN_WORDS = 25
 SEPARATORS = {"line": "\n", "paragraph": "\n\n"}
 #: Words of a passage that may not repeat, wherever it begins and however it is wrapped.
 PASSAGE = 51
+#: Documents of a part, as a power of two.
+PART_BITS = 10
+PART_ROWS = 1 << PART_BITS
 #: Distinct words whose hashes a task remembers.
 _WORDS = 200_000
 _SPACES = np.array([bytes([b]).isspace() for b in range(256)])
@@ -150,54 +153,110 @@ def dedup_units(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     A null text stays null. Null ids rank before others. Rows of one id are
     told apart by their text; rows equal in both are one document and are
-    treated alike. Counts and first places come from partial aggregations of
-    16-byte digests and the join that follows may be split, so a unit in a
-    third of the documents is no burden on one task.
+    treated alike.
+
+    Documents are staged in parts of ``PART_ROWS``. A part passes on each of
+    its digests once, with the first place and the number there, so a unit in
+    a third of the documents is a row for each part and no burden on one
+    task. First places of all parts come from a partial aggregation, go back
+    to the parts that have the digest, and meet their documents there.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    docs = docs.drop("removed_spans")
-    mark, key, known = (spare(docs, x) for x in ("mark", "key", "known"))
-    own = docs.withColumn(mark, F.xxhash64(text_col))
-    asked = own.select(F.col(id_col).alias("id"), F.col(mark).alias("th"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    found = stage(asked.mapInArrow(_units(unit, min_words, passage), f"id {kind}, th long, start int, end int, h1 long, h2 long"), "units")
-    first = found.groupBy("h1", "h2").agg(F.min(F.struct("id", "th", "start", "end")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    first = stage(first, "first")  # so that the join below has a plain exchange on either side, which may be split
-    same = F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.th") == F.col("th"))
-    cut = found.join(first, ["h1", "h2"]).where(~(same & (F.col("start") < F.col("first.end"))))
-    cuts = cut.groupBy("id", "th").agg(F.collect_set(F.struct("start", "end")).alias("removed_spans"))
-    cuts = stage(cuts.withColumnsRenamed({"id": key, "th": known}), "cuts")
-    unstage(found)
-    unstage(first)
-    marked = own.join(cuts, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(mark) == F.col(known)), "left").drop(key, known, mark)
-    marked = marked.withColumn("removed_spans", F.coalesce("removed_spans", F.expr("cast(array() as array<struct<start:int,end:int>>)")))
-    return marked.mapInArrow(_cut(marked.columns.index(text_col)), marked.schema)
+    own = docs.drop("removed_spans")
+    row = stage(own.select(F.shiftright(F.monotonically_increasing_id(), PART_BITS).alias("part"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.struct(*own.columns).alias("doc")), "documents")
+    asked = row.select("part", "id", "th", F.col("doc")[text_col].cast("string").alias("text")).where("text is not null")
+    found = stage(asked.mapInArrow(_units(unit, min_words, passage), f"part long, h1 long, h2 long, id {kind}, th long, start int, end int, n long"), "units")
+    first = found.groupBy("h1", "h2").agg(F.min(F.struct("id", "th", "start", "end")).alias("first"), F.sum("n").alias("n")).where("n > 1")
+    first = stage(first.select("h1", "h2", "first.id", "first.th", "first.end"), "first")  # so that either side of the join has a plain exchange, which may be split
+    known = found.select("part", "h1", "h2").join(first, ["h1", "h2"])
+    laid = known.select("part", F.lit(0).alias("kind"), "h1", "h2", "id", "th", "end", F.lit(None).cast(row.schema["doc"].dataType).alias("doc"))
+    none = F.lit(0).cast("long")
+    laid = laid.unionByName(row.select("part", F.lit(1).alias("kind"), none.alias("h1"), none.alias("h2"), "id", "th", F.lit(0).alias("end"), "doc"))
+    result = own.withColumn("removed_spans", F.expr("cast(array() as array<struct<start:int,end:int>>)")).schema
+    return laid.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(_cut(own.columns.index(own.select(text_col).columns[0]), unit, min_words, passage), result)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], *keys: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut where one of these whole-number columns changes."""
+    for batch in batches:
+        if batch.num_rows:
+            own = [batch.column(k).to_numpy() for k in keys]
+            cuts = np.flatnonzero(np.any([np.diff(x) != 0 for x in own], axis=0)) + 1
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                yield batch.slice(a, b - a)
 
 
 def _units(unit: str, min_words: int, passage: int | None):
+    """Each digest of a part once, with its first place there and how often it occurs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _WordHashes()
-        for part in slices(batches):
-            text, start, end, digests = units(utf8(part.column(2)), known, unit, min_words, passage)
-            halves, rows = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2), pa.array(text)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(rows), part.column(1).take(rows), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(halves[:, 0]), pa.array(halves[:, 1])],
-                ["id", "th", "start", "end", "h1", "h2"],
-            )
+        hashes, part = _WordHashes(), None
+        held: dict[bytes, list] = {}
+
+        def out(kind: pa.DataType) -> pa.RecordBatch:
+            halves = np.frombuffer(b"".join(held), "<i8").reshape(-1, 2)
+            place = [x for x, _ in held.values()]
+            columns = [pa.array(np.full(len(held), part, np.int64)), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array([x[1] for x in place], kind)]
+            columns += [pa.array([x[k] for x in place], t) for k, t in ((2, pa.int64()), (3, pa.int32()), (4, pa.int32()))]
+            columns.append(pa.array([n for _, n in held.values()], pa.int64()))
+            held.clear()
+            return pa.RecordBatch.from_arrays(columns, ["part", "h1", "h2", "id", "th", "start", "end", "n"])
+
+        kind = None
+        for own in slices(_groups(batches, 0)):
+            now, kind = own.column(0)[0].as_py(), own.schema.field(1).type
+            if held and now != part:
+                yield out(kind)
+            part = now
+            ids, marks = own.column(1).to_pylist(), own.column(2).to_pylist()
+            text, start, end, digests = units(utf8(own.column(3)), hashes, unit, min_words, passage)
+            for t, a, b, digest in zip(text.tolist(), start.tolist(), end.tolist(), digests, strict=True):
+                place = (ids[t] is not None, ids[t], marks[t], a, b)
+                if (known := held.get(digest)) is None:
+                    held[digest] = [place, 1]
+                else:
+                    known[1] += 1
+                    if _before(place, known[0]):
+                        known[0] = place
+        if held:
+            yield out(kind)
 
     return run
 
 
-def _cut(text_at: int):
+def _before(a: tuple, b: tuple) -> bool:
+    """Whether place ``a`` comes before ``b``; of no ids none is compared."""
+    return (a[0], *a[2:]) < (b[0], *b[2:]) if not (a[0] and b[0]) else a < b
+
+
+def _cut(text_at: int, unit: str, min_words: int, passage: int | None):
+    """The documents of each part, which come after the first places of its repeated digests."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            lists = part.column(part.num_columns - 1).to_pylist()
-            if any(lists):
-                texts = part.column(text_at).to_pylist()
-                done = [without(t, [(s["start"], s["end"]) for s in cut]) if cut else (t, []) for t, cut in zip(texts, lists, strict=True)]
-                part = part.set_column(text_at, part.schema.field(text_at), pa.array([t for t, _ in done], part.schema.field(text_at).type))
-                last = part.schema.field(part.num_columns - 1)
-                part = part.set_column(part.num_columns - 1, last, pa.array([[{"start": a, "end": b} for a, b in s] for _, s in done], last.type))
-            yield part
+        hashes, part = _WordHashes(), None
+        first: dict[bytes, tuple] = {}
+        for own in slices(_groups(batches, 0, 1)):
+            if (now := own.column(0)[0].as_py()) != part:
+                first, part = {}, now
+            ids, marks = own.column(4).to_pylist(), own.column(5).to_pylist()
+            if own.column(1)[0].as_py() == 0:
+                halves = np.column_stack([own.column(k).to_numpy() for k in (2, 3)]).astype("<i8").tobytes()
+                first.update(zip([halves[k : k + 16] for k in range(0, len(halves), 16)], zip(ids, marks, own.column(6).to_pylist(), strict=True), strict=True))
+                continue
+            columns = own.column(7).flatten()
+            texts = columns[text_at].to_pylist()
+            spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+            if first:
+                rows = [k for k, t in enumerate(texts) if t is not None]
+                found = units([str(texts[k]).encode() for k in rows], hashes, unit, min_words, passage)
+                for t, a, b, digest in zip(found[0].tolist(), found[1].tolist(), found[2].tolist(), found[3], strict=True):
+                    if (f := first.get(digest)) is not None and (f[0] != ids[rows[t]] or f[1] != marks[rows[t]] or a >= f[2]):
+                        spans[rows[t]].append((a, b))
+            done = [without(t, x) if x else (t, []) for t, x in zip(texts, spans, strict=True)]
+            columns[text_at] = pa.array([t for t, _ in done], columns[text_at].type)
+            place = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+            names = [f.name for f in own.schema.field(7).type]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([[{"start": a, "end": b} for a, b in x] for _, x in done], place)], [*names, "removed_spans"])
 
     return run
 
