@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import LOWER, slices, stage, utf8
+from lakeloom.llm.common import LOWER, slices, stage, unstage, utf8
 
 #: Lines or paragraphs of fewer words (headings, list items, licence lines) may repeat.
 MIN_WORDS = 25
@@ -168,7 +168,9 @@ def dedup_units(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     found = stage(asked.mapInArrow(_units(unit, min_words, passage), f"part long, h1 long, h2 long, id {kind}, th long, start int, end int, n long"), "units")
     first = found.groupBy("h1", "h2").agg(F.min(F.struct("id", "th", "start", "end")).alias("first"), F.sum("n").alias("n")).where("n > 1")
     first = stage(first.select("h1", "h2", "first.id", "first.th", "first.end"), "first")  # so that either side of the join has a plain exchange, which may be split
-    known = found.select("part", "h1", "h2").join(first, ["h1", "h2"])
+    known = stage(found.select("part", "h1", "h2").join(first, ["h1", "h2"]), "known")
+    unstage(found)
+    unstage(first)
     laid = known.select("part", F.lit(0).alias("kind"), "h1", "h2", "id", "th", "end", F.lit(None).cast(row.schema["doc"].dataType).alias("doc"))
     none = F.lit(0).cast("long")
     laid = laid.unionByName(row.select("part", F.lit(1).alias("kind"), none.alias("h1"), none.alias("h2"), "id", "th", F.lit(0).alias("end"), "doc"))
