@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import chat_template, decontaminate, host_rules, langid, line_dedup, lm_scoring, packing, quality, sharding, simhash
+from lakeloom.llm import byte_bpe, chat_template, decontaminate, filter_audit, hard_negatives, host_rules, langid, line_dedup, lm_scoring, packing, quality, sharding, simhash
 from lakeloom.llm.common import bucket_of
 
 
@@ -91,7 +91,26 @@ def _cut_figures(out: DataFrame) -> DataFrame:
     return out.select("doc_id", F.size("removed_spans").cast("long").alias("n_removed"), chars.alias("removed_chars"), at.alias("removed_at"), "text")
 
 
-_QUERIES = (op1_best_fit_packing, op2_rank_order_langid, op3_benchmark_decontamination, op4_bradley_terry_quality, op5_chat_template, op6_host_rules, op7_ring_sharding, op8_ppm_scoring, op9_simhash_near_dedup, op10_line_dedup)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each anchor and positive the first ten rows of another label in the band of scores."""
+    label = F.col("label").cast("long")
+    vectors = _table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters keep and remove by source, in every order."""
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and what they decode to, by digest."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = byte_bpe.decode_ids(byte_bpe.encode_texts(docs).drop("text"))
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+_QUERIES = (op1_best_fit_packing, op2_rank_order_langid, op3_benchmark_decontamination, op4_bradley_terry_quality, op5_chat_template, op6_host_rules, op7_ring_sharding, op8_ppm_scoring, op9_simhash_near_dedup, op10_line_dedup, op11_hard_negatives, op12_filter_audit, op13_byte_bpe)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,4 +123,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_benchmark_decontamination": decontaminate.SQL, "op5_chat_template": chat_template.SQL, "op6_host_rules": host_rules.SQL, "op10_line_dedup": line_dedup.SQL}
+    return {"op3_benchmark_decontamination": decontaminate.SQL, "op5_chat_template": chat_template.SQL, "op6_host_rules": host_rules.SQL, "op10_line_dedup": line_dedup.SQL, "op11_hard_negatives": hard_negatives.SQL, "op12_filter_audit": filter_audit.SQL}
