@@ -14,7 +14,9 @@ from lakeloom.operators.joins import equi_join
 from lakeloom.sources.shared import stage
 
 #: Rows asked about that a cell holds, and rows that stream past them.
-ASKED_BLOCK, ROW_BLOCK = 4096, 1 << 16
+ASKED_BLOCK, ROW_BLOCK = 4096, 1 << 14
+#: The same for cells whose pairs are all given back.
+PAIRS_ASKED, PAIRS_ROWS = 256, 4096
 #: Cells are dealt to at most so many tasks; a task takes its cells one after the other.
 MAX_TASKS = 1 << 14
 
@@ -29,6 +31,30 @@ class Cell(Protocol):
     def end(self) -> pa.RecordBatch: ...
 
 
+def _dealt(asked: DataFrame, rows: DataFrame, group: str, asked_block: int, row_block: int) -> tuple[DataFrame, DataFrame, int]:
+    """Both sides by cell, ``(g, b, a, kind, task, x0 or x1)``, and the number of tasks."""
+    many, few = rows.groupBy(group).agg(F.count("*").alias("__n")), asked.groupBy(group).agg(F.count("*").alias("__m"))
+    blocks = lambda c, size: F.ceil(F.col(c) / F.lit(size)).cast("int")
+    sizes = stage(many.join(few, group).withColumns({"__nb": blocks("__n", row_block), "__na": blocks("__m", asked_block)}), "sizes")
+    cells = F.col("__nb").cast("long") * F.col("__na")
+    total = sizes.agg(F.sum(cells), F.sum(F.col("__n").cast("double") * F.col("__m")), F.sum(F.col("__n") * F.col("__na") + F.col("__m") * F.col("__nb"))).first()
+    # Small cells share a task; there are enough for the pairs, the rows and the cluster.
+    enough = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), int((total[1] or 0) / (asked_block * row_block)) * 2, (total[2] or 0) // row_block)
+    tasks = int(max(1, min(total[0] or 0, enough, MAX_TASKS)))
+    sizes = sizes.drop("__n", "__m")
+
+    def dealt(df: DataFrame, own: str, other: str, kind: int) -> DataFrame:
+        numbered = df.select(group, F.struct(*df.columns).alias("__x"), F.xxhash64(F.monotonically_increasing_id()).alias("__h"))
+        met = equi_join(numbered, sizes, [group])
+        mine, every = F.pmod("__h", F.col(own)).cast("int"), F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        b, a = (mine, every) if kind else (every, mine)
+        put = met.select(F.col(group).cast("long").alias("g"), b.alias("b"), a.alias("a"), F.col("__na"), F.lit(kind).alias("kind"), "__x")
+        to = F.pmod(F.xxhash64("g") + F.col("b").cast("long") * F.col("__na") + F.col("a"), F.lit(tasks)).cast("int")
+        return put.select("g", "b", "a", "kind", to.alias("task"), F.col("__x").alias(f"x{kind}"))
+
+    return dealt(asked, "__na", "__nb", 0), dealt(rows, "__nb", "__na", 1), tasks
+
+
 def in_cells(asked: DataFrame, rows: DataFrame, make: Callable[[], Cell], schema: str, *, group: str, asked_block: int | None = None, row_block: int | None = None) -> DataFrame:
     """What ``make()`` finds in each cell of the grid of ``asked`` and ``rows``.
 
@@ -40,27 +66,23 @@ def in_cells(asked: DataFrame, rows: DataFrame, make: Callable[[], Cell], schema
     exchanged once for each block of the other; nothing goes to the driver but
     the number of cells. Groups that one side lacks have no cells.
     """
-    asked_block, row_block = asked_block or ASKED_BLOCK, row_block or ROW_BLOCK
-    many = rows.groupBy(group).agg(F.ceil(F.count("*") / F.lit(row_block)).cast("int").alias("__nb"))
-    few = asked.groupBy(group).agg(F.ceil(F.count("*") / F.lit(asked_block)).cast("int").alias("__na"))
-    sizes = stage(many.join(few, group), "sizes")
-    total = sizes.agg(F.sum(F.col("__nb").cast("long") * F.col("__na"))).first()[0] or 0
-    tasks = int(max(1, min(total, MAX_TASKS)))
-
-    def dealt(df: DataFrame, own: str, other: str, kind: int) -> DataFrame:
-        numbered = df.select(group, F.struct(*df.columns).alias("__x"), F.xxhash64(F.monotonically_increasing_id()).alias("__h"))
-        met = equi_join(numbered, sizes, [group])
-        mine, every = F.pmod("__h", F.col(own)).cast("int"), F.explode(F.sequence(F.lit(0), F.col(other) - 1))
-        b, a = (mine, every) if kind else (every, mine)
-        put = met.select(F.col(group).cast("long").alias("g"), b.alias("b"), a.alias("a"), F.col("__na"), F.lit(kind).alias("kind"), "__x")
-        to = F.pmod(F.xxhash64("g") + F.col("b").cast("long") * F.col("__na") + F.col("a"), F.lit(tasks)).cast("int")
-        return put.select("g", "b", "a", "kind", to.alias("task"), F.col("__x").alias(f"x{kind}"))
-
-    first, second = dealt(asked, "__na", "__nb", 0), dealt(rows, "__nb", "__na", 1)
+    first, second, tasks = _dealt(asked, rows, group, asked_block or ASKED_BLOCK, row_block or ROW_BLOCK)
     laid = first.unionByName(second, allowMissingColumns=True).repartitionById(tasks, F.col("task"))
     return laid.sortWithinPartitions("g", "b", "a", "kind").select("g", "b", "a", "kind", "x0", "x1").mapInArrow(_run(make), schema)
 
 
+def pairs(asked: DataFrame, rows: DataFrame, *, group: str) -> DataFrame:
+    """``(x0, x1)``: every row asked about with every row of its group, as structs of their columns.
+
+    For results that have a row for each pair anyway. The cells are those of
+    ``in_cells``, but are joined by their numbers, so that expressions over
+    pairs stay in the JVM.
+    """
+    first, second, _ = _dealt(asked, rows, group, PAIRS_ASKED, PAIRS_ROWS)
+    cell = ["g", "b", "a"]
+    return first.select(*cell, "x0").join(second.select(*cell, "x1").hint("merge"), cell).select("x0", "x1")
+
+
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, int, list[pa.Array]]]:
     """(cell, kind, columns) wherever one of these changes."""
     for batch in batches:

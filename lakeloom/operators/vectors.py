@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import reduce
-from typing import Any
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Row
 
-from lakeloom.sources.shared import stage
+from lakeloom.operators.grid import best, in_cells, matrix
 
-#: Queries that one pass over the corpus answers.
-QUERY_BLOCK = 4096
+#: Queries and vectors that are multiplied at a time, and pairs that are summed anew.
+QUERIES, VECTORS, PAIRS = 512, 1024, 1 << 14
 
 
 def inner_product(a: Column, b: Column) -> Column:
@@ -35,69 +30,87 @@ def cosine(a: Column, b: Column) -> Column:
     return inner_product(a, b) / F.nullif(F.sqrt(inner_product(a, a) * inner_product(b, b)), F.lit(0.0))
 
 
-def in_blocks(asked: DataFrame, size: int, search: Callable[[list[Row]], tuple[DataFrame, Any]]) -> DataFrame:
-    """What ``search`` finds for all rows of ``asked``, which goes to the driver ``size`` rows or so at a time.
-
-    ``search`` gets the rows of a block and returns a table and the broadcast
-    it depends on. One block needs no more. Of several, each one's result is
-    staged and its broadcast let go before the next begins, so that the
-    driver and the tasks hold one block at any time.
-    """
-    blocks = max(1, -(-asked.count() // size))
-    if blocks == 1:
-        return search(asked.collect())[0]
-    found = []
-    for n in range(blocks):
-        table, sent = search(asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == n).collect())
-        found.append(stage(table, "block"))
-        sent.destroy()
-    return reduce(DataFrame.unionAll, found)
+def by_length(df: DataFrame, id_col: str, vec_col: str, name: str) -> DataFrame:
+    """``(name, v, g)``: ids and vectors in double, and their length."""
+    return df.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias(name), F.col(vec_col).cast("array<double>").alias("v"), F.size(vec_col).cast("long").alias("g"))
 
 
 def knn_exact(queries: DataFrame, corpus: DataFrame, k: int = 10, *, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``(query, id, sim, rank)``: the k nearest by cosine, ties by id.
 
-    Queries go out in blocks of ``QUERY_BLOCK``, each of which is compared
-    with Arrow batches of the corpus as a matrix product. A task passes on
-    its own k best for each query, so what is shuffled grows with queries, k
-    and tasks, not with the pairs. Null and zero vectors, on either side, are
-    nobody's neighbour; vectors of another length than a query's raise.
+    Queries and corpus meet in the cells of a grid (``grid.in_cells``), where
+    a block of queries is held and vectors stream past it: neither side goes
+    to the driver, and a task's memory depends on the sizes of a block and of
+    a slice alone. A cell passes on its own k best for each query. Null and
+    zero vectors and those with a null, NaN or infinite component are, on
+    either side, nobody's neighbour; vectors of different lengths aren't
+    compared. A query id that repeats is one query for each row, whose
+    results are merged.
     """
-    own = corpus.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    asked = queries.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("query"), F.col(vec_col).cast("array<double>").alias("v"))
-
-    def search(rows: list[Row]) -> tuple[DataFrame, Any]:
-        block = corpus.sparkSession.sparkContext.broadcast(([r.query for r in rows], [r.v for r in rows]))
-        return own.mapInArrow(_nearest(block, k), "query long, id long, sim double"), block
-
-    out = in_blocks(asked, QUERY_BLOCK, search)
+    own, asked = by_length(corpus, id_col, vec_col, "id"), by_length(queries, id_col, vec_col, "query")
+    out = in_cells(asked, own, lambda: _Nearest(k), "query long, id long, sim double", group="g")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _nearest(block, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, vectors = block.value
-        if not names:
-            return
-        q = np.array(vectors)
-        norm = np.linalg.norm(q, axis=1)
-        q, names = q[norm > 0] / norm[norm > 0, None], np.array(names)[norm > 0]
-        best_s, best_i = np.full((len(q), k), -np.inf), np.full((len(q), k), -1, np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            v, ids = np.array(batch.column(1).to_pylist()), batch.column(0).to_numpy(zero_copy_only=False)
-            length = np.linalg.norm(v, axis=1)
-            v, ids = v[length > 0] / length[length > 0, None], ids[length > 0]
-            s = np.concatenate((best_s, q @ v.T), axis=1)
-            i = np.concatenate((best_i, np.broadcast_to(ids, (len(q), len(ids)))), axis=1)
-            by = np.lexsort((i, -s))[:, :k]
-            best_s, best_i = np.take_along_axis(s, by, 1), np.take_along_axis(i, by, 1)
-        has = best_s > -np.inf
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, has.sum(axis=1))), pa.array(best_i[has]), pa.array(best_s[has])], ["query", "id", "sim"])
-
-    return run
+def unit(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of length one, and which rows have them: those with a direction."""
+    norm = np.linalg.norm(v, axis=1)
+    has = np.flatnonzero((norm > 0) & np.isfinite(norm))
+    return v[has] / norm[has, None], has
+
+
+class _Nearest:
+    """The k nearest vectors of a cell for each of its queries.
+
+    Products of a slice of queries and a slice of vectors are compared with
+    the k-th best so far. Those that reach it, within rounding, are summed
+    anew in one fixed order, so that equal vectors have equal similarities
+    wherever they stand.
+    """
+
+    def __init__(self, k: int):
+        self.k, self.held, self.found = k, [], None
+
+    def ask(self, columns: list[pa.Array]) -> None:
+        self.held.append((columns[0].to_numpy(), matrix(columns[1])))
+
+    def _begin(self) -> None:
+        self.q, has = unit(np.concatenate([v for _, v in self.held]))
+        self.names = np.concatenate([n for n, _ in self.held])[has]
+        self.least = np.full(len(self.q), -np.inf)
+        self.found = {a: (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)) for a in range(0, len(self.q), QUERIES)}
+        self.held = []
+
+    def feed(self, columns: list[pa.Array]) -> None:
+        if self.found is None:
+            self._begin()
+        ids, vectors = columns[0].to_numpy(), matrix(columns[1])
+        for r in range(0, len(ids), VECTORS):
+            v, has = unit(vectors[r : r + VECTORS])
+            own = ids[r : r + VECTORS][has]
+            for a in self.found if len(v) else ():
+                s = self.q[a : a + QUERIES] @ v.T
+                least = self.least[a : a + QUERIES]
+                if len(v) > self.k:
+                    least = np.maximum(least, np.partition(s, len(v) - self.k, axis=1)[:, -self.k])
+                who, what = np.nonzero(s >= (least - 1e-9)[:, None])
+                for p in range(0, len(who), PAIRS):
+                    self._take(a, a + who[p : p + PAIRS], what[p : p + PAIRS], v, own)
+
+    def _take(self, a: int, who: np.ndarray, what: np.ndarray, v: np.ndarray, ids: np.ndarray) -> None:
+        sim = np.einsum("ij,ij->i", self.q[who], v[what])
+        whole = [np.concatenate(x) for x in zip(self.found[a], (who, sim, ids[what]), strict=True)]
+        top = best(whole[0], whole[1], (whole[2],), self.k)
+        self.found[a] = held = tuple(x[top] for x in whole)
+        many = np.bincount(held[0] - a)
+        self.least[a : a + len(many)] = np.where(many == self.k, held[1][np.cumsum(many) - 1], -np.inf)
+
+    def end(self) -> pa.RecordBatch:
+        if self.found is None:
+            self._begin()
+        who, sim, ids = (np.concatenate([np.zeros(0, t), *(x[c] for x in self.found.values())]) for c, t in enumerate((np.int64, np.float64, np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(self.names[who]), pa.array(ids), pa.array(sim)], ["query", "id", "sim"])
 
 
 def knn_filtered(queries: DataFrame, corpus: DataFrame, where: Column, k: int = 10, **columns: str) -> DataFrame:

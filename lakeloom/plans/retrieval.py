@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lakeloom.functions.text import html_to_text
-from lakeloom.operators import chunking, fusion, structured, summaries, vectors
+from lakeloom.operators import chunking, fusion, grid, minhash, structured, summaries, vectors
 from lakeloom.operators.bm25 import bm25
 from lakeloom.operators.ivf import knn_approx as ivf_search
 from lakeloom.operators.tokens import bpe_count, token_counts
@@ -57,6 +57,11 @@ def distinct_texts(spark, sf_dir):
     return docs.groupBy(F.md5("text").alias("md5")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
 
 
+def near_duplicate_texts(spark, sf_dir):
+    """Every document with the first of its copies and the first of its near-duplicates; by chance, so without SQL."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def client_embeddings(spark, sf_dir):
     """Vectors by an injected model: this one counts five letters."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -111,16 +116,11 @@ def knn_approx(spark, sf_dir):
 
 
 def vector_distances(spark, sf_dir):
-    """Distances between every vector and each of the stated queries, in blocks of these."""
-    e = table(spark, sf_dir, "embeddings")
-    asked = _queries_of(e).select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
-
-    def block(rows):
-        # At most ``QUERY_BLOCK`` rows are broadcast at a time.
-        return e.crossJoin(F.broadcast(spark.createDataFrame(rows, asked.schema))), spark.sparkContext.broadcast(None)
-
-    d = vectors.in_blocks(asked, vectors.QUERY_BLOCK, block)
-    return d.select("query", "vec_id", F.round(vectors.cosine(F.col("q"), F.col("embedding")), 6).alias("cos"), F.round(vectors.l2(F.col("q"), F.col("embedding")), 6).alias("l2"), F.round(vectors.inner_product(F.col("q"), F.col("embedding")), 6).alias("ip"))
+    """Distances between every vector and each of the stated queries, which are a row each."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.lit(0).cast("long").alias("all"))
+    d = grid.pairs(_queries_of(e), e, group="all")
+    q, v = F.col("x0.embedding"), F.col("x1.embedding")
+    return d.select(F.col("x0.vec_id").alias("query"), F.col("x1.vec_id").alias("vec_id"), F.round(vectors.cosine(q, v), 6).alias("cos"), F.round(vectors.l2(q, v), 6).alias("l2"), F.round(vectors.inner_product(q, v), 6).alias("ip"))
 
 
 def vector_upsert(spark, sf_dir):
@@ -209,6 +209,7 @@ QUERIES = {
     "tokenize": Query(tokenize, r"SELECT doc_id, tok, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS tok FROM documents) GROUP BY 1, 2"),
     "page_text": Query(page_text, r"SELECT page_id, url, regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gs'), '<[^>]*>', ' ', 'g') AS text FROM pages"),
     "distinct_texts": Query(distinct_texts, "SELECT md5(text) AS md5, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1"),
+    "near_duplicate_texts": Query(near_duplicate_texts),
     "client_embeddings": Query(client_embeddings, "SELECT doc_id, " + ", ".join(f"(length(coalesce(text, '')) - length(replace(coalesce(text, ''), '{c}', '')))::double AS {c}" for c in "aeiou") + " FROM documents"),
     "client_completions": Query(client_completions, "SELECT conv_id, turn, (length(coalesce(role, '')) + 2 + length(coalesce(text, ''))) || ' characters' AS answer FROM conversations"),
     "chunk_fixed": Query(chunk_fixed, "SELECT doc_id, i::int AS chunk, substring(text, (i*150+1)::int, 200) AS text FROM (SELECT doc_id, text, unnest(range(0, greatest(0, (length(text)-51)//150)+1)) AS i FROM documents)"),

@@ -2,6 +2,7 @@ import json
 import math
 import os
 import random
+import re
 import subprocess
 import sys
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lakeloom.functions.text import html_to_text
-from lakeloom.operators import chunking, fusion, ivf, joins, structured, summaries, timejoins, vectors
+from lakeloom.operators import chunking, fusion, grid, ivf, joins, structured, summaries, timejoins, vectors
 from lakeloom.operators.bm25 import bm25
 from lakeloom.operators.tokens import token_counts
 from lakeloom.sources import jsonl
@@ -60,8 +61,11 @@ def test_chunks_add_up_to_the_text(spark):
 def test_vectors_of_no_length_null_and_ties(spark, monkeypatch):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, [0.0, 0.0]), (5, None), (6, [-1.0, 0.0])]
     e = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
-    for block in (1, 100):
-        monkeypatch.setattr(vectors, "QUERY_BLOCK", block)
+    for asked, rows, few in ((1, 1, 1), (2, 3, 2), (4096, 1 << 14, 512)):
+        monkeypatch.setattr(grid, "ASKED_BLOCK", asked)
+        monkeypatch.setattr(grid, "ROW_BLOCK", rows)
+        for name in ("QUERIES", "VECTORS", "PAIRS"):
+            monkeypatch.setattr(vectors, name, few)
         got = {(r.query, r["rank"]): r.id for r in vectors.knn_exact(e, e, 2).collect()}
         assert got == {(1, 1): 1, (1, 2): 2, (2, 1): 1, (2, 2): 2, (3, 1): 3, (3, 2): 1, (6, 1): 6, (6, 2): 3}
     d = e.select(vectors.cosine("embedding", "embedding").alias("c"), vectors.l2(F.col("embedding"), F.array(F.lit(0.0), F.lit(0.0))).alias("l"), "vec_id")
@@ -69,23 +73,133 @@ def test_vectors_of_no_length_null_and_ties(spark, monkeypatch):
     assert vectors.knn_exact(e.limit(0), e, 2).count() == 0
 
 
+def test_nearest_vectors_of_many_blocks_ties_and_odd_rows(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(4)]) for k in range(60)] + [(100 + k, [0.3, 0.4, -0.5, 1.0]) for k in range(30)] + [(100, [0.3, 0.4, -0.5, 1.0])]
+    odd = [(200, [1.0, None, 0.0, 0.0]), (201, [math.inf, 0.0, 0.0, 0.0]), (202, [math.nan] * 4), (203, []), (204, [1.0, 2.0]), (205, [2.0, 4.0]), (206, None)]
+    e = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").repartition(3)
+
+    def plain(k):
+        unit = [(i, [x / math.sqrt(sum(y * y for y in v)) for x in v]) for i, v in [*rows, odd[4], odd[5]]]
+        out = []
+        for q in {i for i, _ in unit}:
+            sims = [(-round(sum(x * y for x, y in zip(v, w, strict=True)), 9), i) for j, v in unit if j == q for i, w in unit if len(v) == len(w)]
+            out += [(q, i, -s, n) for n, (s, i) in enumerate(sorted(sims)[:k], 1)]
+        return sorted(out)
+
+    found = lambda k: sorted((r["query"], r.id, round(r.sim, 9), r["rank"]) for r in vectors.knn_exact(e, e, k).collect())
+    assert found(3) == plain(3)
+    for name, size in (("ASKED_BLOCK", 20), ("ROW_BLOCK", 7)):
+        monkeypatch.setattr(grid, name, size)
+    for name in ("QUERIES", "VECTORS", "PAIRS"):
+        monkeypatch.setattr(vectors, name, 5)
+    assert found(3) == plain(3) and found(40) == plain(40)
+
+
+def test_nearest_vectors_go_nowhere_near_the_driver(spark):
+    e = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(9)], "vec_id long, embedding array<double>")
+    plan = vectors.knn_exact(e, e, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "LocalTableScan" not in plan
+
+
+def test_a_worker_holds_a_slice_of_all_pairs(tmp_path):
+    """4,096 queries and 10,000 vectors in one cell: what the process takes at most, all libraries included."""
+    code = """
+import resource, sys
+import numpy as np, pyarrow as pa
+from lakeloom.operators import grid, vectors
+rng = np.random.default_rng(0)
+column = lambda n: pa.ListArray.from_arrays(pa.array(np.arange(0, 64 * n + 1, 64, dtype=np.int32)), pa.array(rng.normal(size=64 * n)))
+side = lambda kind, n, name: (kind, n, pa.StructArray.from_arrays([pa.array(np.arange(n)), column(n)], [name, "v"]))
+def batches():
+    for kind, n, x in (side(0, 4096, "query"), side(1, 10000, "id")):
+        zero = pa.array(np.zeros(n, np.int64))
+        none = pa.nulls(n, pa.struct([("query" if kind else "id", pa.int64()), ("v", pa.list_(pa.float64()))]))
+        yield pa.RecordBatch.from_arrays([zero, zero, zero, pa.array(np.full(n, kind)), *((none, x) if kind else (x, none))], list("gbakxy"))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+n = sum(b.num_rows for b in grid._run(lambda: vectors._Nearest(10))(batches()))
+print(n, before // 1024, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    root = entry.__file__.rsplit("/", 1)[0]
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, env=os.environ | {"OMP_NUM_THREADS": "1", "OPENBLAS_NUM_THREADS": "1"})
+    rows, before, most = map(int, out.stdout.split())
+    print(f"worker: {before} MB before, {most} MB at most")
+    assert rows == 40960 and most < 300
+
+
+def test_distances_of_all_pairs_match_by_block(spark, monkeypatch):
+    e = spark.createDataFrame([(k, [float(k), 1.0], k % 3) for k in range(20)], "vec_id long, v array<double>, g long")
+    want = sorted((a, b) for a in range(0, 20, 4) for b in range(20) if a % 3 == b % 3)
+    for asked, rows in ((256, 4096), (2, 3)):
+        monkeypatch.setattr(grid, "PAIRS_ASKED", asked)
+        monkeypatch.setattr(grid, "PAIRS_ROWS", rows)
+        got = grid.pairs(e.where("vec_id % 4 = 0"), e, group="g").select("x0.vec_id", F.col("x1.vec_id").alias("other"))
+        assert sorted(map(tuple, got.collect())) == want
+        assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
 def test_approximate_neighbours_reach_the_recall(spark, sf):
     e = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").repartition(4)
     q = e.where("vec_id % 50 = 0")
     index = ivf.fit(e)
-    found = ivf.search(q, ivf.assign(e, index), index)
+    found = ivf.search(q, ivf.build(e, index), 10)
     exact = vectors.knn_exact(q, e)
     hits = found.join(exact.select("query", "id"), ["query", "id"]).count()
-    print(f"{sf}: recall {hits / exact.count():.3f}, probes {index.probes} of {len(index.centroids)}")
+    print(f"{sf}: recall {hits / exact.count():.3f}, probes {index.probes} of {len(index.centroids)}, error {index.error:.3f}")
     assert hits >= 0.9 * exact.count()
 
 
+def clustered_vectors(spark, n=6000, d=32, centres=48):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    c = rng.normal(size=(centres, d))
+    v = c[rng.integers(0, centres, n)] + 0.25 * rng.normal(size=(n, d))
+    return spark.createDataFrame([(k, x) for k, x in enumerate(v.tolist())], "vec_id long, embedding array<double>").repartition(4)
+
+
+def test_lists_that_no_query_probes_are_not_read(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    e = clustered_vectors(spark)
+    q = e.where("vec_id in (5, 17, 99, 1234, 4321)")
+    index = ivf.fit(e)
+    stored = ivf.build(e, index, f"file://{tmp_path}/lists")
+    found = ivf.search(q, stored, 10)
+    exact = vectors.knn_exact(q, e)
+    recall = found.join(exact.select("query", "id"), ["query", "id"]).count() / exact.count()
+    asked = vectors.unit(__import__("numpy").array([r.embedding for r in q.collect()]))[0]
+    opened = {int(n) for n in index.probed(asked).ravel()}
+    whole = read = 0
+    for file in (tmp_path / "lists").glob("list=*/*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        sizes = [meta.row_group(g).column(c).total_compressed_size for g in range(meta.num_row_groups) for c in range(meta.num_columns)]
+        whole += sum(sizes)
+        read += sum(sizes) if int(file.parent.name[5:]) in opened else 0
+    print(f"recall {recall:.3f}, {len(opened)} of {len(index.centroids)} lists, {read / whole:.3f} of the bytes")
+    assert recall >= 0.9 and read < 0.5 * whole
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"PartitionFilters: \[[^]]*list#\d+ IN", plan)) == 1
+
+
+def test_codes_save_reading_vectors_and_never_lose_a_neighbour_by_rank(spark):
+    """With all lists probed and an error that covers every difference, the result is exact."""
+    import dataclasses
+
+    e = clustered_vectors(spark, n=900, d=8)
+    q = e.where("vec_id % 30 = 0")
+    index = dataclasses.replace(ivf.fit(e, lists=6), probes=6, error=1.0)
+    near = lambda df: sorted((r["query"], r["rank"], r.id, round(r.sim, 9)) for r in df.collect())
+    assert near(ivf.search(q, ivf.build(e, index), 7)) == near(vectors.knn_exact(q, e, 7))
+
+
 def test_approximate_neighbours_of_odd_rows(spark):
-    rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, 0.1])]
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, 0.1]), (5, [1.0, None]), (6, [1.0, 2.0, 3.0])]
     e = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert {(r.query, r.id) for r in ivf.knn_approx(e, e, 2, 2, 1.0).collect()} == {(1, 1), (1, 4), (4, 4), (4, 1)}
     assert ivf.knn_approx(e.limit(0), e.limit(0)).count() == 0
+    assert ivf.knn_approx(e.limit(0), e).count() == 0
 
 
 def test_upsert_is_idempotent(spark):
@@ -253,22 +367,6 @@ def test_a_timer_reports_users_who_fell_silent(spark, tmp_path):
     assert sorted((r.user_id, r.last.hour, r.n) for r in out.collect()) == [(1, 0, 1), (2, 17, 3)]
 
 
-def test_queries_go_out_in_blocks(spark, monkeypatch):
-    rng = random.Random(8)
-    rows = [(k, [rng.gauss(0, 1) for _ in range(4)]) for k in range(60)]
-    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
-    index = ivf.fit(e, lists=4, recall=1.0)
-    search = {"exact": lambda: vectors.knn_exact(e, e, 3), "lists": lambda: ivf.search(e, ivf.assign(e, index), index, 3)}
-    found = lambda run: sorted((r.query, r["rank"], r.id, round(r.sim, 9)) for r in run().collect())
-    once = {name: found(run) for name, run in search.items()}
-    monkeypatch.setattr(vectors, "QUERY_BLOCK", 20)
-    monkeypatch.setattr(ivf, "QUERY_BLOCK", 20)
-    for name, run in search.items():
-        assert found(run) == once[name]
-    plan = vectors.knn_exact(e, e, 3)._jdf.queryExecution().executedPlan().toString()
-    assert "MapInArrow" not in plan
-
-
 def test_join_strategies(spark):
     left = spark.createDataFrame([(k % 7 if k % 5 else None, k) for k in range(40)], "k long, a long")
     right = spark.createDataFrame([(k if k else None, 10 * k) for k in range(9)], "k long, b long")
