@@ -19,8 +19,8 @@ FILTERS = "ABCDE"
 LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS, SIGNS = 200, 50, 2, b"#$%&*|"
 #: The bit of filter E, an exact copy of an earlier text.
 COPY = 1 << FILTERS.index("E")
-#: Bytes of distinct texts that a task remembers at a time, to tell copies before they are routed.
-SEEN_BYTES = 16 << 20
+#: Bytes of distinct texts that a task remembers at a time, to tell copies before they are routed, and bytes of all texts for each partition they are routed to.
+SEEN_BYTES, ROUTED_BYTES = 16 << 20, 64 << 20
 _CAPITALS, _CONTINUED = bytes(range(65, 91)), bytes(range(0x80, 0xC0))
 _MASKS = 1 << len(FILTERS)
 
@@ -139,7 +139,8 @@ def failed_filters(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col), F.coalesce(F.col(source_col).cast("string"), F.lit("")), F.col(text_col).cast("string").cast("binary")).rdd
-    routed = own.mapPartitions(_route).repartitionAndSortWithinPartitions(max(own.getNumPartitions(), own.context.defaultParallelism), lambda key: key)
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long"))).first()[0] or 0
+    routed = own.mapPartitions(_route).repartitionAndSortWithinPartitions(max(own.context.defaultParallelism, -(-size // ROUTED_BYTES)), lambda key: key)
     return docs.sparkSession.createDataFrame(routed.mapPartitions(_settle), f"id {kind}, source string, mask int, n long", verifySchema=False)
 
 
