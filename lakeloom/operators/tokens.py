@@ -19,12 +19,17 @@ def token_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     takes n log n steps within the row and nothing is exchanged. An id that
     repeats is counted row by row; null and empty texts have no token.
     """
-    # Each step is a column of its own: a lambda would compute an expression anew for every element.
     own = docs.select(F.col(id_col), F.sort_array(tokens(F.col(text_col))).alias("__t")).where(F.size("__t") > 0)
-    places = F.sequence(F.lit(0), F.size("__t") - 1)
-    own = own.withColumn("__p", F.filter(places, lambda i: (i == 0) | (F.get("__t", i - 1) != F.get("__t", i))))
-    runs = F.transform("__p", lambda p, k: F.struct(F.get("__t", p).alias("tok"), (F.coalesce(F.get("__p", k + 1), F.size("__t")) - p).cast("long").alias("n")))
-    return own.select(id_col, F.explode(runs).alias("__r")).select(id_col, "__r.tok", "__r.n")
+    return with_runs(own, "__t", "__r").select(id_col, F.explode("__r").alias("__r")).select(id_col, "__r.tok", "__r.n")
+
+
+def with_runs(df: DataFrame, column: str, name: str) -> DataFrame:
+    """``df`` with the runs of equal values of a sorted, non-empty array, as structs (tok, n)."""
+    # Each step is a column of its own: a lambda would compute an expression anew for every element.
+    places = F.sequence(F.lit(0), F.size(column) - 1)
+    own = df.withColumn("__p", F.filter(places, lambda i: (i == 0) | (F.get(column, i - 1) != F.get(column, i))))
+    runs = F.transform("__p", lambda p, k: F.struct(F.get(column, p).alias("tok"), (F.coalesce(F.get("__p", k + 1), F.size(column)) - p).cast("long").alias("n")))
+    return own.withColumn(name, runs).drop("__p")
 
 
 @cache

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lakeloom.operators import tdigest
 from lakeloom.operators.joins import equi_join
 from lakeloom.operators.timejoins import asof_join, range_join
 from lakeloom.plans.query import Query
@@ -101,16 +102,22 @@ def scalar_udf(spark, sf_dir):
     return li.groupBy("l_orderkey").agg(F.round(F.sum(discounted("l_extendedprice", "l_discount")), 6).alias("net"))
 
 
-def aggregate_udf(spark, sf_dir):
-    """Greatest less least price; each Arrow batch gives a row for each of its groups, which are merged like any aggregate."""
+SHARES = [0.01, 0.25, 0.5, 0.75, 0.99]
+
 
-    def partial(frames):
-        for x in frames:
-            own = x.groupby("o_orderpriority", dropna=False)["o_totalprice"].agg(["min", "max"]).reset_index()
-            yield own.rename(columns={"min": "low", "max": "high"})
+def tdigest_quantiles(spark, sf_dir):
+    """Estimates, so without SQL; tests hold them against exact ranks."""
+    digests = tdigest.tdigest(table(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice")
+    return tdigest.quantiles_of(digests, SHARES).select("o_orderpriority", "n", "quantiles")
 
-    rows = table(spark, sf_dir, "orders").select("o_orderpriority", "o_totalprice").mapInPandas(partial, "o_orderpriority string, low double, high double")
-    return rows.groupBy("o_orderpriority").agg(F.round(F.max("high") - F.min("low"), 6).alias("spread"))
+
+def aggregate_udf(spark, sf_dir):
+    """Count and spread from digests of each priority, and whether all quantiles' exact ranks are within a hundredth."""
+    orders = table(spark, sf_dir, "orders").select("o_orderpriority", "o_totalprice")
+    found = tdigest.quantiles_of(tdigest.tdigest(orders, "o_orderpriority", "o_totalprice"), SHARES)
+    ranks = [F.avg((F.col("o_totalprice") <= F.col("quantiles")[k]).cast("double")) - s for k, s in enumerate(SHARES)]
+    near = equi_join(orders, found.select("o_orderpriority", "quantiles"), ["o_orderpriority"]).groupBy("o_orderpriority").agg((F.greatest(*[F.abs(r) for r in ranks]) < 0.01).alias("within"))
+    return found.join(near, "o_orderpriority").select("o_orderpriority", F.round(F.col("high") - F.col("low"), 6).alias("spread"), "n", "within")
 
 
 class Words:
@@ -215,6 +222,7 @@ QUERIES = {
         SESSIONS_SQL,
     ),
     "scalar_udf": Query(scalar_udf, "SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 6) AS net FROM lineitem GROUP BY 1"),
-    "aggregate_udf": Query(aggregate_udf, "SELECT o_orderpriority, round(max(o_totalprice) - min(o_totalprice), 6) AS spread FROM orders GROUP BY 1"),
+    "aggregate_udf": Query(aggregate_udf, "SELECT o_orderpriority, round(max(o_totalprice) - min(o_totalprice), 6) AS spread, count(o_totalprice) AS n, true AS within FROM orders GROUP BY 1"),
+    "tdigest_quantiles": Query(tdigest_quantiles),
     "table_udf": Query(table_udf, "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS part, (generate_subscripts(string_split(p_name, ' '), 1) - 1)::int AS at FROM part"),
 }

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lakeloom.functions.text import html_to_text
-from lakeloom.operators import chunking, fusion, grid, minhash, structured, summaries, vectors
+from lakeloom.operators import bm25_index, chunking, fusion, grid, minhash, structured, summaries, vectors
 from lakeloom.operators.bm25 import bm25
 from lakeloom.operators.ivf import knn_approx as ivf_search
+from lakeloom.operators.pages import page_texts
 from lakeloom.operators.tokens import bpe_count, token_counts
 from lakeloom.plans.query import Query
 from lakeloom.sources.tables import table
@@ -40,6 +41,12 @@ def bm25_topk(spark, sf_dir, k: int = 10):
     return bm25_scores(spark, sf_dir).orderBy(F.desc("score"), "doc_id").limit(k)
 
 
+def bm25_indexed(spark, sf_dir, k: int = 10):
+    """The same rows as ``bm25_topk`` from an index of all documents, blocks that can't count passed over."""
+    index = bm25_index.build(table(spark, sf_dir, "documents"))
+    return bm25_index.topk(spark, index, TERMS, k, digits=6).withColumnRenamed("id", "doc_id")
+
+
 def tokenize(spark, sf_dir):
     """Token counts of each document, taken within its row."""
     return token_counts(table(spark, sf_dir, "documents"))
@@ -51,6 +58,11 @@ def page_text(spark, sf_dir):
     return pages.select("page_id", "url", html_to_text(F.col("html")).alias("text"))
 
 
+def page_main_text(spark, sf_dir):
+    """Title, text and main text of every raw page, by states that SQL can't express."""
+    return page_texts(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def distinct_texts(spark, sf_dir):
     """Every text once, by digest, with how many documents have it and the first of them."""
     docs = table(spark, sf_dir, "documents")
@@ -206,8 +218,10 @@ QUERIES = {
     "retrieval_metrics": Query(retrieval_metrics, METRICS_SQL),
     "bm25": Query(bm25_scores, BM25_SQL),
     "bm25_topk": Query(bm25_topk, BM25_SQL + " ORDER BY score DESC, doc_id LIMIT 10"),
+    "bm25_indexed": Query(bm25_indexed, BM25_SQL + " ORDER BY score DESC, doc_id LIMIT 10"),
     "tokenize": Query(tokenize, r"SELECT doc_id, tok, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS tok FROM documents) GROUP BY 1, 2"),
     "page_text": Query(page_text, r"SELECT page_id, url, regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gs'), '<[^>]*>', ' ', 'g') AS text FROM pages"),
+    "page_main_text": Query(page_main_text),
     "distinct_texts": Query(distinct_texts, "SELECT md5(text) AS md5, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1"),
     "near_duplicate_texts": Query(near_duplicate_texts),
     "client_embeddings": Query(client_embeddings, "SELECT doc_id, " + ", ".join(f"(length(coalesce(text, '')) - length(replace(coalesce(text, ''), '{c}', '')))::double AS {c}" for c in "aeiou") + " FROM documents"),

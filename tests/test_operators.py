@@ -276,7 +276,7 @@ def test_files_round_trip_and_python_source(spark, tmp_path):
     assert sorted(map(tuple, rows)) == [(k, k * k) for k in range(10)]
 
 
-def test_summaries(spark):
+def test_summaries(spark, monkeypatch):
     df = spark.createDataFrame([("a", float(k)) for k in range(5)] + [("b", None)], "g string, v double")
     got = {r.g: (r.n, r["median"]) for r in summaries.describe(df, "g", "v").collect()}
     assert got == {"a": (5, 2.0), "b": (0, None)}
@@ -286,6 +286,10 @@ def test_summaries(spark):
     exact = wide.groupBy("g").agg(*[F.round(F.percentile("v", F.lit(q)), 6).alias(name) for name, q in summaries.QUARTILES.items()])
     same = lambda df: sorted((str(r.g), r.q1, r["median"], r.q3) for r in df.collect())
     assert same(summaries.describe(wide, "g", "v")) == same(exact)
+    monkeypatch.setattr(summaries, "FEW", 1)
+    monkeypatch.setattr(summaries, "PIECES", 3)
+    assert same(summaries.describe(wide, "g", "v")) == same(exact)
+    assert summaries.describe(wide.limit(0), "g", "v").count() == 0
     assert {r.bin: r.n for r in summaries.histogram(df, F.col("v"), 2.0).collect()} == {0: 2, 1: 2, 2: 1}
 
 
