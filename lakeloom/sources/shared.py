@@ -6,10 +6,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
+#: For each ``cleared`` that is entered, the scratch folders made within it.
+_made: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,9 +40,29 @@ def scratch(spark: SparkSession, tag: str) -> str:
     fs, at = _file_system(spark, path)
     fs.mkdirs(at)
     fs.deleteOnExit(at)
+    for made in _made:
+        made.append(path)
     return path
 
 
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Scratch folders made within it are removed at its end, but for staged tables given to ``keep``, which it yields.
+
+    What is read lazily from the others must have been written by then.
+    """
+    made: list[str] = []
+    kept: set[str] = set()
+    _made.append(made)
+    try:
+        yield lambda df: (kept.add(df._staged_at), df)[1]
+    finally:
+        _made[:] = [x for x in _made if x is not made]
+        for path in made:
+            if path not in kept:
+                remove(spark, path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Removes a folder that nothing will read again."""
     fs, at = _file_system(spark, path)
