@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm.common import LOWER, slices, stage, unstage, utf8
 
-#: Lines or paragraphs of fewer words (headings, list items, licence lines) may repeat.
+#: Lines or paragraphs of fewer words (headings, list items, licence lines) may repeat, but not so many in a row that they reach it together.
 MIN_WORDS = 25
 #: What stands between units.
 SEPARATORS = {"line": "\n", "paragraph": "\n\n"}
@@ -75,7 +75,9 @@ def units(texts: list[bytes], known: dict, unit: str = "line", min_words: int =
     """(text, start, end, digest) of all units of the texts, places in code points.
 
     Units are lines or paragraphs of at least ``min_words`` words, from end
-    to end, and the runs that ``marked_runs`` finds. A digest is the XXH128
+    to end; from each shorter one on as many whole ones as reach that number
+    together; whole texts, however short; and the runs that ``marked_runs``
+    finds. A digest is the XXH128
     of the unit's words, A-Z lower-cased and joined by a space, so that case
     and spacing make no difference.
     """
@@ -92,8 +94,19 @@ def units(texts: list[bytes], known: dict, unit: str = "line", min_words: int =
     piece_start = np.concatenate([p[:-1] + b for p, b in zip(pieces, base.tolist(), strict=True)]) if texts else base
     piece_end = np.concatenate([p[1:] + b for p, b in zip(pieces, base.tolist(), strict=True)]) - len(sep) if texts else base
     begin, end = np.searchsorted(starts, piece_start), np.searchsorted(starts, piece_end)
-    long = np.flatnonzero(end - begin >= max(1, min_words))
-    text, at, to, begin, end = piece_text[long], piece_start[long], piece_end[long], begin[long], end[long]
+    own_text, sizes_in_words = piece_text, end - begin
+    long = np.flatnonzero(sizes_in_words >= max(1, min_words))
+    short = np.flatnonzero((sizes_in_words > 0) & (sizes_in_words < min_words))
+    last = np.searchsorted(end, begin[short] + min_words - 1, "right")
+    within = last < len(end)
+    short, last = short[within], last[within]
+    within = own_text[last] == own_text[short]
+    first, last = np.concatenate((long, short[within])), np.concatenate((long, last[within]))
+    text, at, to, begin, end = piece_text[first], piece_start[first], piece_end[last], begin[first], end[last]
+    whole_begin, whole_end = np.searchsorted(starts, base), np.searchsorted(starts, base + sizes)
+    whole = np.flatnonzero(whole_end > whole_begin)
+    text, at, to = np.concatenate((text, whole)), np.concatenate((at, base[whole])), np.concatenate((to, (base + sizes)[whole]))
+    begin, end = np.concatenate((begin, whole_begin[whole])), np.concatenate((end, whole_end[whole]))
     if passage:
         word_text = np.searchsorted(base, starts, "right") - 1
         place = np.arange(len(starts)) - np.searchsorted(starts, base)[word_text]
@@ -136,15 +149,18 @@ def without(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[in
 def dedup_units(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", min_words: int = MIN_WORDS, passage: int | None = PASSAGE) -> DataFrame:
     """``docs`` with repeated units cut from the text, and ``removed_spans``.
 
-    Units are lines (or paragraphs) of at least ``min_words`` words and, as a
-    passage may begin within a line or be wrapped in another way, runs of
-    (passage + 1) // 2 words that content marks out (``marked_runs``): every
-    ``passage`` words in a row hold one, the same wherever they occur.
-    ``passage=None`` leaves lines or paragraphs alone. Of equal units over
+    Units are lines (or paragraphs) of at least ``min_words`` words, shorter
+    ones in a row from each on until they reach that number, whole texts and,
+    as a passage may begin within a line or be wrapped in another way, runs
+    of (passage + 1) // 2 words that content marks out (``marked_runs``):
+    every ``passage`` words in a row hold one, the same wherever they occur.
+    ``passage=None`` leaves these out. Of equal units over
     all documents the one with the smallest (id, offset) stays and the rest
     go, but for those that overlap it. So of a passage of at least
     ``passage`` words that occurred before, all goes but less than a run at
-    either end, which the passage's neighbours decide on.
+    either end, which the passage's neighbours decide on. A text that an
+    earlier document has as a whole goes whole, even one of a few words; a
+    single short line or paragraph of other texts may repeat.
 
     ``removed_spans`` has the sorted (start, end) code points cut, in the
     original text, so that every kept character can be traced back; it
@@ -278,7 +294,13 @@ rn AS (SELECT doc_id, i, n, start, lead(stop, 25) OVER x AS stop, string_agg(wor
        FROM wd WINDOW x AS (PARTITION BY doc_id ORDER BY i), y AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 25 FOLLOWING)),
 ms AS (SELECT doc_id, i, n, min(v) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 25 FOLLOWING) AS m FROM rn WHERE i <= n - 26),
 ch AS (SELECT DISTINCT doc_id, 16777215 - m % 16777216 AS i FROM ms WHERE i <= n - 51),
+lw AS (SELECT doc_id, start, start + length(line) AS stop, len(w) AS n, coalesce(sum(len(w)) OVER (PARTITION BY doc_id ORDER BY start, length(line) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS wb FROM lp),
+dw AS (SELECT doc_id, length(text) AS size, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM d),
+sr AS (SELECT a.doc_id, a.start, b.stop, a.wb, b.wb + b.n AS we FROM (SELECT *, wb + 24 AS last FROM lw WHERE n BETWEEN 1 AND 24) a
+       ASOF JOIN (SELECT * FROM lw WHERE n > 0) b ON a.doc_id = b.doc_id AND a.last >= b.wb WHERE a.last < b.wb + b.n),
 un AS (SELECT doc_id, start, start + length(line) AS stop, array_to_string(w, ' ') AS unit FROM lp WHERE len(w) >= 25
+       UNION ALL SELECT doc_id, start, stop, array_to_string(w[wb + 1:we], ' ') FROM sr JOIN dw USING (doc_id)
+       UNION ALL SELECT doc_id, 0, size, array_to_string(w, ' ') FROM dw WHERE len(w) > 0
        UNION ALL SELECT doc_id, start, stop, unit FROM rn JOIN ch USING (doc_id, i)),
 fs AS (SELECT doc_id, start, stop, first_value(doc_id) OVER x AS first_id, first_value(stop) OVER x AS first_stop FROM un WINDOW x AS (PARTITION BY unit ORDER BY doc_id, start, stop)),
 ct AS (SELECT DISTINCT doc_id, start, stop FROM fs WHERE doc_id <> first_id OR start >= first_stop),

@@ -18,12 +18,22 @@ def lower(text):
 
 def naive_units(text, unit, least, passage):
     """(start, end, words) of all units, by the definition."""
-    sep, at, out = {"line": "\n", "paragraph": "\n\n"}[unit], 0, []
+    sep, at, pieces, out = {"line": "\n", "paragraph": "\n\n"}[unit], 0, [], []
     for piece in text.split(sep):
-        norm = tuple(re.findall(r"[^\x20\x09-\x0D]+", lower(piece)))
-        if len(norm) >= max(1, least):
-            out.append((at, at + len(piece), norm))
+        pieces.append((at, at + len(piece), tuple(re.findall(r"[^\x20\x09-\x0D]+", lower(piece)))))
         at += len(piece) + len(sep)
+    for k, (a, b, norm) in enumerate(pieces):
+        if len(norm) >= max(1, least):
+            out.append((a, b, norm))
+        elif norm:
+            together = ()
+            for _, b, more in pieces[k:]:
+                together += more
+                if len(together) >= least:
+                    out.append((a, b, together))
+                    break
+    if whole := sum((norm for _, _, norm in pieces), ()):
+        out.append((0, len(text), whole))
     if passage:
         words, run = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[^\x20\x09-\x0D]+", lower(text))], (passage + 1) // 2
         digest = lambda w: int.from_bytes(hashlib.md5(w.encode()).digest()[8:], "little") % 2**40
@@ -113,7 +123,7 @@ def test_odd_rows(spark):
             text.setdefault(r.doc_id, []).append(r.text)
         assert text[1] == [None] and text[2] == [""] and text[3] == [""] and text[4] == ["own\nend"] and text[5] == [""] and text[6] == [""]
         assert any(LINE in t for t in text[None]) and text[8] == ["same"] * 2 and text[9] == ["x"] * 2
-        assert text[10] == text[11] == ["short line"]
+        assert text[10] == ["short line"] and text[11] == [""]
     out = line_dedup.dedup_units(spark.createDataFrame([(7, long)], "doc_id long, text string"), passage=None).first()
     assert out.text == "\n".join(long.split("\n")[:2000])
 
@@ -132,6 +142,19 @@ def test_a_passage_goes_however_it_is_wrapped(spark, seed):
         assert [w for w in left if w not in passage] == [w for w in rows[k][1].split() if w not in passage]
 
 
+def test_short_copies_and_short_lines_in_a_row_go(spark):
+    rng = random.Random(9)
+    own = lambda n: " ".join(f"o{rng.randrange(10**9)}" for _ in range(n))
+    verse = [own(9) for _ in range(4)]
+    rows = [(1, "A few words"), (2, "a  few\nwords"), (3, "A few words more"), (4, "one\n\ntwo\n"), (5, "one two"), (6, "  \n"), (7, " ")]
+    rows += [(10, "\n".join([own(3), *verse, own(4)])), (11, "\n".join([own(12), verse[0], "", *verse[1:], own(2)])), (12, "\n".join([own(12), verse[0], own(20), verse[1]]))]
+    out = {r.doc_id: r.text for r in line_dedup.dedup_units(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()}
+    assert [out[k] for k in range(1, 8)] == ["A few words", "", "A few words more", "one\n\ntwo\n", "", "  \n", " "]
+    assert out[10] == rows[7][1] and out[12] == rows[9][1]
+    lines = rows[8][1].split("\n")
+    assert out[11] == "\n".join([lines[0], lines[-1]])
+
+
 def test_figures_and_empty_table(spark):
     none = line_dedup.dedup_units(spark.createDataFrame([], "doc_id long, text string"))
     assert none.count() == 0
