@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.llm import decontaminate, line_dedup, packing, quality, simhash
-from lakeloom.llm.common import bucket_of, stage
+from lakeloom.llm.common import bucket_of
+from lakeloom.operators import minhash
+from lakeloom.sources.shared import cleared, stage, unstage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -28,8 +30,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates by shingles of five words the document with the smallest id."""
-    return simhash.one_of_each(docs.select(COLUMNS), width=5)
+    """Of each group of near-duplicates by shingles of five words the document with the smallest id.
+
+    Three differing bits find copies and little else, so of the documents
+    that SimHash leaves, those of a Jaccard similarity of 0.8 or more are
+    found by MinHash and checked.
+    """
+    return minhash.one_of_each(simhash.one_of_each(docs.select(COLUMNS), width=5))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,8 +73,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows, all stages applied to ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows, all stages applied to ``documents``.
+
+    What a stage stages on its way goes when its result is written, and that
+    when the next one's is.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, apply in STAGES[:-1]:
-        docs = stage(apply(spark, docs, sf_dir), name.replace(" ", "-"))
+        with cleared(spark) as keep:
+            docs = keep(stage(apply(spark, docs, sf_dir), name.replace(" ", "-")))
+        if before is not None:
+            unstage(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
