@@ -25,7 +25,7 @@ def plain(docs, terms, k, digits):
 def test_it_ranks_as_all_scores_do(spark, monkeypatch):
     docs = some_docs(spark)
     for block, shard, first, named in ((7, 9, 16, 4096), (2, 2, 1, 3)):
-        for name, value in (("BLOCK_BITS", block), ("SHARD_BITS", shard), ("FIRST", first), ("NAMED", named)):
+        for name, value in (("BLOCK_BITS", block), ("SHARD_BITS", shard), ("FIRST", first), ("NAMED", named), ("HELD", 5 * first)):
             monkeypatch.setattr(bm25_index, name, value)
         index = bm25_index.build(docs)
         for terms in (["w1", "W1", "w40"], ["w3", "é", "absent"], WORDS[:9], ["absent"], []):
@@ -45,7 +45,7 @@ def test_postings_of_other_blocks_are_not_read(spark, tmp_path, monkeypatch):
     want = plain(docs, ["rare", "common"], 3, 6)
     bounds = {}
     for r in spark.read.parquet(f"file://{tmp_path}/index/blocks").where("term in ('rare', 'common')").collect():
-        bounds.setdefault(r.shard, []).append(r)
+        bounds.setdefault(r.block >> 1, []).append(r)
     spared = []
     removed = 0
     for folder in (tmp_path / "index" / "postings").glob("shard=*"):
@@ -64,25 +64,21 @@ def test_few_postings_pass_the_scan(spark, monkeypatch):
         monkeypatch.setattr(bm25_index, name, value)
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(4)
     index = bm25_index.build(docs)
-    read, real = [], bm25_index._postings
+    read, real = [], bm25_index.Index.postings
 
-    def counted(*x):
-        out = real(*x)
-        return out if len(x) < 3 else _Seen(out, read)
-
-    class _Seen:
+    class Seen:
         """Keeps what ``where`` leaves of the table."""
 
-        def __init__(self, df, read):
-            self.df, self.read = df, read
+        def __init__(self, df):
+            self.df = df
 
         def where(self, condition):
             kept = self.df.where(condition)
-            self.read.append(kept.select("shard", "block").distinct().count())
+            read.append(kept.select("block").distinct().count())
             return kept
 
-    monkeypatch.setattr(bm25_index, "_postings", counted)
-    whole = real(spark, index.folder).select("shard", "block").distinct().count()
+    whole = real(index, spark).select("block").distinct().count()
+    monkeypatch.setattr(bm25_index.Index, "postings", lambda *x: Seen(real(*x)))
     terms = ["that", "erblest", "hein"]
     got = [(r.id, r.score) for r in bm25_index.topk(spark, index, terms, 10, digits=6).collect()]
     assert got == plain(docs, terms, 10, 6)
