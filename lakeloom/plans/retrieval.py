@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lakeloom.functions.text import html_to_text
-from lakeloom.operators import bm25_index, chunking, fusion, grid, minhash, structured, summaries, vectors
+from lakeloom.operators import bm25_index, chunking, fusion, grid, minhash, stored, structured, summaries, vectors
 from lakeloom.operators.bm25 import bm25
 from lakeloom.operators.ivf import knn_approx as ivf_search
 from lakeloom.operators.pages import page_texts
 from lakeloom.operators.tokens import bpe_count, token_counts
 from lakeloom.plans.query import Query
+from lakeloom.sources.shared import scratch
 from lakeloom.sources.tables import table
 
 TERMS = ["that", "erblest", "hein"]
@@ -143,6 +144,16 @@ def vector_upsert(spark, sf_dir):
     return vectors.upsert(e, first.unionByName(second))
 
 
+def stored_upsert(spark, sf_dir):
+    """The same changes to a table in buckets on disk, one after the other; a second run of the last rewrites nothing."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    kept = stored.create(e, scratch(spark, "stored") + "/rows", buckets=16)
+    kept.upsert(e.where("vec_id % 5 = 0").select("vec_id", F.lit(100).alias("label"), F.lit(1).alias("version"), F.lit(False).alias("deleted")))
+    gone = e.where("vec_id % 7 = 0").select("vec_id", "label", F.lit(2).alias("version"), F.lit(True).alias("deleted"))
+    kept.upsert(gone)
+    return kept.rows().withColumn("again", F.lit(kept.upsert(gone)))
+
+
 def rrf(spark, sf_dir):
     """BM25's hundred best fused with the hundred vectors nearest to each query, on the number alone."""
     e = table(spark, sf_dir, "embeddings")
@@ -245,6 +256,7 @@ QUERIES = {
         FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0) q""",
     ),
     "vector_upsert": Query(vector_upsert, "SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 100 ELSE label END AS label FROM embeddings WHERE vec_id % 7 <> 0"),
+    "stored_upsert": Query(stored_upsert, "SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 100 ELSE label END AS label, 0 AS again FROM embeddings WHERE vec_id % 7 <> 0"),
     "rrf": Query(
         rrf,
         f"""WITH b AS ({BM25_SQL}), l AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM b QUALIFY r <= 100),

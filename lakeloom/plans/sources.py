@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.plans.query import Query
-from lakeloom.sources.files import SquaresSource, read_table, write_table
+from lakeloom.sources.files import read_table, write_table
 from lakeloom.sources.jsonl import JsonLinesSource
+from lakeloom.sources.log import LogSource
 from lakeloom.sources.shared import scratch
 from lakeloom.sources.tables import table
 
@@ -45,8 +46,12 @@ def _round_trip(kind: str):
 
 
 def python_source(spark, sf_dir):
-    spark.dataSource.register(SquaresSource)
-    return spark.read.format(SquaresSource.name()).option("rows", 1000).load()
+    """Purchases of some users by the source in Python, which takes both filters over and skips row groups by them."""
+    spark.dataSource.register(LogSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    path = f"{sf_dir.rstrip('/')}/events.parquet"
+    events = spark.read.format(LogSource.name()).option("path", path).option("columns", "event_id,user_id,event_type,value").load()
+    return events.where("event_type = 'purchase' and user_id < 1000000 and value > 10").select("event_id", "user_id", "value")
 
 
 def jsonl_round_trip(spark, sf_dir):
@@ -67,5 +72,5 @@ QUERIES = {
     "orc_round_trip": Query(_round_trip("orc"), _WHOLE),
     "jsonl_round_trip": Query(jsonl_round_trip, _WHOLE),
     "text_round_trip": Query(_round_trip("text"), "SELECT c_custkey, c_name FROM customer"),
-    "python_source": Query(python_source, "SELECT range AS k, range * range AS square FROM range(1000)"),
+    "python_source": Query(python_source, "SELECT event_id, user_id, value FROM events WHERE event_type = 'purchase' AND user_id < 1000000 AND value > 10"),
 }

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.plans.query import Query
 from lakeloom.plans.relational import SESSIONS_SQL
+from lakeloom.sources.log import LogSource
 from lakeloom.streaming import queries as streaming
 
 
@@ -49,6 +50,25 @@ def stream_join(spark, sf_dir):
     return streaming.drain(streaming.joined(events, _stream(spark, sf_dir))).select("first_id", "second_id")
 
 
+def outer_join(spark, sf_dir):
+    """Purchases and the views of their user within the half hour after, or null where none came before the watermark passed."""
+    events = _stream(spark, sf_dir)
+    out = streaming.joined_outer(events.where("event_type = 'purchase'"), _stream(spark, sf_dir).where("event_type = 'view'"))
+    return streaming.drain(out.select("first_id", "second_id"))
+
+
+def funnels(spark, sf_dir):
+    """View, click and purchase in order within a day, by state, so without SQL; a test has a plain version."""
+    return streaming.drain(streaming.funnels(_stream(spark, sf_dir)))
+
+
+def log_stream(spark, sf_dir):
+    """All events by the source in Python, followed as a stream."""
+    spark.dataSource.register(LogSource)
+    path = f"{sf_dir.rstrip('/')}/events.parquet"
+    return streaming.drain(spark.readStream.format(LogSource.name()).option("path", path).option("columns", "event_id,event_type,value").load())
+
+
 QUERIES = {
     "stream_tumbling": Query(tumbling, "SELECT date_trunc('day', ts)::timestamp AS start, event_type, count(*) AS n, round(sum(value), 6) AS value FROM events GROUP BY 1, 2"),
     "stream_sliding": Query(
@@ -63,4 +83,13 @@ QUERIES = {
     ),
     "stream_dedup": Query(deduplicated, "SELECT event_id, event_type FROM events"),
     "stream_join": Query(stream_join, "SELECT a.event_id AS first_id, b.event_id AS second_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 30 MINUTE"),
+    "stream_outer_join": Query(
+        outer_join,
+        """WITH p AS (SELECT * FROM events WHERE event_type = 'purchase'), v AS (SELECT * FROM events WHERE event_type = 'view'),
+        w AS (SELECT date_trunc('millisecond', least((SELECT max(ts) FROM p), (SELECT max(ts) FROM v))) - INTERVAL 1 HOUR AS w)
+        SELECT p.event_id AS first_id, v.event_id AS second_id FROM p LEFT JOIN v ON p.user_id = v.user_id AND v.ts > p.ts AND v.ts <= p.ts + INTERVAL 30 MINUTE, w
+        WHERE v.event_id IS NOT NULL OR p.ts + INTERVAL 30 MINUTE <= w""",
+    ),
+    "stream_funnels": Query(funnels),
+    "log_stream": Query(log_stream, "SELECT event_id, event_type, value FROM events"),
 }

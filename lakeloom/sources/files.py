@@ -1,11 +1,8 @@
-"""Text-based sources and sinks, and a generated source."""
+"""Sources and sinks that Spark has, with their settings in one place."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Values keep their own white space.
 _CSV = {"header": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
@@ -29,35 +26,3 @@ def read_table(spark: SparkSession, path: str, kind: str = "parquet", schema: st
     own = _CSV if kind == "csv" else {}
     reader = spark.read.format(kind).options(**own | options)
     return (reader.schema(schema) if schema else reader).load(path)
-
-
-class _Range(InputPartition):
-    def __init__(self, start: int, end: int):
-        self.start, self.end = start, end
-
-
-class _RangeReader(DataSourceReader):
-    def __init__(self, rows: int, parts: int):
-        self.rows, self.parts = rows, parts
-
-    def partitions(self) -> list[InputPartition]:
-        step = -(-self.rows // self.parts) if self.rows else 1
-        return [_Range(a, min(a + step, self.rows)) for a in range(0, self.rows, step)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for k in range(partition.start, partition.end):
-            yield k, k * k
-
-
-class SquaresSource(DataSource):
-    """``(k, square)`` for k below the option ``rows``, in ``parts`` partitions; a source in Python."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "lakeloom_squares"
-
-    def schema(self) -> str:
-        return "k long, square long"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _RangeReader(int(self.options.get("rows", 0)), int(self.options.get("parts", 4)))

@@ -88,6 +88,12 @@ def unstage(df: DataFrame) -> None:
     remove(df.sparkSession, df._staged_at)
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is one file and no folder."""
+    fs, at = _file_system(spark, path)
+    return fs.getFileStatus(at).isFile()
+
+
 def _file_system(spark: SparkSession, path: str):
     # PySpark has no public call that removes files of any file system.
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -12,16 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
-from lakeloom.sources.shared import scratch
+from lakeloom.sources.shared import is_file, scratch
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
     """The Parquet files of ``path`` as a stream; ``ts`` becomes a TIMESTAMP, which watermarks need."""
     folder, _, name = path.rpartition("/")
-    schema = spark.read.parquet(path).schema
-    whole = spark.read.parquet(path).inputFiles()
-    own = spark.readStream.schema(schema)
-    stream = own.parquet(path) if len(whole) > 1 or not whole[0].endswith(name) else own.option("pathGlobFilter", name).parquet(folder)
+    own = spark.readStream.schema(spark.read.parquet(path).schema)
+    stream = own.option("pathGlobFilter", name).parquet(folder) if is_file(spark, path) else own.parquet(path)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -99,6 +97,18 @@ def joined(left: DataFrame, right: DataFrame, late: str = "1 hour", apart: str =
     return a.join(b, F.expr(f"user_id = __u and second_ts > first_ts and second_ts <= first_ts + {apart}")).drop("__u")
 
 
+def joined_outer(left: DataFrame, right: DataFrame, late: str = "1 hour", apart: str = "interval 30 minutes", how: str = "left_outer") -> DataFrame:
+    """``joined``, and events that found none on the other side (of the left, the right or either, by ``how``).
+
+    An event without a partner is given out when the watermark, which follows
+    the slower side, has passed the last time at which one could have come;
+    its state goes then, as does that of events that found theirs.
+    """
+    a = left.withWatermark("ts", late).select(F.col("user_id").alias("first_user"), F.col("event_id").alias("first_id"), F.col("ts").alias("first_ts"))
+    b = right.withWatermark("ts", late).select(F.col("user_id").alias("second_user"), F.col("event_id").alias("second_id"), F.col("ts").alias("second_ts"))
+    return a.join(b, F.expr(f"first_user = second_user and second_ts > first_ts and second_ts <= first_ts + {apart}"), how)
+
+
 class RunningTotals(StatefulProcessor):
     """Number and sum of a user's events so far, one value of state for each user."""
 
@@ -151,6 +161,73 @@ class IdleUsers(StatefulProcessor):
         pass
 
 
+class Funnel(StatefulProcessor):
+    """Steps that a user takes in order, each within a time of the first.
+
+    Events wait in a list until the watermark passes them, so that they are
+    taken in order of time however they came. A map holds, for each number of
+    steps taken, when the latest such attempt began and with which event. An
+    attempt that runs out of time is removed by a timer of its own: state
+    with a time to live would go by the clock of the machine, and results
+    would depend on when a batch runs.
+    """
+
+    def __init__(self, steps: tuple[str, ...], within_ms: int):
+        self.steps, self.within = steps, within_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ms long, event_id long, step int")
+        self.begun = handle.getMapState("begun", "steps int", "ms long, event_id long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for x in rows:
+            own = [(int(ms), int(e), self.steps.index(kind)) for ms, e, kind in zip(x["ms"], x["event_id"], x["event_type"], strict=True) if kind in self.steps]
+            if own:
+                self.waiting.appendList(own)
+                for ms in {ms for ms, _, _ in own}:
+                    self.handle.registerTimer(ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed = expiredTimerInfo.getExpiryTimeInMs()
+        waiting = sorted(tuple(x) for x in self.waiting.get()) if self.waiting.exists() else []
+        due = [x for x in waiting if x[0] <= passed]
+        if due:
+            self.waiting.put(waiting[len(due) :]) if len(due) < len(waiting) else self.waiting.clear()
+        done = []
+        for ms, event, step in due:
+            if step == 0:
+                self.begun.updateValue((1,), (ms, event))
+                self.handle.registerTimer(ms + self.within + 1)
+            elif self.begun.containsKey((step,)) and ms - (first := self.begun.getValue((step,)))[0] <= self.within:
+                self.begun.removeKey((step,))
+                if step + 1 == len(self.steps):
+                    done.append((key[0], first[1], event, ms - first[0]))
+                elif not self.begun.containsKey((step + 1,)) or tuple(self.begun.getValue((step + 1,))) < tuple(first):
+                    self.begun.updateValue((step + 1,), tuple(first))
+        for steps, (ms, _) in [(k[0], tuple(v)) for k, v in self.begun.iterator()]:
+            if passed > ms + self.within:
+                self.begun.removeKey((steps,))
+        if done:
+            yield pd.DataFrame(done, columns=["user_id", "first_id", "last_id", "took_ms"])
+
+    def close(self) -> None:
+        pass
+
+
+def funnels(events: DataFrame, steps: tuple[str, ...] = ("view", "click", "purchase"), within_hours: float = 24.0, late: str = "1 hour") -> DataFrame:
+    """``(user_id, first_id, last_id, took_ms)``: users who took all steps in order within a time of the first.
+
+    Of several attempts that have come equally far, the latest goes on; a
+    step moves it on and a second one of the same kind needs an attempt of
+    its own. Events of one time are taken by id. An attempt is given out when
+    the watermark has passed its last step.
+    """
+    own = events.withWatermark("ts", late).select("user_id", "ts", F.unix_millis("ts").alias("ms"), "event_id", "event_type")
+    return own.groupBy("user_id").transformWithStateInPandas(Funnel(steps, int(within_hours * 3_600_000)), "user_id long, first_id long, last_id long, took_ms long", "append", "eventTime")
+
+
 def running_totals(events: DataFrame) -> DataFrame:
     """``(user_id, n, value)``: all events of a user so far, kept as state from batch to batch."""
     own = events.select("user_id", "value")

@@ -15,7 +15,7 @@ from lakeloom.operators import chunking, fusion, grid, ivf, joins, structured, s
 from lakeloom.operators.bm25 import bm25
 from lakeloom.operators.tokens import token_counts
 from lakeloom.sources import jsonl
-from lakeloom.sources.files import SquaresSource, read_table, write_table
+from lakeloom.sources.files import read_table, write_table
 from lakeloom.streaming import queries as streaming
 
 
@@ -263,7 +263,7 @@ def test_asof_and_range_joins_match_nested_loops(spark):
     assert sorted((r.p, r.s) for r in out.collect()) == sorted((p, s) for p, x in points for s, a, b in spans if x is not None and b is not None and a <= x < b)
 
 
-def test_files_round_trip_and_python_source(spark, tmp_path):
+def test_files_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, "a,b"), (2, None), (3, 'q"\n')], "k long, t string")
     for kind in ("parquet", "orc", "json", "csv"):
         options = {"multiLine": "true", "escape": '"'} if kind == "csv" else {}
@@ -271,9 +271,6 @@ def test_files_round_trip_and_python_source(spark, tmp_path):
         assert sorted(map(tuple, read_table(spark, f"{tmp_path}/{kind}", kind, "k long, t string", **options).collect())) == sorted(map(tuple, df.collect()))
     with pytest.raises(ValueError):
         read_table(spark, str(tmp_path), "csv")
-    spark.dataSource.register(SquaresSource)
-    rows = spark.read.format("lakeloom_squares").option("rows", 10).load().collect()
-    assert sorted(map(tuple, rows)) == [(k, k * k) for k in range(10)]
 
 
 def test_summaries(spark, monkeypatch):
