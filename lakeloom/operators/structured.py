@@ -49,13 +49,14 @@ def with_client(df: DataFrame, col: str, make: Callable[[], Callable[[list[Any]]
     """``df`` with what an injected client returns for ``col``, batch by batch.
 
     ``make`` builds the client once a task (an embedding model, a completion
-    service); it gets a list of values and returns a list of as many. No
-    client is part of this library.
+    service); it gets a list of values and returns a list of as many. A
+    column ``name`` is replaced, ``col`` itself too if it has that name.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make()
         for x in frames:
-            yield x.assign(**{name: client(x[col].tolist())})
+            made = client(x[col].tolist())
+            yield x.drop(columns=name, errors="ignore").assign(**{name: made})
 
-    return df.drop(name).mapInPandas(run, df.drop(name).withColumn(name, F.lit(None).cast(kind)).schema)
+    return df.mapInPandas(run, df.drop(name).withColumn(name, F.lit(None).cast(kind)).schema)

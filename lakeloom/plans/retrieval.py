@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lakeloom.functions.text import html_to_text
-from lakeloom.operators import bm25_index, chunking, fusion, grid, minhash, stored, structured, summaries, vectors
+from lakeloom.operators import bm25_index, chunking, clients, fusion, grid, minhash, stored, structured, summaries, vectors
 from lakeloom.operators.bm25 import bm25
+from lakeloom.operators.dedup import one_of_each_text
 from lakeloom.operators.ivf import knn_approx as ivf_search
 from lakeloom.operators.pages import page_texts
 from lakeloom.operators.tokens import bpe_count, token_counts
@@ -75,18 +76,26 @@ def near_duplicate_texts(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def deduplicated_texts(spark, sf_dir):
+    """One document of each text, all its columns."""
+    return one_of_each_text(table(spark, sf_dir, "documents"))
+
+
+PLACES = 8
+
+
 def client_embeddings(spark, sf_dir):
-    """Vectors by an injected model: this one counts five letters."""
+    """Vectors by an injected client: words counted by their hash."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    made = structured.with_client(docs, "text", lambda: lambda texts: [[float((t or "").count(c)) for c in "aeiou"] for t in texts], "v", "array<double>")
-    return made.select("doc_id", *[F.col("v")[k].alias(c) for k, c in enumerate("aeiou")])
+    made = structured.with_client(docs, "text", clients.hashed_words(PLACES), "v", "array<double>")
+    return made.select("doc_id", *[F.col("v")[k].alias(f"v{k}") for k in range(PLACES)])
 
 
 def client_completions(spark, sf_dir):
-    """Answers of an injected client to rendered prompts: this one says how long they are."""
+    """Answers of an injected client to rendered prompts: the longest word."""
     turns = table(spark, sf_dir, "conversations")
     asked = turns.select("conv_id", "turn", structured.prompt_render("{role}: {text}", role=F.col("role"), text=F.col("text")).alias("prompt"))
-    made = structured.with_client(asked, "prompt", lambda: lambda prompts: [f"{len(p)} characters" for p in prompts], "answer", "string")
+    made = structured.with_client(asked, "prompt", clients.longest_word, "answer", "string")
     return made.select("conv_id", "turn", "answer")
 
 
@@ -235,8 +244,18 @@ QUERIES = {
     "page_main_text": Query(page_main_text),
     "distinct_texts": Query(distinct_texts, "SELECT md5(text) AS md5, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1"),
     "near_duplicate_texts": Query(near_duplicate_texts),
-    "client_embeddings": Query(client_embeddings, "SELECT doc_id, " + ", ".join(f"(length(coalesce(text, '')) - length(replace(coalesce(text, ''), '{c}', '')))::double AS {c}" for c in "aeiou") + " FROM documents"),
-    "client_completions": Query(client_completions, "SELECT conv_id, turn, (length(coalesce(role, '')) + 2 + length(coalesce(text, ''))) || ' characters' AS answer FROM conversations"),
+    "deduplicated_texts": Query(deduplicated_texts, "SELECT doc_id, text, lang, source, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1"),
+    "client_embeddings": Query(
+        client_embeddings,
+        "WITH w AS (SELECT doc_id, (md5_number_lower(w) % 8)::int AS k, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z]+')) AS w FROM documents) GROUP BY 1, 2) SELECT d.doc_id, "
+        + ", ".join(f"coalesce(sum(n) FILTER (k = {k}), 0)::double AS v{k}" for k in range(PLACES))
+        + " FROM documents d LEFT JOIN w USING (doc_id) GROUP BY d.doc_id",
+    ),
+    "client_completions": Query(
+        client_completions,
+        """SELECT conv_id, turn, coalesce(list_sort(list_transform(w, lambda x: lpad((100000 - length(x))::varchar, 6, '0') || x))[1][7:], '') AS answer
+        FROM (SELECT conv_id, turn, regexp_extract_all(translate(coalesce(role, '') || ': ' || coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z]+') AS w FROM conversations)""",
+    ),
     "chunk_fixed": Query(chunk_fixed, "SELECT doc_id, i::int AS chunk, substring(text, (i*150+1)::int, 200) AS text FROM (SELECT doc_id, text, unnest(range(0, greatest(0, (length(text)-51)//150)+1)) AS i FROM documents)"),
     "chunk_tokens": Query(
         chunk_tokens,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lakeloom.functions.text import html_to_text
-from lakeloom.operators import chunking, fusion, grid, ivf, joins, structured, summaries, timejoins, vectors
+from lakeloom.operators import chunking, clients, dedup, fusion, grid, ivf, joins, structured, summaries, timejoins, vectors
 from lakeloom.operators.bm25 import bm25
 from lakeloom.operators.tokens import token_counts
 from lakeloom.sources import jsonl
@@ -240,7 +240,26 @@ def test_prompts_history_and_clients(spark):
     own = {(r.conv_id, r.turn): [h.text for h in r.history] for r in structured.history_window(turns, 2).collect()}
     assert own[(1, 3)] == ["t2", "t3"] and own[(1, 0)] == ["t0"]
     said = structured.with_client(turns, "text", lambda: lambda xs: [len(x or "") for x in xs], "n", "long")
-    assert sorted(r.n for r in said.collect()) == [0, 2, 2, 2, 2]
+    assert sorted(r.n for r in said.collect()) == [0, 2, 2, 2, 2] and said.columns == [*turns.columns, "n"]
+    over = structured.with_client(turns, "text", lambda: lambda xs: [f"{x}!" for x in xs], "text", "string")
+    assert sorted(r.text for r in over.collect()) == ["None!", "t0!", "t1!", "t2!", "t3!"]
+
+
+def test_clients_answer_from_the_text():
+    embed = clients.hashed_words(5)()
+    out = embed(["a b A", None, "é 1", "b"])
+    assert sum(out[0]) == 3 and out[1] == out[2] == [0.0] * 5 and max(out[3]) == 1 and sum(x * y for x, y in zip(out[0], out[3], strict=True)) >= 1
+    assert clients.longest_word()(["to be OR not, Bee", "", None, "zz aa"]) == ["bee", "", "", "aa"]
+
+
+def test_one_row_of_each_text_stays(spark):
+    rows = [(3, "a", 1), (1, "a", 2), (None, "a", 3), (1, "a", 2), (None, "b", 4), (5, None, 5), (4, None, 6), (7, "", 7), (2, "A", 8), (9, "c", 9), (9, "c", 10)]
+    out = dedup.one_of_each_text(spark.createDataFrame(rows, "doc_id long, text string, __row int").repartition(3))
+    assert out.columns == ["doc_id", "text", "__row"]
+    got = {r.text: (r.doc_id, r["__row"]) for r in out.collect()}
+    assert got.pop("c") in {(9, 9), (9, 10)}
+    assert got == {"a": (1, 2), "b": (None, 4), None: (4, 6), "": (7, 7), "A": (2, 8)} and out.count() == 6
+    assert dedup.one_of_each_text(out.limit(0)).count() == 0
 
 
 def test_asof_and_range_joins_match_nested_loops(spark):
@@ -263,6 +282,17 @@ def test_asof_and_range_joins_match_nested_loops(spark):
     assert sorted((r.p, r.s) for r in out.collect()) == sorted((p, s) for p, x in points for s, a, b in spans if x is not None and b is not None and a <= x < b)
 
 
+def test_joins_by_time_keep_all_columns_and_spread_rows_that_match_nothing(spark):
+    points = spark.createDataFrame([(1.0, 2, 3)], "x double, level int, bucket int")
+    spans = spark.createDataFrame([(0.0, 5.0, 7, 8)], "a double, b double, own_level int, levels int")
+    out = timejoins.range_join(points, spans, at=F.col("x"), start=F.col("a"), end=F.col("b"), width=1.0)
+    assert out.columns == ["x", "level", "bucket", "a", "b", "own_level", "levels"] and tuple(out.first()) == (1.0, 2, 3, 0.0, 5.0, 7, 8)
+    left = spark.createDataFrame([(k, None, k) for k in range(50)] + [(100, 1, None), (101, 1, 5)], "id long, by long, at long")
+    right = spark.createDataFrame([(1000, None, 1), (1001, 1, None), (1002, 1, 3)], "id long, by long, at long")
+    got = {r.id: r.last for r in timejoins.asof_join(left, right, by="by", ts="at", value="id", name="last").collect()}
+    assert got == {**{k: None for k in range(50)}, 100: None, 101: 1002}
+
+
 def test_files_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, "a,b"), (2, None), (3, 'q"\n')], "k long, t string")
     for kind in ("parquet", "orc", "json", "csv"):
