@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,9 +31,11 @@ def features(text: bytes | None) -> np.ndarray:
     n = max(1, len(words))
     letters = seen[_UPPER].sum() + seen[_LOWER].sum() + seen[128:].sum()
     lower = text.translate(LOWER).split()
-    counts = Counter(lower)
-    pairs = Counter(zip(lower, lower[1:], strict=False))
-    triples = Counter(zip(lower, lower[1:], lower[2:], strict=False))
+    codes: dict[bytes, int] = {}
+    own = np.fromiter((codes.setdefault(w, len(codes)) for w in lower), np.int64, len(lower))
+    counts = np.bincount(own)
+    _, pair, pairs = np.unique(own[:-1] * max(1, len(codes)) + own[1:], return_inverse=True, return_counts=True)
+    triples = np.unique(pair[:-1] * max(1, len(codes)) + own[2:]).size if len(own) > 2 else 0
     lengths = np.fromiter(map(len, words), np.int64, len(words)) if words else np.zeros(1, np.int64)
     out[:22] = (
         np.log1p(len(words)),
@@ -44,11 +45,11 @@ def features(text: bytes | None) -> np.ndarray:
         np.log1p(lengths.max()),
         len(counts) / n,
         len(counts) / np.sqrt(n),
-        max(counts.values(), default=0) / n,
+        counts.max(initial=0) / n,
         len(pairs) / max(1, n - 1),
-        max(pairs.values(), default=0) / n,
-        len(triples) / max(1, n - 2),
-        sum(n_same for pair, n_same in pairs.items() if pair[0] == pair[1]) / n,
+        pairs.max(initial=0) / n,
+        triples / max(1, n - 2),
+        int((own[1:] == own[:-1]).sum()) / n,
         seen[_UPPER].sum() / max(1, letters),
         seen[_DIGIT].sum() / size,
         letters / size,
