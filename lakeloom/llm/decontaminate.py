@@ -15,8 +15,8 @@ from lakeloom.llm.common import slices, spare, stage, utf8
 
 #: Words of a window.
 WINDOW = 13
-#: Text bytes of the benchmark items that one pass searches for.
-BLOCK_BYTES = 2 << 20
+#: Bytes of the benchmark's distinct texts and their ids that one pass searches for, and ids of a text that go together.
+BLOCK_BYTES, IDS = 2 << 20, 4096
 #: A-Z lower-cased, every other ASCII byte but 0-9 and a-z a space.
 _WORD_BYTES = bytes(ord(chr(b).lower()) if b >= 128 or chr(b).isalnum() else 32 for b in range(128)) + bytes(range(128, 256))
 
@@ -67,7 +67,7 @@ class WuManber:
         return spans, items
 
 
-def matchers(items: list[tuple[str | None, bytes | None]], window: int = WINDOW) -> list[WuManber]:
+def matchers(items: list[tuple[str | int | None, bytes | None]], window: int = WINDOW) -> list[WuManber]:
     """A search for each length of window that the items have."""
     by_length: dict[int, dict[tuple, set[str]]] = defaultdict(lambda: defaultdict(set))
     for name, text in items:
@@ -97,26 +97,35 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "te
     words is one window. Every row of ``docs`` is returned once, with all its
     columns (columns of the three names are replaced).
 
-    A benchmark of up to ``BLOCK_BYTES`` of text is searched for in one pass
-    that shuffles nothing. A larger one is cut into blocks of about that size
-    (or one longer item): the documents are staged with a number for each
-    row, each block in turn is broadcast, searched for and let go, its hits
-    are staged, and at last the hits of a row come together. So a task holds
-    one block at any time, however large the benchmark is.
-
-    Null or wordless texts have no spans and no items. An item without id
-    marks words but isn't listed; repeated items count once.
+    Equal item texts are one, with a list of ids, of which ``IDS`` or so go
+    together. A benchmark of up to ``BLOCK_BYTES`` of these is searched for
+    in one pass that shuffles nothing. A larger one is cut into blocks of
+    about that size (or one longer item): the documents are staged with a
+    number for each row, each block in turn is broadcast, searched for and
+    let go, its hits are staged, and at last the hits of a row come together.
+    So a task holds one block at any time, however large the benchmark is,
+    and however often a text is in it.
+
+    Null or wordless texts have no spans and no items, and without items no
+    text has any. An item without id marks words but isn't listed; repeated
+    items count once. Long texts are searched whole; an empty table of
+    documents stays empty.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id_col).cast("string").alias("id"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
-    total = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    items = items.distinct()
+    chunks = items.groupBy("text").agg(F.ceil(F.count("*") / IDS).alias("n")).withColumnRenamed("text", "t")
+    chunk = F.pmod(F.xxhash64("id"), F.col("n"))
+    grouped = items.join(chunks, F.col("text") == F.col("t")).groupBy("text", chunk.alias("chunk")).agg(F.collect_list("id").alias("ids"))
+    grouped = stage(grouped.withColumn("size", F.octet_length("text").cast("long") + 16 * F.size("ids")), "items")
+    total = grouped.agg(F.sum("size")).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
     own = docs.drop("bench_words", "bench_spans", "bench_items")
     result = own.withColumns({"bench_words": F.lit(0).cast("long"), "bench_spans": F.expr(f"cast(array() as {_SPANS})"), "bench_items": F.expr("cast(array() as array<string>)")}).schema
-    block_of = F.pmod(F.xxhash64("text"), F.lit(blocks))
+    block_of = F.pmod(F.xxhash64("text", "chunk"), F.lit(blocks))
 
     def block(k: int):
-        return spark.sparkContext.broadcast([(r.id, r.text.encode()) for r in items.where(block_of == k).collect()])
+        return spark.sparkContext.broadcast([(r.ids, r.text.encode()) for r in grouped.where(block_of == k).collect()])
 
     if blocks == 1:
         return own.mapInArrow(_search(block(0), own.columns.index(text_col), window), result)
@@ -126,6 +135,8 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "te
     hits = []
     for k in range(blocks):
         now = block(k)
+        if not now.value:
+            continue
         found = texts.mapInArrow(_search(now, 1, window), f"row long, text string, bench_words long, bench_spans {_SPANS}, bench_items array<string>")
         hits.append(stage(found.where("size(bench_spans) > 0").select("row", "bench_spans", "bench_items"), "hits"))
         now.destroy()
@@ -138,7 +149,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "te
 
 _SPANS = "array<struct<start:int,end:int>>"
 #: The searches of the block used last, by a key made for each broadcast; a Python worker serves many tasks.
-_built: dict[str, list[WuManber]] = {}
+_built: dict[str, tuple[list[WuManber], list[list[str | None]]]] = {}
 
 
 def _search(block, text_at: int, window: int):
@@ -147,17 +158,18 @@ def _search(block, text_at: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _built:
             _built.clear()
-            _built[key] = matchers(block.value, window)
-        tables = _built[key]
+            _built[key] = matchers(list(enumerate(text for _, text in block.value)), window), [ids for ids, _ in block.value]
+        tables, ids_of = _built[key]
         for part in slices(batches):
             counts, spans, names = [], [], []
             for text in utf8(part.column(text_at)):
                 words = words_of(text)
-                found, ids = [], set()
+                found, items = [], set()
                 for table in tables:
-                    more, items = table.find(words)
+                    more, own = table.find(words)
                     found += more
-                    ids |= items
+                    items |= own
+                ids = set().union(*(ids_of[k] for k in items)) - {None}
                 counts.append(len(words))
                 spans.append(found)
                 names.append(ids)

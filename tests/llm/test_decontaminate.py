@@ -49,6 +49,26 @@ def test_matches_brute_force_in_any_number_of_blocks(spark, monkeypatch, block):
     assert len(found) == len(want)
 
 
+def test_a_text_that_repeats_is_one_and_blocks_are_of_a_size(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(decontaminate, "IDS", 40)
+    text = " ".join(f"w{k}" for k in range(30))
+    docs = spark.createDataFrame([(1, f"x {text} y"), (2, "none of it"), (3, None)], "doc_id long, text string")
+    sent, broadcast = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, x: (sent.append(x), broadcast(x))[1])
+    same = spark.createDataFrame([(k, text) for k in range(100)] + [(5, text)], "item_id long, text string")
+    got = {r.doc_id: r.bench_items for r in decontaminate.find_benchmark(docs, same).collect()}
+    assert got == {1: sorted(map(str, range(100))), 2: [], 3: []}
+    assert all(len(x) <= 3 for x in sent) and sum(len(ids) for x in sent for ids, _ in x) == 100
+    sent.clear()
+    many = spark.createDataFrame([(k, " ".join(f"v{k}x{j}" for j in range(100))) for k in range(170)] + [(500 + k, text) for k in range(30)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, " ".join(f"v{k}x{j}" for j in range(20, 60))) for k in range(0, 170, 7)] + [(900, text)], "doc_id long, text string")
+    got = {r.doc_id: r.bench_items for r in decontaminate.find_benchmark(docs, many).collect()}
+    assert got == {**{k: [str(k)] for k in range(0, 170, 7)}, 900: [str(500 + k) for k in range(30)]}
+    sizes = [sum(len(t) + 16 * len(ids) for ids, t in x) for x in sent]
+    assert len(sizes) >= 50 and max(sizes) < 6 * 2000
+
+
 def test_empty_tables(spark):
     docs, bench = spark.createDataFrame([(1, "a")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert [r.bench_items for r in decontaminate.find_benchmark(docs, bench).collect()] == [[]]
