@@ -473,7 +473,8 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE, *, conv_col
 
     A text follows from all turns before it, so a conversation is rendered
     in one task, but as a stream: neither its turns nor its text are ever
-    held together.
+    held together. An empty table gives no rows; other columns aren't used,
+    whatever their names.
     """
     kind = turns.schema[conv_col].dataType.simpleString()
     own = turns.select(

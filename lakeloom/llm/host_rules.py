@@ -96,7 +96,9 @@ def host_verdicts(docs: DataFrame, *, host_col: str = "source", text_col: str =
     Hosts are aggregated partially before the exchange, so one host with a
     third of all rows sends a row from each task. The verdicts, a row for
     each host, are staged too: their size is then known, Spark broadcasts
-    them below its limit, and above it may split a hot host's side.
+    them below its limit, and above it may split a hot host's side. Whole
+    texts are used, of very long ones arrays of their words; repeated rows
+    are documents of their own; an empty table stays empty.
     """
     carried = [c for c in (docs.columns if carry is None else carry) if c.lower() not in ("host_rate", "kept")]
     host, text, limit = (spare(docs, x) for x in ("host", "whole_text", "limit"))

@@ -170,7 +170,9 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Dat
 
     Whole texts are used. A text that is null or has no letters, and any text
     if no language was learned, is ``und`` with score 0. Of languages at the
-    same distance the first by name is taken.
+    same distance the first by name is taken. Very long texts take memory for
+    their distinct n-grams alone; repeated rows are judged alike; other
+    columns stay, whatever their names; an empty table stays empty.
     """
     known = docs.sparkSession.sparkContext.broadcast(profiles)
     own = docs.drop("lang_pred", "score").withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)})

@@ -167,7 +167,8 @@ def dedup_units(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     replaces a column of that name, all other columns stay, whatever their
     names. ``without`` says which white space goes with a span.
 
-    A null text stays null. Null ids rank before others. Rows of one id are
+    A null text stays null, an empty one empty, and an empty table empty; long
+    texts are used whole. Null ids rank before others. Rows of one id are
     told apart by their text; rows equal in both are one document and are
     treated alike.
 

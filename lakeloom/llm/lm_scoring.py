@@ -236,7 +236,9 @@ def score(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Data
     counts, n-grams with the probabilities of all distinct ones that were
     asked for. To find these, the n-grams meet all counts of the contexts
     that end with the same three bytes, which is all that a probability
-    depends on besides the broadcast level of three-byte entries.
+    depends on besides the broadcast level of three-byte entries. A very long
+    text takes memory for its distinct n-grams; an empty table gives no rows,
+    and with no training text every byte is new.
     """
     given = docs.sparkSession.sparkContext.broadcast((model.order, model.lower, model.frequent, model.tokens, model.distinct, model.ends, model.known))
     names = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]

@@ -384,7 +384,9 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
     A text's ids (none for a null or empty text) are followed by ``end_id``;
     longer documents are cut into pieces of ``capacity`` ids. Columns:
     doc_id, piece, start, length, ids_crc32, sequence_id, offset. Ids may be
-    null or repeat: every row of ``docs`` has its own pieces.
+    null or repeat: every row of ``docs`` has its own pieces. Long texts are
+    encoded whole; an empty table gives no rows; other columns aren't used,
+    whatever their names.
 
     Pieces are counted by length, at most ``capacity`` numbers, and the
     driver plans over these counts alone. A piece then finds its place by its

@@ -137,7 +137,9 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 def score(docs: DataFrame, model: BradleyTerry, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score`` and ``predicted``; columns of these names are replaced.
 
-    Whole texts are used; an empty or null text has the features of nothing.
+    Whole texts are used, a word taking some 100 bytes; an empty or null text
+    has the features of nothing; repeated rows are scored alike; an empty
+    table stays empty.
     """
     known = docs.sparkSession.sparkContext.broadcast(model)
     own = docs.drop("score", "predicted").withColumns({"score": F.lit(0.0), "predicted": F.lit(0)})

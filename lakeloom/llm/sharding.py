@@ -129,7 +129,9 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, *, id_col: str = "doc_i
     planned on the driver. A row's rank in its arc is the rank within its
     task plus the rows of that arc in the tasks before, so an id that a third
     of the rows share is spread like any overflow and never gathered. Which
-    of the rows of an arc overflow depends on the order of the input.
+    of the rows of an arc overflow depends on the order of the input. Long
+    texts are only measured; an empty table gives no rows; other columns
+    aren't used, whatever their names.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     ring = Ring(shards, virtual_nodes)

@@ -168,6 +168,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprints are one class, so copies never multiply. Texts without words
     share fingerprint 0 and link like any other. Null ids never name a
     component unless it has no other id; then ``component_id`` is null.
+    Repeated rows have a row each; long texts are hashed whole; an empty
+    table gives no rows; other columns aren't used, whatever their names.
     """
     fps = stage(fingerprints(docs, id_col, text_col, width), "fingerprints")
     rooted = _rooted(fps, F.col("doc_id"))
