@@ -36,7 +36,9 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     that SimHash leaves, those of a Jaccard similarity of 0.8 or more are
     found by MinHash and checked.
     """
-    return minhash.one_of_each(simhash.one_of_each(docs.select(COLUMNS), width=5))
+    with cleared(spark) as keep:  # it is read three times
+        left = keep(stage(simhash.one_of_each(docs.select(COLUMNS), width=5), "simhash"))
+    return minhash.one_of_each(left)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
