@@ -5,9 +5,10 @@ from __future__ import annotations
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +16,14 @@ from lakeloom.llm.common import slices, spare, stage, utf8
 
 #: Words of a window.
 WINDOW = 13
-#: Bytes of the benchmark's distinct texts and their ids that one pass searches for, and ids of a text that go together.
-BLOCK_BYTES, IDS = 2 << 20, 4096
+#: Bytes of a benchmark's distinct texts and their ids up to which every task gets them, and ids of a text that go together.
+BENCHMARK_BYTES, IDS = 2 << 20, 4096
+#: Of a larger one: places of a shift table and bits for hashes of windows, as powers of two.
+SHIFT_BITS, FILTER_BITS = 18, 27
+#: Distinct words whose hashes a task remembers.
+_WORDS = 200_000
+#: Odd numbers that mix hashes.
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 #: A-Z lower-cased, every other ASCII byte but 0-9 and a-z a space.
 _WORD_BYTES = bytes(ord(chr(b).lower()) if b >= 128 or chr(b).isalnum() else 32 for b in range(128)) + bytes(range(128, 256))
 
@@ -98,13 +105,14 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "te
     columns (columns of the three names are replaced).
 
     Equal item texts are one, with a list of ids, of which ``IDS`` or so go
-    together. A benchmark of up to ``BLOCK_BYTES`` of these is searched for
-    in one pass that shuffles nothing. A larger one is cut into blocks of
-    about that size (or one longer item): the documents are staged with a
-    number for each row, each block in turn is broadcast, searched for and
-    let go, its hits are staged, and at last the hits of a row come together.
-    So a task holds one block at any time, however large the benchmark is,
-    and however often a text is in it.
+    together. A benchmark of up to ``BENCHMARK_BYTES`` of these is searched
+    for in one pass that shuffles nothing. Of a larger one tasks get what has
+    a fixed size, whatever the benchmark's: a shift table by hashes of blocks
+    and a bit for each hash of a window. Positions that these leave are
+    joined with the windows themselves by their hashes and compared with
+    them, and the hits of a row come together. So texts are read once for
+    the search and once for the result, however large the benchmark is, and
+    however often a text or a window is in it.
 
     Null or wordless texts have no spans and no items, and without items no
     text has any. An item without id marks words but isn't listed; repeated
@@ -112,43 +120,27 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "te
     documents stays empty.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_id_col).cast("string").alias("id"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
-    items = items.distinct()
+    items = benchmark.select(F.col(item_id_col).cast("string").alias("id"), F.col(item_text_col).cast("string").alias("text")).where("text is not null").distinct()
     chunks = items.groupBy("text").agg(F.ceil(F.count("*") / IDS).alias("n")).withColumnRenamed("text", "t")
-    chunk = F.pmod(F.xxhash64("id"), F.col("n"))
-    grouped = items.join(chunks, F.col("text") == F.col("t")).groupBy("text", chunk.alias("chunk")).agg(F.collect_list("id").alias("ids"))
+    grouped = items.join(chunks, F.col("text") == F.col("t")).groupBy("text", F.pmod(F.xxhash64("id"), F.col("n")).alias("chunk")).agg(F.collect_list("id").alias("ids"))
     grouped = stage(grouped.withColumn("size", F.octet_length("text").cast("long") + 16 * F.size("ids")), "items")
     total = grouped.agg(F.sum("size")).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_BYTES))
     own = docs.drop("bench_words", "bench_spans", "bench_items")
     result = own.withColumns({"bench_words": F.lit(0).cast("long"), "bench_spans": F.expr(f"cast(array() as {_SPANS})"), "bench_items": F.expr("cast(array() as array<string>)")}).schema
-    block_of = F.pmod(F.xxhash64("text", "chunk"), F.lit(blocks))
-
-    def block(k: int):
-        return spark.sparkContext.broadcast([(r.ids, r.text.encode()) for r in grouped.where(block_of == k).collect()])
-
-    if blocks == 1:
-        return own.mapInArrow(_search(block(0), own.columns.index(text_col), window), result)
+    if total <= BENCHMARK_BYTES:
+        sent = spark.sparkContext.broadcast([(r.ids, r.text.encode()) for r in grouped.collect()])
+        return own.mapInArrow(_search(sent, own.columns.index(text_col), window), result)
     row = spare(own, "row")
     kept = stage(own.withColumn(row, F.monotonically_increasing_id()), "documents")
-    texts = kept.select(F.col(row).alias("row"), F.col(text_col).cast("string").alias("text"))
-    hits = []
-    for k in range(blocks):
-        now = block(k)
-        if not now.value:
-            continue
-        found = texts.mapInArrow(_search(now, 1, window), f"row long, text string, bench_words long, bench_spans {_SPANS}, bench_items array<string>")
-        hits.append(stage(found.where("size(bench_spans) > 0").select("row", "bench_spans", "bench_items"), "hits"))
-        now.destroy()
-    spans, names = spare(own, "spans"), spare(own, "names")
-    met = reduce(DataFrame.unionAll, hits).groupBy("row").agg(F.flatten(F.collect_list("bench_spans")).alias(spans), F.array_distinct(F.flatten(F.collect_list("bench_items"))).alias(names))
-    met = met.withColumnRenamed("row", number := spare(own, "number"))
+    met = _joined(kept.select(F.col(row).alias("row"), F.col(text_col).cast("string").alias("text")), grouped, window)
+    number, spans, names = (spare(own, x) for x in ("number", "spans", "names"))
+    met = met.select(F.col("row").alias(number), F.col("spans").alias(spans), F.col("names").alias(names))
     joined = kept.join(met, F.col(row) == F.col(number), "left").drop(row, number).select(*own.columns, spans, names)
     return joined.mapInArrow(_together(own.columns.index(text_col)), result)
 
 
 _SPANS = "array<struct<start:int,end:int>>"
-#: The searches of the block used last, by a key made for each broadcast; a Python worker serves many tasks.
+#: The searches of the benchmark used last, by a key made for each broadcast; a Python worker serves many tasks.
 _built: dict[str, tuple[list[WuManber], list[list[str | None]]]] = {}
 
 
@@ -169,17 +161,125 @@ def _search(block, text_at: int, window: int):
                     more, own = table.find(words)
                     found += more
                     items |= own
-                ids = set().union(*(ids_of[k] for k in items)) - {None}
                 counts.append(len(words))
                 spans.append(found)
-                names.append(ids)
+                names.append(set().union(*(ids_of[k] for k in items)) - {None})
             yield _with(part, part.num_columns, counts, spans, names)
 
     return run
 
 
+class _Hashes(dict):
+    """64 bits of each word asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= _WORDS:
+            self.clear()
+        self[word] = out = xxhash.xxh64_intdigest(word)
+        return out
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def _slots(hashes: np.ndarray, m: int, bits: int) -> np.ndarray:
+    """The place in the shift table of the block that ends at each word from the b-th on, blocks of b words."""
+    block = hashes[1:] * _ODD[0] + hashes[:-1] if m > 1 else hashes
+    return (block * _ODD[1] >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _whole(hashes: np.ndarray, starts: np.ndarray, m: int) -> np.ndarray:
+    """Hashes of the windows of ``m`` words from these places on."""
+    out = np.full(len(starts), m, np.uint64)
+    for j in range(m):
+        out = (out ^ hashes[starts + j]) * _ODD[2]
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def _windows(window: int, bits: int):
+    """(m, h, words, k) of all windows of each (k, text), and with no words (m, slot, shift) of their blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hashes()
+        for part in slices(batches, rows=64):
+            rows: list[tuple] = []
+            shifts: dict[tuple[int, int], int] = {}
+            for k, text in zip(part.column(0).to_pylist(), utf8(part.column(1)), strict=True):
+                words = words_of(text)
+                m = min(window, len(words))
+                if not m:
+                    continue
+                hashes, b = known.of(words), min(2, m)
+                starts = np.arange(len(words) - m + 1)
+                rows += zip([m] * len(starts), _whole(hashes, starts, m).view(np.int64).tolist(), (b" ".join(words[a : a + m]).decode() for a in starts.tolist()), [k] * len(starts), [0] * len(starts), strict=True)
+                for at, slot in enumerate(_slots(hashes, m, bits).tolist()):
+                    # The block's end is that of a window, or the nearest window's end is so many words on.
+                    shift = max(0, m - b - at)
+                    if shift < shifts.get((m, slot), 255):
+                        shifts[m, slot] = shift
+            rows += ((m, slot, None, None, shift) for (m, slot), shift in shifts.items())
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int32()))], ["m", "h", "words", "k", "shift"])
+
+    return run
+
+
+def _candidates(sent):
+    """(row, m, start, h, words) of the windows of each (row, text) whose blocks and hashes aren't ruled out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hashes()
+        tables, bits = sent.value
+        low = np.uint64(64 * len(bits) - 1)
+        for part in slices(batches):
+            rows: list[tuple] = []
+            for row, text in zip(part.column(0).to_pylist(), utf8(part.column(1)), strict=True):
+                words = words_of(text)
+                hashes = known.of(words)
+                for m, shift in tables.items():
+                    if len(words) < m:
+                        continue
+                    # A block that may not end a window rules its place out.
+                    starts = np.flatnonzero(shift[_slots(hashes, m, len(shift).bit_length() - 1)[m - min(2, m) :]] == 0)
+                    h = _whole(hashes, starts, m)
+                    at = h & low
+                    has = (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)) > 0
+                    rows += ((row, m, a, x, b" ".join(words[a : a + m]).decode()) for a, x in zip(starts[has].tolist(), h[has].view(np.int64).tolist(), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string()))], ["row", "m", "start", "h", "words"])
+
+    return run
+
+
+def _joined(texts: DataFrame, grouped: DataFrame, window: int) -> DataFrame:
+    """``(row, spans, names)`` of the texts with a hit, by a join with the windows of all items."""
+    spark = texts.sparkSession
+    items = stage(grouped.select("text").distinct().select(F.monotonically_increasing_id().alias("k"), "text"), "texts")
+    filed = stage(items.mapInArrow(_windows(window, SHIFT_BITS), "m int, h long, words string, k long, shift int"), "windows")
+    tables: dict[int, np.ndarray] = {}
+    # Bounded: a row for each slot of a length of window, and one for each 64 bits.
+    shifts = filed.where("words is null").groupBy("m", "h").agg(F.min("shift").alias("shift")).toArrow()
+    lengths, slots, least = (shifts[c].to_numpy() for c in ("m", "h", "shift"))
+    for m in np.unique(lengths).tolist():
+        tables[m] = np.full(1 << SHIFT_BITS, 255, np.uint8)
+        tables[m][slots[lengths == m]] = least[lengths == m]
+    windows = filed.where("words is not null").select("m", "h", "words", "k")
+    at = F.col("h").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    marks = windows.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    bits[marks["word"].to_numpy()] = marks["bits"].to_numpy()
+    sent = spark.sparkContext.broadcast((tables, bits.view(np.uint64)))
+    asked = stage(texts.where("text is not null").mapInArrow(_candidates(sent), "row long, m int, start int, h long, words string"), "candidates")
+    on = ["m", "h", "words"]
+    hits = stage(asked.join(windows.select(*on).distinct(), on), "hits")
+    spans = hits.groupBy("row").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("m")).alias("end"))).alias("spans"))
+    of = hits.select("row", *on).distinct().join(windows, on).select("row", "k").distinct()
+    ids = grouped.join(items, "text").select("k", "ids")
+    names = of.join(ids, "k").groupBy(F.col("row").alias("r")).agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("names"))
+    return spans.join(names, F.col("row") == F.col("r")).select("row", "spans", "names")
+
+
 def _together(text_at: int):
-    """The hits of all blocks, in the last two columns, as one block would give them."""
+    """The hits of all windows, in the last two columns, as one search would give them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):

@@ -28,9 +28,10 @@ def naive(texts, items):
     return out
 
 
-@pytest.mark.parametrize("block", [40, 1 << 20])
-def test_matches_brute_force_in_any_number_of_blocks(spark, monkeypatch, block):
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+@pytest.mark.parametrize(("block", "shift", "bits"), [(40, 18, 27), (40, 3, 7), (1 << 20, 18, 27)])
+def test_matches_brute_force_by_broadcast_and_by_join(spark, monkeypatch, block, shift, bits):
+    for name, value in (("BENCHMARK_BYTES", block), ("SHIFT_BITS", shift), ("FILTER_BITS", bits)):
+        monkeypatch.setattr(decontaminate, name, value)
     rng = random.Random(block)
     some = lambda n, letters="abc": " ".join(rng.choice(letters) for _ in range(n))
     items = [(k, some(rng.choice([1, 2, 3, 13, 14, 20, 40]), "abcd")) for k in range(6)]
@@ -49,24 +50,40 @@ def test_matches_brute_force_in_any_number_of_blocks(spark, monkeypatch, block):
     assert len(found) == len(want)
 
 
-def test_a_text_that_repeats_is_one_and_blocks_are_of_a_size(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 2000)
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_a_text_that_repeats_is_one(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "BENCHMARK_BYTES", most)
     monkeypatch.setattr(decontaminate, "IDS", 40)
     text = " ".join(f"w{k}" for k in range(30))
     docs = spark.createDataFrame([(1, f"x {text} y"), (2, "none of it"), (3, None)], "doc_id long, text string")
+    same = spark.createDataFrame([(k, text) for k in range(100)] + [(5, text)], "item_id long, text string")
     sent, broadcast = [], spark.sparkContext.broadcast
     monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, x: (sent.append(x), broadcast(x))[1])
-    same = spark.createDataFrame([(k, text) for k in range(100)] + [(5, text)], "item_id long, text string")
     got = {r.doc_id: r.bench_items for r in decontaminate.find_benchmark(docs, same).collect()}
     assert got == {1: sorted(map(str, range(100))), 2: [], 3: []}
-    assert all(len(x) <= 3 for x in sent) and sum(len(ids) for x in sent for ids, _ in x) == 100
-    sent.clear()
-    many = spark.createDataFrame([(k, " ".join(f"v{k}x{j}" for j in range(100))) for k in range(170)] + [(500 + k, text) for k in range(30)], "item_id long, text string")
-    docs = spark.createDataFrame([(k, " ".join(f"v{k}x{j}" for j in range(20, 60))) for k in range(0, 170, 7)] + [(900, text)], "doc_id long, text string")
-    got = {r.doc_id: r.bench_items for r in decontaminate.find_benchmark(docs, many).collect()}
-    assert got == {**{k: [str(k)] for k in range(0, 170, 7)}, 900: [str(500 + k) for k in range(30)]}
-    sizes = [sum(len(t) + 16 * len(ids) for ids, t in x) for x in sent]
-    assert len(sizes) >= 50 and max(sizes) < 6 * 2000
+    if most:
+        (own,) = sent
+        assert len(own) <= 3 and sum(len(ids) for ids, _ in own) == 100 and all(len(ids) < 60 for ids, _ in own)
+
+
+def test_a_large_benchmark_is_joined_in_one_pass_over_the_texts(spark, monkeypatch):
+    """What tasks get doesn't grow with the benchmark, and few positions go beyond it."""
+    sizes = []
+    for n in (50, 400):
+        monkeypatch.setattr(decontaminate, "BENCHMARK_BYTES", 2000)
+        monkeypatch.setattr(decontaminate, "FILTER_BITS", 20)
+        bench = spark.createDataFrame([(k, " ".join(f"v{k}x{j}" for j in range(100))) for k in range(n)], "item_id long, text string")
+        rows = [(k, " ".join(f"v{k}x{j}" for j in range(20, 60)) + " and more") for k in range(0, n, 7)] + [(1000 + k, " ".join(f"u{k}x{j}" for j in range(300))) for k in range(20)]
+        sent, staged, broadcast, real = [], {}, spark.sparkContext.broadcast, decontaminate.stage
+        monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, x: (sent.append(x), broadcast(x))[1])  # noqa: B023
+        monkeypatch.setattr(decontaminate, "stage", lambda df, tag: staged.setdefault(tag, real(df, tag)))  # noqa: B023
+        got = {r.doc_id: (r.bench_items, [tuple(s) for s in r.bench_spans]) for r in decontaminate.find_benchmark(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+        monkeypatch.undo()
+        assert got == {k: ([str(k)], [(0, 40)]) if k < 1000 else ([], []) for k, _ in rows}
+        ((tables, bits),) = sent
+        sizes.append(sum(t.nbytes for t in tables.values()) + bits.nbytes)
+        assert staged["candidates"].count() <= 1.2 * 28 * len(range(0, n, 7)) + 5
+    assert sizes[0] == sizes[1]
 
 
 def test_empty_tables(spark):
