@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
-from itertools import permutations
+from itertools import count, permutations
 
 import numpy as np
 import xxhash
@@ -77,11 +77,12 @@ class Chains:
 
 def _route(rows: Iterator[tuple]) -> Iterator[tuple]:
     """(fingerprint, (text, mask, id, rows)) of each text's first row in a task, and (any number, (None, mask, id, rows)) of what is known to be a copy or can't be one."""
-    seen = Chains()
+    seen, number = Chains(), count()
 
     def known(found: Iterator[tuple]) -> Iterator[tuple]:
         for id_, source, mask, n in found:
-            yield xxhash.xxh64_intdigest(f"{id_}|{source}"), (None, mask, id_, {source: n})
+            # Numbered, so that no value of the data gathers these anywhere.
+            yield xxhash.xxh64_intdigest(next(number).to_bytes(8)), (None, mask, id_, {source: n})
 
     def first() -> Iterator[tuple]:
         for key, *own in seen.drain():
@@ -91,7 +92,7 @@ def _route(rows: Iterator[tuple]) -> Iterator[tuple]:
     for id_, source, text in rows:
         text = bytes(text or b"")
         if id_ is None:
-            yield xxhash.xxh64_intdigest(text), (None, mask_of(text), None, {source: 1})
+            yield from known([(None, source, mask_of(text), 1)])
             continue
         key = xxhash.xxh64_intdigest(text)
         if (own := seen.find(key, text)) is not None:
