@@ -22,11 +22,11 @@ MAX_TASKS = 1 << 14
 
 
 class Cell(Protocol):
-    """What becomes of one cell: all that is asked comes first, then the rows in pieces."""
+    """What becomes of one cell: all that is asked comes first, then the rows in pieces, which may give results at once."""
 
     def ask(self, columns: list[pa.Array]) -> None: ...
 
-    def feed(self, columns: list[pa.Array]) -> None: ...
+    def feed(self, columns: list[pa.Array]) -> Iterator[pa.RecordBatch] | None: ...
 
     def end(self) -> pa.RecordBatch: ...
 
@@ -107,7 +107,7 @@ def _run(make: Callable[[], Cell]):
                 cell.ask(columns)
                 held = True
             elif held:
-                cell.feed(columns)
+                yield from cell.feed(columns) or ()
         if held:
             yield cell.end()
 

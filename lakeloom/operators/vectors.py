@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeloom.operators import grid
 from lakeloom.operators.grid import best, in_cells, matrix
 
 #: Queries and vectors that are multiplied at a time, and pairs that are summed anew.
 QUERIES, VECTORS, PAIRS = 512, 1024, 1 << 14
+#: The same for distances of all pairs, so that sums stay in the processor's cache.
+TILE_QUERIES, TILE_VECTORS = 32, 512
 
 
 def inner_product(a: Column, b: Column) -> Column:
@@ -118,6 +124,102 @@ def knn_filtered(queries: DataFrame, corpus: DataFrame, where: Column, k: int =
     return knn_exact(queries, corpus.where(where), k, **columns)
 
 
+def distances(queries: DataFrame, corpus: DataFrame, *, digits: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """``(query, id, cos, l2, ip)``: every query with every vector, a row for each pair of rows.
+
+    The sides meet in the cells of a grid (``grid.in_cells``), where slices of
+    them are summed component by component, in order and in double, so a pair
+    has the same bits wherever it stands. A slice's pairs are passed on at once:
+    a task holds a block of queries and a slice of pairs. ``digits`` rounds,
+    halves away from zero. Vectors that are null, hold a null or differ in
+    length have null for all three, empty ones a null cosine, and beside a
+    vector of length zero the cosine is NaN, as in SQL. Null and repeated ids
+    are rows like any other.
+    """
+    whole = F.when(~F.exists(vec_col, lambda x: x.isNull()), F.col(vec_col))
+    side = lambda df, name: df.select(F.col(id_col).cast("long").alias(name), whole.alias("v"), F.lit(0).cast("long").alias("g"))
+    schema = "query long, id long, cos double, l2 double, ip double"
+    return in_cells(side(queries, "query"), side(corpus, "id"), lambda: _Distances(digits), schema, group="g", asked_block=grid.PAIRS_ASKED, row_block=grid.PAIRS_ROWS)
+
+
+class _Slice:
+    """Some ids and their vectors: by length where they stand, their components as rows, and their squared norms."""
+
+    def __init__(self, ids: pa.Array, column: pa.Array):
+        self.ids, self.of = ids, {}
+        sizes = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+        for n in np.unique(sizes[sizes >= 0]).tolist():
+            at = np.flatnonzero(sizes == n)
+            flat = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)
+            v = np.ascontiguousarray(flat.reshape(len(at), n).T, dtype=np.float64)
+            norm = np.zeros(len(at))
+            for x in v:
+                norm += x * x
+            self.of[n] = at, v, norm
+
+
+class _Distances:
+    """All pairs of a cell, a slice of queries and a slice of vectors at a time."""
+
+    def __init__(self, digits: int | None):
+        self.digits, self.held = digits, []
+
+    def ask(self, columns: list[pa.Array]) -> None:
+        self.held += _slices(columns, TILE_QUERIES)
+
+    def feed(self, columns: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+        for v in _slices(columns, TILE_VECTORS):
+            for q in self.held:
+                yield self._pairs(q, v)
+
+    def _pairs(self, q: _Slice, v: _Slice) -> pa.RecordBatch:
+        shape = len(q.ids), len(v.ids)
+        out, known = np.zeros((3, *shape)), np.zeros((2, *shape), bool)
+        for n in q.of.keys() & v.of.keys():
+            (a, x, p), (b, y, r) = q.of[n], v.of[n]
+            whole = (len(a), len(b)) == shape
+            at = (slice(None), slice(None)) if whole else np.ix_(a, b)
+            for c, found in enumerate(_distances(x, y, p, r)):
+                out[c][at] = found
+            known[0][at], known[1][at] = n > 0, True
+        if self.digits is not None:
+            out = _rounded(out, self.digits)
+        values = [pa.array(x.ravel(), mask=None if k.all() else ~k.ravel()) for x, k in zip(out, (known[0], known[1], known[1]), strict=True)]
+        who, what = np.repeat(np.arange(shape[0]), shape[1]), np.tile(np.arange(shape[1]), shape[0])
+        return pa.RecordBatch.from_arrays([q.ids.take(pa.array(who)), v.ids.take(pa.array(what)), *values], ["query", "id", "cos", "l2", "ip"])
+
+    def end(self) -> pa.RecordBatch:
+        none = _Slice(pa.array([], pa.int64()), pa.array([], pa.list_(pa.float64())))
+        return self._pairs(none, none)
+
+
+def _slices(columns: list[pa.Array], size: int) -> Iterator[_Slice]:
+    for r in range(0, len(columns[0]), size):
+        yield _Slice(columns[0].slice(r, size), columns[1].slice(r, size))
+
+
+def _distances(x: np.ndarray, y: np.ndarray, p: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cosine, Euclidean distance and inner product of all columns of ``x`` and ``y``, whose squared norms are ``p`` and ``r``."""
+    ip, squares, t = (np.zeros((x.shape[1], y.shape[1])) for _ in range(3))
+    with np.errstate(all="ignore"):
+        for a, b in zip(x, y, strict=True):
+            ip += np.multiply(a[:, None], b, out=t)
+            np.subtract(a[:, None], b, out=t)
+            squares += np.multiply(t, t, out=t)
+        cos = np.clip(ip / np.sqrt(p[:, None] * r), -1.0, 1.0)
+        return cos, np.sqrt(squares, out=squares), ip
+
+
+def _rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """Halves away from zero; what is too large to be scaled, or isn't finite, stays."""
+    with np.errstate(all="ignore"):
+        scaled = x * 10.0**digits
+        near = np.trunc(scaled)
+        near += np.copysign(np.abs(scaled - near) >= 0.5, scaled)
+        near /= 10.0**digits
+    return np.where(np.isfinite(near), near, x)
+
+
 def upsert(base: DataFrame, changes: DataFrame, *, id_col: str = "vec_id", order_col: str = "version") -> DataFrame:
     """``base`` with ``changes`` applied: of an id's changes the one with the highest ``order_col`` counts.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lakeloom.functions.text import html_to_text
-from lakeloom.operators import bm25_index, chunking, clients, fusion, grid, minhash, stored, structured, summaries, vectors
+from lakeloom.operators import bm25_index, chunking, clients, fusion, minhash, stored, structured, summaries, vectors
 from lakeloom.operators.bm25 import bm25
 from lakeloom.operators.dedup import one_of_each_text
 from lakeloom.operators.ivf import knn_approx as ivf_search
@@ -139,10 +139,8 @@ def knn_approx(spark, sf_dir):
 
 def vector_distances(spark, sf_dir):
     """Distances between every vector and each of the stated queries, which are a row each."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.lit(0).cast("long").alias("all"))
-    d = grid.pairs(_queries_of(e), e, group="all")
-    q, v = F.col("x0.embedding"), F.col("x1.embedding")
-    return d.select(F.col("x0.vec_id").alias("query"), F.col("x1.vec_id").alias("vec_id"), F.round(vectors.cosine(q, v), 6).alias("cos"), F.round(vectors.l2(q, v), 6).alias("l2"), F.round(vectors.inner_product(q, v), 6).alias("ip"))
+    e = table(spark, sf_dir, "embeddings")
+    return vectors.distances(_queries_of(e), e, digits=6).withColumnRenamed("id", "vec_id")
 
 
 def vector_upsert(spark, sf_dir):

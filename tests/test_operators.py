@@ -138,6 +138,70 @@ def test_distances_of_all_pairs_match_by_block(spark, monkeypatch):
         assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_distances_of_odd_vectors(spark):
+    v = [[1.0, 2.0], [-3.0, 0.5], [0.0, 0.0], None, [], [1.0, None], [math.nan, 1.0], [math.inf, 1.0], [2.0], [1.0, 2.0], [1e-9, 0.1234565]]
+    ids = [0, 1, 2, 3, 4, 5, 6, 7, 8, 0, None]
+    rows = list(zip(ids, v, strict=True))
+
+    def plain(a, b):
+        if a is None or b is None or None in a or None in b or len(a) != len(b):
+            return None, None, None
+        ip = lambda x, y: sum((p * q for p, q in zip(x, y, strict=True)), 0.0)
+        long = math.sqrt(ip(a, a) * ip(b, b))
+        cos = (ip(a, b) / long if long else math.nan) if a else None
+        d = [p - q for p, q in zip(a, b, strict=True)]
+        return cos and min(1.0, max(-1.0, cos)) if cos == cos else cos, math.sqrt(ip(d, d)), ip(a, b)
+
+    for kind in ("double", "float"):
+        e = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").repartition(3)
+        held = [(r.vec_id, r.embedding) for r in e.collect()]
+        got = [tuple(r) for r in vectors.distances(e, e).collect()]
+        assert sorted(map(repr, got)) == sorted(repr((i, j, *plain(a, b))) for i, a in held for j, b in held)
+        assert vectors.distances(e.limit(0), e).count() == 0
+    third = e.where("vec_id = 8")
+    assert [tuple(r) for r in vectors.distances(third, third.selectExpr("9L AS vec_id", "array(1.23456789f) AS embedding"), digits=3).collect()] == [(8, 9, 1.0, 0.765, 2.469)]
+    import numpy as np
+
+    assert vectors._rounded(np.array([0.5, -0.5, 1.5, 0.49999999999999994, -2.4, math.inf, 1e308]), 0).tolist() == [1, -1, 2, 0, -2, math.inf, 1e308]
+    assert vectors._rounded(np.array([0.1234565, 1e308, -2.5e-6]), 6).tolist() == [0.123457, 1e308, -3e-6]
+
+
+def test_distances_by_slice_are_the_same_bits():
+    import numpy as np
+    import pyarrow as pa
+
+    rng, seen = np.random.default_rng(5), set()
+    ids, v = pa.array(np.arange(70)), pa.array(rng.normal(size=(70, 9)).tolist())
+    for sizes in ((32, 512), (1, 1), (7, 30)):
+        cell = vectors._Distances(None)
+        vectors.TILE_QUERIES, vectors.TILE_VECTORS, kept = *sizes, (vectors.TILE_QUERIES, vectors.TILE_VECTORS)
+        try:
+            for a in (0, 40):
+                cell.ask([ids.slice(a, 40), v.slice(a, 40)])
+            found = [b for a in (0, 33, 66) for b in cell.feed([ids.slice(a, 33), v.slice(a, 33)])]
+        finally:
+            vectors.TILE_QUERIES, vectors.TILE_VECTORS = kept
+        assert all(b.num_rows <= sizes[0] * sizes[1] for b in found) and cell.end().num_rows == 0
+        seen.add(tuple(sorted(t for b in found for t in zip(*b.to_pydict().values(), strict=True))))
+    assert len(seen) == 1 and len(seen.pop()) == 4900
+
+
+def test_a_million_distances_take_seconds(spark, tmp_path):
+    """Summed for each pair by lambdas in the JVM they took 58 s."""
+    import time
+
+    from lakeloom.plans import retrieval
+
+    spark.range(7000).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda k: F.sin(F.col("id") * k).cast("float")).alias("embedding"), F.lit(1).alias("label")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    began = time.perf_counter()
+    out = retrieval.vector_distances(spark, str(tmp_path))
+    assert "aggregate(" not in out._jdf.queryExecution().executedPlan().toString()
+    n = out.agg(F.count("*"), F.count("cos"), F.sum("l2"), F.sum("ip")).first()[0]
+    took = time.perf_counter() - began
+    print(f"{n} pairs in {took:.1f} s")
+    assert n == 980_000 and took < 30
+
+
 @pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
 def test_approximate_neighbours_reach_the_recall(spark, sf):
     e = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").repartition(4)
