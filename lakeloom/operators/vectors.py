@@ -16,7 +16,7 @@ from lakeloom.operators.grid import best, in_cells, matrix
 #: Queries and vectors that are multiplied at a time, and pairs that are summed anew.
 QUERIES, VECTORS, PAIRS = 512, 1024, 1 << 14
 #: The same for distances of all pairs, so that sums stay in the processor's cache.
-TILE_QUERIES, TILE_VECTORS = 32, 512
+TILE_QUERIES, TILE_VECTORS = 16, 512
 
 
 def inner_product(a: Column, b: Column) -> Column:
@@ -127,9 +127,9 @@ def knn_filtered(queries: DataFrame, corpus: DataFrame, where: Column, k: int =
 def distances(queries: DataFrame, corpus: DataFrame, *, digits: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``(query, id, cos, l2, ip)``: every query with every vector, a row for each pair of rows.
 
-    The sides meet in the cells of a grid (``grid.in_cells``), where slices of
-    them are summed component by component, in order and in double, so a pair
-    has the same bits wherever it stands. A slice's pairs are passed on at once:
+    The sides meet in the cells of a grid (``grid.in_cells``). Results are those
+    of sums component by component, in order and in double, so a pair has the
+    same bits wherever it stands. A slice's pairs are passed on at once:
     a task holds a block of queries and a slice of pairs. ``digits`` rounds,
     halves away from zero. Vectors that are null, hold a null or differ in
     length have null for all three, empty ones a null cosine, and beside a
@@ -179,11 +179,10 @@ class _Distances:
             (a, x, p), (b, y, r) = q.of[n], v.of[n]
             whole = (len(a), len(b)) == shape
             at = (slice(None), slice(None)) if whole else np.ix_(a, b)
-            for c, found in enumerate(_distances(x, y, p, r)):
-                out[c][at] = found
+            found = _distances(x, y, p, r) if self.digits is None else _rounded_distances(x, y, p, r, self.digits)
+            for c, of in enumerate(found):
+                out[c][at] = of
             known[0][at], known[1][at] = n > 0, True
-        if self.digits is not None:
-            out = _rounded(out, self.digits)
         values = [pa.array(x.ravel(), mask=None if k.all() else ~k.ravel()) for x, k in zip(out, (known[0], known[1], known[1]), strict=True)]
         who, what = np.repeat(np.arange(shape[0]), shape[1]), np.tile(np.arange(shape[1]), shape[0])
         return pa.RecordBatch.from_arrays([q.ids.take(pa.array(who)), v.ids.take(pa.array(what)), *values], ["query", "id", "cos", "l2", "ip"])
@@ -198,16 +197,50 @@ def _slices(columns: list[pa.Array], size: int) -> Iterator[_Slice]:
         yield _Slice(columns[0].slice(r, size), columns[1].slice(r, size))
 
 
-def _distances(x: np.ndarray, y: np.ndarray, p: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _distances(x: np.ndarray, y: np.ndarray, p: np.ndarray, r: np.ndarray) -> np.ndarray:
     """Cosine, Euclidean distance and inner product of all columns of ``x`` and ``y``, whose squared norms are ``p`` and ``r``."""
-    ip, squares, t = (np.zeros((x.shape[1], y.shape[1])) for _ in range(3))
+    return _summed(x[:, :, None], y[:, None, :], p[:, None], r)
+
+
+def _summed(x: np.ndarray, y: np.ndarray, p: np.ndarray, r: np.ndarray) -> np.ndarray:
+    shape = np.broadcast_shapes(x.shape[1:], y.shape[1:])
+    out, t = np.zeros((3, *shape)), np.zeros(shape)
+    cos, squares, ip = out
     with np.errstate(all="ignore"):
         for a, b in zip(x, y, strict=True):
-            ip += np.multiply(a[:, None], b, out=t)
-            np.subtract(a[:, None], b, out=t)
+            ip += np.multiply(a, b, out=t)
+            np.subtract(a, b, out=t)
             squares += np.multiply(t, t, out=t)
-        cos = np.clip(ip / np.sqrt(p[:, None] * r), -1.0, 1.0)
-        return cos, np.sqrt(squares, out=squares), ip
+        np.clip(np.divide(ip, np.sqrt(p * r), out=cos), -1.0, 1.0, out=cos)
+        np.sqrt(squares, out=squares)
+    return out
+
+
+def _rounded_distances(x: np.ndarray, y: np.ndarray, p: np.ndarray, r: np.ndarray, digits: int) -> np.ndarray:
+    """``_distances`` rounded.
+
+    A product of matrices, whose sums have another order, settles every pair
+    that is farther from a half, and from zero, whose sign counts, than its
+    error can be; the others, and those that aren't finite, are summed in order.
+    """
+    n, unit = len(x), 10.0**digits
+    with np.errstate(all="ignore"):
+        ip, most = x.T @ y, np.sqrt(p[:, None] * r)
+        both = p[:, None] + r
+        l2 = np.sqrt(both - 2 * ip)
+        out = np.stack([ip / most, l2, ip])
+        # Bounds of errors, with room: of sums and squares by their lengths, of scaling by the values.
+        slack = (n + 8) * 8 * np.finfo(float).eps
+        near = np.stack([np.full_like(ip, slack), slack * both / l2, slack * most]) + 4 * np.finfo(float).eps * np.abs(out)
+        scaled = out * unit
+        away = np.abs(np.abs(scaled - np.trunc(scaled)) - 0.5)
+        who, what = np.nonzero(~np.all((away > near * unit) & (np.abs(out) > near), axis=0))
+        out = _rounded(out, digits)
+    if 8 * len(who) > ip.size:
+        return _rounded(_distances(x, y, p, r), digits)
+    if len(who):
+        out[:, who, what] = _rounded(_summed(x[:, who], y[:, what], p[who], r[what]), digits)
+    return out
 
 
 def _rounded(x: np.ndarray, digits: int) -> np.ndarray:

@@ -186,6 +186,23 @@ def test_distances_by_slice_are_the_same_bits():
     assert len(seen) == 1 and len(seen.pop()) == 4900
 
 
+def test_rounded_distances_are_those_of_ordered_sums():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    copies = rng.normal(size=(300, 5))
+    copies[::3], copies[5], copies[6], copies[7, 1], copies[8:40] = copies[0], 0, math.nan, math.inf, copies[8] + 1e-9 * rng.normal(size=(32, 5))
+    turned = rng.normal(size=(300, 2))
+    turned[1::2] = turned[::2, ::-1] * [1, -1]  # at right angles, up to rounding
+    halves = np.round(rng.normal(size=(300, 2)), 4) * 0.5
+    for v in (copies, turned, halves, rng.normal(size=(300, 8)) * 10.0 ** rng.integers(-12, 12, size=(300, 1)), np.eye(300), rng.normal(size=(300, 64))):
+        x = np.ascontiguousarray(v.T)
+        with np.errstate(all="ignore"):
+            norm = sum(a * a for a in x)
+        whole, quick = vectors._rounded(vectors._distances(x, x, norm, norm), 6), vectors._rounded_distances(x, x, norm, norm, 6)
+        assert np.array_equal(whole, quick, equal_nan=True) and np.array_equal(np.signbit(whole)[whole == 0], np.signbit(quick)[quick == 0])
+
+
 def test_a_million_distances_take_seconds(spark, tmp_path):
     """Summed for each pair by lambdas in the JVM they took 58 s."""
     import time
