@@ -125,7 +125,7 @@ def knn_filtered(queries: DataFrame, corpus: DataFrame, where: Column, k: int =
 
 
 def distances(queries: DataFrame, corpus: DataFrame, *, digits: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """``(query, id, cos, l2, ip)``: every query with every vector, a row for each pair of rows.
+    """``(query, id, cos, l2, ip)``, ``id`` under the name ``id_col``: every query with every vector, a row for each pair of rows.
 
     The sides meet in the cells of a grid (``grid.in_cells``). Results are those
     of sums component by component, in order and in double, so a pair has the
@@ -138,8 +138,9 @@ def distances(queries: DataFrame, corpus: DataFrame, *, digits: int | None = Non
     """
     whole = F.when(~F.exists(vec_col, lambda x: x.isNull()), F.col(vec_col))
     side = lambda df, name: df.select(F.col(id_col).cast("long").alias(name), whole.alias("v"), F.lit(0).cast("long").alias("g"))
-    schema = "query long, id long, cos double, l2 double, ip double"
-    return in_cells(side(queries, "query"), side(corpus, "id"), lambda: _Distances(digits), schema, group="g", asked_block=grid.PAIRS_ASKED, row_block=grid.PAIRS_ROWS)
+    # The id has its last name at once: renaming it later would copy every pair's row.
+    schema = f"query long, `{id_col}` long, cos double, l2 double, ip double"
+    return in_cells(side(queries, "query"), side(corpus, "id"), lambda: _Distances(digits, id_col), schema, group="g", asked_block=grid.PAIRS_ASKED, row_block=grid.PAIRS_ROWS)
 
 
 class _Slice:
@@ -161,8 +162,8 @@ class _Slice:
 class _Distances:
     """All pairs of a cell, a slice of queries and a slice of vectors at a time."""
 
-    def __init__(self, digits: int | None):
-        self.digits, self.held = digits, []
+    def __init__(self, digits: int | None, id_col: str = "id"):
+        self.digits, self.id_col, self.held = digits, id_col, []
 
     def ask(self, columns: list[pa.Array]) -> None:
         self.held += _slices(columns, TILE_QUERIES)
@@ -185,7 +186,7 @@ class _Distances:
             known[0][at], known[1][at] = n > 0, True
         values = [pa.array(x.ravel(), mask=None if k.all() else ~k.ravel()) for x, k in zip(out, (known[0], known[1], known[1]), strict=True)]
         who, what = np.repeat(np.arange(shape[0]), shape[1]), np.tile(np.arange(shape[1]), shape[0])
-        return pa.RecordBatch.from_arrays([q.ids.take(pa.array(who)), v.ids.take(pa.array(what)), *values], ["query", "id", "cos", "l2", "ip"])
+        return pa.RecordBatch.from_arrays([q.ids.take(pa.array(who)), v.ids.take(pa.array(what)), *values], ["query", self.id_col, "cos", "l2", "ip"])
 
     def end(self) -> pa.RecordBatch:
         none = _Slice(pa.array([], pa.int64()), pa.array([], pa.list_(pa.float64())))

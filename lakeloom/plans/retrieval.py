@@ -140,7 +140,7 @@ def knn_approx(spark, sf_dir):
 def vector_distances(spark, sf_dir):
     """Distances between every vector and each of the stated queries, which are a row each."""
     e = table(spark, sf_dir, "embeddings")
-    return vectors.distances(_queries_of(e), e, digits=6).withColumnRenamed("id", "vec_id")
+    return vectors.distances(_queries_of(e), e, digits=6)
 
 
 def vector_upsert(spark, sf_dir):
